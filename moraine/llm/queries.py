@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import leakage, mixing, repetition, sketch, topn
+from moraine.llm import clusters, leakage, mixing, neighbours, repetition, sketch, topn
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_children(_t(spark, sf_dir, "condensed_tree"), 5).select("parent", "child")
 
 
+def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = clusters.labelled_records(_t(spark, sf_dir, "prediction_data"), _t(spark, sf_dir, "cluster_map"))
+    return clusters.similarity_sets(points, dim=24, radius=1.0)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the sets of three or more records within 1.0 of one another and of no others."""
+    return _sets(spark, sf_dir).where("mutual").select("first_id", "id")
+
+
+def p3_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every similarity set with its size and its three most typical records."""
+    sets = _sets(spark, sf_dir).where("typical <= 3")
+    one = sets.groupBy("first_id").agg(F.first("label").alias("label"), F.first("set_size").alias("set_size"), F.first("mutual").alias("mutual"), F.sort_array(F.collect_list(F.struct("typical", "id"))).alias("t"))
+    return one.select("first_id", "label", "set_size", "mutual", F.col("t.id").alias("typical"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups whose 90th percentile is at least three times their median."""
     return sketch.long_tailed(_t(spark, sf_dir, "run_timings"), 3.0)
@@ -27,6 +44,17 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.timing_percentiles(_t(spark, sf_dir, "run_timings"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of which one is among the other's five nearest."""
+    return neighbours.neighbour_pairs(_t(spark, sf_dir, "prediction_data"))
+
+
+def p5_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every record among those that the index visits first."""
+    found = neighbours.knn(neighbours.records(_t(spark, sf_dir, "prediction_data")), 24, 5, visit=64, complete=False)
+    return found.select("id", "nbr", "dist", "rank")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with twelve consecutive words of an item."""
     found = leakage.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_items"))
@@ -58,7 +86,7 @@ def p8_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_t(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_percentiles, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_hosts)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_sets, p4_found, p4_percentiles, p5_found, p5_approximate, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_hosts)}
 
 _CURRENT = """
 WITH cur AS (
@@ -72,6 +100,11 @@ ok AS (SELECT * FROM r WHERE c2 > 0 AND NOT isnan(c2) AND NOT isinf(c2)),
 k AS (SELECT c0, c1, c2, row_number() OVER w AS i, count(*) OVER (PARTITION BY c0, c1) AS n FROM ok WINDOW w AS (PARTITION BY c0, c1 ORDER BY c2)),
 q AS (SELECT c0, c1, any_value(n) AS n, min(c2) FILTER (i >= greatest(ceil(n * 0.5), 1)) AS p50, min(c2) FILTER (i >= greatest(ceil(n * 0.9), 1)) AS p90 FROM k GROUP BY c0, c1)
 """
+_VALID = """
+WITH v AS (SELECT id, raw_data, cluster_node FROM (SELECT * FROM prediction_data WHERE id IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) = 1)
+  WHERE len(raw_data) = 24 AND len(list_filter(raw_data, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = 24),
+"""
 _WORDS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 """
@@ -79,6 +112,16 @@ ORACLES = {
     "p2_found": _CURRENT
     + """SELECT parent, child FROM cur WHERE lambda_val IS NOT NULL AND NOT isnan(lambda_val)
 QUALIFY row_number() OVER (PARTITION BY parent ORDER BY lambda_val DESC, child) <= 5""",
+    "p3_found": _VALID
+    + """m AS (SELECT cluster_node, min(label) AS label FROM cluster_map WHERE label IS NOT NULL GROUP BY cluster_node),
+r AS (SELECT v.id, v.raw_data, m.label FROM v JOIN m USING (cluster_node)),
+n AS (SELECT a.id, list_sort(list(b.id)) AS near FROM r a JOIN r b ON a.label = b.label AND list_distance(a.raw_data, b.raw_data) <= 1.0 GROUP BY a.id),
+s AS (SELECT near FROM n GROUP BY near HAVING count(*) = len(near) AND len(near) >= 3)
+SELECT near[1] AS first_id, unnest(near) AS id FROM s""",
+    "p5_found": _VALID
+    + """n AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.raw_data, b.raw_data), b.id) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n""",
     "p4_found": _RUNS + "SELECT c0, c1 FROM q WHERE p90 >= 3 * p50",
     "p6_found": _WORDS
     + r"""i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(item_text)), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
