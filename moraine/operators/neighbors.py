@@ -28,11 +28,11 @@ def pairwise(points: DataFrame, metric: Metric, dim: int) -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", metric.column(F.col("a"), F.col("b"), dim).alias("d"))
 
 
-def top_k(metric: Metric, q: np.ndarray, q_pos: np.ndarray, e: np.ndarray, e_pos: np.ndarray, k: int, itself: bool) -> tuple[np.ndarray, np.ndarray]:
+def top_k(metric: Metric, q: np.ndarray, q_pos: np.ndarray, e: np.ndarray, e_pos: np.ndarray, k: int, itself: bool | None) -> tuple[np.ndarray, np.ndarray]:
     """Positions and distances of each query's ``k`` nearest entries, ties by position.
 
-    With ``itself`` a query that is an entry is its own first neighbour; else it is left out.
-    Missing places: -1 and inf.
+    A query that is an entry is its own first neighbour with ``itself``, else it is left out;
+    with None, queries are other points whose positions mean nothing here. Missing places: -1 and inf.
     """
     ids, dist = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
     if not len(q) or not len(e):
@@ -42,9 +42,10 @@ def top_k(metric: Metric, q: np.ndarray, q_pos: np.ndarray, e: np.ndarray, e_pos
     step = max(1, _PIECE // len(e))
     for s in range(0, len(q), step):
         d = metric.pairwise(q[s : s + step], e)
-        at = np.searchsorted(e_pos, q_pos[s : s + step]).clip(0, len(e) - 1)
-        mine = np.flatnonzero(e_pos[at] == q_pos[s : s + step])
-        d[mine, at[mine]] = -1.0 if itself else np.inf
+        if itself is not None:
+            at = np.searchsorted(e_pos, q_pos[s : s + step]).clip(0, len(e) - 1)
+            mine = np.flatnonzero(e_pos[at] == q_pos[s : s + step])
+            d[mine, at[mine]] = -1.0 if itself else np.inf
         keep = min(k, len(e))
         kth = np.partition(d, keep - 1, axis=1)[:, keep - 1] if keep < len(e) else np.full(len(d), np.inf)
         row, col = np.nonzero((d <= kth[:, None]) & (d < np.inf))
@@ -57,7 +58,7 @@ def top_k(metric: Metric, q: np.ndarray, q_pos: np.ndarray, e: np.ndarray, e_pos
     return ids, dist
 
 
-def _search(metric: Metric, k: int | None, itself: bool, radius: float | None):
+def _search(metric: Metric, k: int | None, itself: bool | None, radius: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups(batches, "task"):
             kind, pos, x = t.column("kind").to_numpy(), t.column("pos").to_numpy(), matrix(t.column("x"))
@@ -76,7 +77,7 @@ def _search(metric: Metric, k: int | None, itself: bool, radius: float | None):
                 own = q[s : s + step]
                 d = metric.pairwise(x[own], x[e])
                 i, j = np.nonzero(d <= radius)
-                keep = pos[own][i] != pos[e][j] if not itself else np.ones(len(i), bool)
+                keep = pos[own][i] != pos[e][j] if itself is False else np.ones(len(i), bool)
                 yield batch(_PAIR, [pos[own][i][keep], pos[e][j][keep], d[i, j][keep]])
 
     return run
@@ -112,10 +113,11 @@ def _by_task(df: DataFrame) -> DataFrame:
     return df.repartition("task").sortWithinPartitions("task")
 
 
-def knn(points: DataFrame, k: int, metric: Metric, itself: bool = False, queries: DataFrame | None = None, block: int = B.BLOCK) -> DataFrame:
+def knn(points: DataFrame, k: int, metric: Metric, itself: bool | None = False, queries: DataFrame | None = None, block: int = B.BLOCK) -> DataFrame:
     """``pos, nbr, dist, rank``: the ``k`` nearest points of every query (of every point by default).
 
-    Exact, ties by the smaller position. ``itself``: a point counts as its own neighbour.
+    Exact, ties by the smaller position. ``itself``: a point counts as its own neighbour
+    (None: queries are other points, whatever their positions).
     Points and queries meet block by block: a query first in the block it falls into, then
     in the blocks whose box is no farther than the k-th neighbour it has. For metrics
     without box bounds that is all blocks. Fewer rows if there are fewer points.
@@ -124,7 +126,7 @@ def knn(points: DataFrame, k: int, metric: Metric, itself: bool = False, queries
     spark = points.sparkSession
     if not total:
         return spark.createDataFrame([], "pos long, nbr long, dist double, rank int")
-    rank = F.row_number().over(Window.partitionBy("pos").orderBy("dist", F.col("nbr") != F.col("pos"), "nbr")).alias("rank")
+    rank = F.row_number().over(Window.partitionBy("pos").orderBy("dist", *([F.col("nbr") != F.col("pos")] if itself else []), "nbr")).alias("rank")
     splitter = B.plan(points, total, block)
     entries = B.with_block(points.select("pos", "x"), splitter)
     asked = entries if queries is None else B.with_block(queries.select("pos", "x"), splitter)

@@ -19,6 +19,7 @@ from moraine.operators import spanning as S
 from moraine.operators import tree as T
 from moraine.operators.arrow import batch
 from moraine.operators.forest import boruvka
+from moraine.operators.within_labels import reduce_pairs
 from moraine.session import materialize
 from moraine.sources.points import finite_points
 
@@ -246,12 +247,10 @@ class DensityModel:
 
     def weighted_medoids(self) -> DataFrame:
         """``label, id, features``: the point of least weighted distance to its cluster; ties by id."""
-        rows = self.point_rows.where("label >= 0").select("label", "id", "x", "probability")
-        other = rows.select("label", F.col("x").alias("y"), F.col("probability").alias("p"))
-        d = self.metric.column(F.col("x"), F.col("y"), self.dim)
-        cost = rows.join(other, "label").groupBy("label", "id").agg(F.sum(d * F.col("p")).alias("cost"))
-        best = cost.groupBy("label").agg(F.min(F.struct("cost", "id")).alias("m")).select("label", F.col("m.id").alias("id"))
-        return best.join(rows.select("id", F.col("x").alias("features")), "id").select("label", "id", "features")
+        rows = materialize(self.point_rows.where("label >= 0").select("pos", "x", "label", F.col("probability").alias("weight"), "id"), "members")
+        cost = reduce_pairs(rows.drop("id"), self.metric, lambda d, w: np.nansum(d * w[None], axis=1))
+        best = cost.groupBy("label").agg(F.min(F.struct("total", "pos")).alias("m")).select("label", F.col("m.pos").alias("pos"))
+        return best.join(rows.select("pos", "id", F.col("x").alias("features")), "pos").select("label", "id", "features")
 
     def weighted_medoid(self, label: int) -> list[float]:
         if label < 0:
