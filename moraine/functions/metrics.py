@@ -48,8 +48,9 @@ NAMES = {
 BOOLEAN = {"matching", "jaccard", "dice", "kulsinski", "rogerstanimoto", "russellrao", "sokalmichener", "sokalsneath"}
 #: Metrics for which a box around points bounds the distances to them.
 BOXED = {"euclidean", "manhattan", "chebyshev", "minkowski", "seuclidean"}
-#: Up to so many dimensions expressions are unrolled (compiled); beyond, they are lambdas.
-UNROLL = 64
+#: Up to so many terms expressions are unrolled, so that they compile; beyond, they are lambdas:
+#: generated code over 64 KB isn't compiled at all, and much below that compiling costs more than it saves.
+UNROLL = 32
 
 
 def valid_metric_ids(names: list) -> list[str]:
@@ -100,7 +101,7 @@ class Metric:
 
     def _terms(self, a: Column, b: Column, dim: int | None, f: Callable[..., Column], consts: list[np.ndarray] = ()) -> Column:
         """Sum over the dimensions of ``f(x, y, *constants)``."""
-        if dim is not None and dim <= UNROLL:
+        if dim is not None and dim <= (UNROLL // 4 if self.name in BOOLEAN or self.name in ("canberra", "braycurtis", "cosine", "arccos") else UNROLL):
             parts = [f(a[i], b[i], *[F.lit(float(c[i])) for c in consts]) for i in range(dim)]
             return reduce(lambda s, t: s + t, parts, F.lit(0.0))
         if not consts:
