@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,19 @@ def build_session(master: str = "local[8]", app: str = "moraine", **conf: str) -
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    Enough in local mode and where executors see the same files; elsewhere install the package
+    there or send it with ``--py-files``.
+    """
+    home, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([home, *parts])
     return spark
 
 
