@@ -17,7 +17,10 @@ from moraine.operators import blocks as B
 from moraine.operators.arrow import batch, groups, lists, matrix
 from moraine.session import materialize
 
-_PIECE = 4_000_000
+#: Distances made at a time: few enough to stay in a core's cache.
+_PIECE = 250_000
+#: Points of a block of a search: the work grows with it, the number of tasks shrinks.
+BLOCK = 1_024
 _PAIR = [("pos", pa.int64()), ("nbr", pa.int64()), ("dist", pa.float64())]
 _SENT = "pos long, x array<double>, reach double, task long, kind int"
 
@@ -83,24 +86,19 @@ def _search(metric: Metric, k: int | None, itself: bool | None, radius: float |
     return run
 
 
-def _send(metric: Metric, box: B.Boxes, radius: float | None):
-    """Queries ``pos, x, reach, block`` to every block within reach; ``radius`` sends them home too."""
+def _send(metric: Metric, box: B.Boxes, radius: float):
+    """Queries ``pos, x, block`` to every block within the radius, their own included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, home, reach = matrix(b.column("x")), b.column("block").to_numpy(), b.column("reach").to_numpy()
-            far = reach if radius is None else np.full(len(x), radius)
+            x = matrix(b.column("x"))
             gap = box.gaps(metric, x.min(0), x.max(0))
-            limit = far.max(initial=0.0)
-            for k in np.flatnonzero(gap <= limit * (1 + 1e-9)).tolist():
-                go = box.point_gaps(metric, x, k) <= far * (1 + 1e-9)
-                if radius is None:
-                    go &= home != k
-                at = np.flatnonzero(go)
+            for k in np.flatnonzero(gap <= radius * (1 + 1e-9)).tolist():
+                at = np.flatnonzero(box.point_gaps(metric, x, k) <= radius * (1 + 1e-9))
                 if len(at):
-                    yield batch([("pos", None), ("x", None), ("reach", pa.float64()), ("task", pa.int64()), ("kind", pa.int32())], [b.column("pos").take(pa.array(at)), lists(x[at]), far[at], np.full(len(at), k), np.ones(len(at), np.int32)])
+                    yield batch([("pos", None), ("x", None), ("reach", pa.float64()), ("task", pa.int64()), ("kind", pa.int32())], [b.column("pos").take(pa.array(at)), lists(x[at]), np.full(len(at), radius), np.full(len(at), k), np.ones(len(at), np.int32)])
 
     return run
 
@@ -113,37 +111,92 @@ def _by_task(df: DataFrame) -> DataFrame:
     return df.repartition("task").sortWithinPartitions("task")
 
 
-def knn(points: DataFrame, k: int, metric: Metric, itself: bool | None = False, queries: DataFrame | None = None, block: int = B.BLOCK) -> DataFrame:
+_HOME = [("pos", pa.int64()), ("nbr", None), ("dist", None), ("reach", pa.float64()), ("routes", None), ("x", None)]
+_HOME_SCHEMA = "pos long, nbr array<long>, dist array<double>, reach double, routes array<long>, x array<double>"
+
+
+def _home(metric: Metric, k: int, itself: bool | None, box: B.Boxes | None):
+    """Each query's neighbours within its own block, and the other blocks that may have nearer ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, t in groups(batches, "task"):
+            kind, pos, x = t.column("kind").to_numpy(), t.column("pos").to_numpy(), matrix(t.column("x"))
+            e, asked = kind != 1, np.flatnonzero(kind != 0)
+            for s in range(0, len(asked), 16_384):
+                own = asked[s : s + 16_384]
+                nbr, dist = top_k(metric, x[own], pos[own], x[e], pos[e], k, itself)
+                reach = dist[:, k - 1]
+                routes: list = [[] for _ in own]
+                if box is not None:
+                    limit = reach.max() * (1 + 1e-9)
+                    for other in np.flatnonzero((box.count > 0) & (box.gaps(metric, x[own].min(0), x[own].max(0)) <= limit)).tolist():
+                        if other != block:
+                            for r in np.flatnonzero(box.point_gaps(metric, x[own], other) <= reach * (1 + 1e-9)):
+                                routes[r].append(other)
+                far = np.array([bool(r) for r in routes])
+                n = (nbr >= 0).sum(1)
+                edges = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                ok = nbr >= 0
+                sent = pa.array([v if f else None for v, f in zip(x[own], far)], pa.list_(pa.float64())) if far.any() else pa.nulls(len(own), pa.list_(pa.float64()))
+                yield batch(_HOME, [pos[own], pa.ListArray.from_arrays(edges, pa.array(nbr[ok])), pa.ListArray.from_arrays(edges, pa.array(dist[ok])), reach, pa.array(routes, pa.list_(pa.int64())), sent])
+
+    return run
+
+
+def _rounds(points: DataFrame, k: int, metric: Metric, itself: bool | None, queries: DataFrame | None, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """(what each query found at home, what the routed ones found elsewhere: ``pos, nbr, dist``; None if none is)."""
+    splitter = B.plan(points, points.count(), block)
+    entries = B.with_block(points.select("pos", "x"), splitter)
+    both = _entries(entries, 2) if queries is None else _entries(entries, 0).unionByName(_entries(B.with_block(queries.select("pos", "x"), splitter), 1))
+    box = B.boxes(entries, splitter.blocks) if splitter.blocks > 1 else None
+    home = _by_task(both).mapInArrow(_home(metric, k, itself, box), _HOME_SCHEMA)
+    if box is None:
+        return home, None
+    home = materialize(home, "home")
+    routed = home.where(F.size("routes") > 0)
+    if routed.isEmpty():
+        return home, None
+    sent = routed.select("pos", "x", "reach", F.explode("routes").alias("task"), F.lit(1).alias("kind"))
+    return home, _by_task(_entries(entries, 0).unionByName(sent)).mapInArrow(_search(metric, k, itself, None), "pos long, nbr long, dist double")
+
+
+def knn(points: DataFrame, k: int, metric: Metric, itself: bool | None = False, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """``pos, nbr, dist, rank``: the ``k`` nearest points of every query (of every point by default).
 
     Exact, ties by the smaller position. ``itself``: a point counts as its own neighbour
     (None: queries are other points, whatever their positions).
     Points and queries meet block by block: a query first in the block it falls into, then
-    in the blocks whose box is no farther than the k-th neighbour it has. For metrics
-    without box bounds that is all blocks. Fewer rows if there are fewer points.
+    in the blocks whose box is no farther than the k-th neighbour it has; only such
+    queries are ranked again. For metrics without box bounds that is all blocks. Fewer rows
+    if there are fewer points.
     """
-    total = points.count()
-    spark = points.sparkSession
-    if not total:
-        return spark.createDataFrame([], "pos long, nbr long, dist double, rank int")
-    rank = F.row_number().over(Window.partitionBy("pos").orderBy("dist", *([F.col("nbr") != F.col("pos")] if itself else []), "nbr")).alias("rank")
-    splitter = B.plan(points, total, block)
-    entries = B.with_block(points.select("pos", "x"), splitter)
-    asked = entries if queries is None else B.with_block(queries.select("pos", "x"), splitter)
-    both = _entries(entries, 2) if queries is None else _entries(entries, 0).unionByName(_entries(asked, 1))
-    found = _by_task(both).mapInArrow(_search(metric, k, itself, None), "pos long, nbr long, dist double")
-    if splitter.blocks > 1:
-        found = materialize(found, "knn")
-        box = B.boxes(entries, splitter.blocks)
-        reach = found.groupBy("pos").agg(F.when(F.count("nbr") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("reach"))
-        todo = asked.join(reach, "pos", "left")
-        routed = todo.select("pos", "x", "block", F.coalesce("reach", F.lit(float("inf"))).alias("reach")).mapInArrow(_send(metric, box, None), _SENT)
-        more = _by_task(_entries(entries, 0).unionByName(routed)).mapInArrow(_search(metric, k, itself, None), "pos long, nbr long, dist double")
-        found = found.unionByName(more)
-    return found.select("pos", "nbr", "dist", rank).where(F.col("rank") <= k)
-
-
-def within(points: DataFrame, radius: float, metric: Metric, itself: bool = False, queries: DataFrame | None = None, block: int = B.BLOCK) -> DataFrame:
+    if points.isEmpty():
+        return points.sparkSession.createDataFrame([], "pos long, nbr long, dist double, rank int")
+    home, more = _rounds(points, k, metric, itself, queries, block)
+    pair = F.arrays_zip("nbr", "dist")
+    done = (home if more is None else home.where(F.size("routes") == 0)).select("pos", F.posexplode(pair).alias("i", "p"))
+    done = done.select("pos", F.col("p.nbr").alias("nbr"), F.col("p.dist").alias("dist"), (F.col("i") + 1).cast("int").alias("rank"))
+    if more is None:
+        return done
+    first = home.where(F.size("routes") > 0).select("pos", F.explode(pair).alias("p")).select("pos", "p.nbr", "p.dist")
+    rank = F.row_number().over(Window.partitionBy("pos").orderBy("dist", *([F.col("nbr") != F.col("pos")] if itself else []), "nbr")).cast("int").alias("rank")
+    return done.unionByName(first.unionByName(more).select("pos", "nbr", "dist", rank).where(F.col("rank") <= k))
+
+
+def nearest_core(points: DataFrame, k: int, metric: Metric, itself: bool = False, block: int = BLOCK) -> DataFrame:
+    """``pos, core``: the distance of each point's ``k``-th neighbour (inf if there are fewer), without the neighbours' table."""
+    if points.isEmpty():
+        return points.sparkSession.createDataFrame([], "pos long, core double")
+    home, more = _rounds(points, k, metric, itself, None, block)
+    if more is None:
+        return home.select("pos", F.col("reach").alias("core"))
+    done = home.where(F.size("routes") == 0).select("pos", F.col("reach").alias("core"))
+    all_ = home.where(F.size("routes") > 0).select("pos", F.explode_outer("dist").alias("d")).unionByName(more.select("pos", F.col("dist").alias("d")))
+    kth = F.try_element_at(F.sort_array(F.collect_list("d")), F.lit(k))
+    return done.unionByName(all_.groupBy("pos").agg(F.coalesce(kth, F.lit(float("inf"))).alias("core")))
+
+
+def within(points: DataFrame, radius: float, metric: Metric, itself: bool = False, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """``pos, nbr, dist``: the points at most ``radius`` from every query (every point by default)."""
     total = points.count()
     if not total:
@@ -154,7 +207,7 @@ def within(points: DataFrame, radius: float, metric: Metric, itself: bool = Fals
     if splitter.blocks == 1:
         sent = _entries(asked, 1)
     else:
-        sent = asked.withColumn("reach", F.lit(float(radius))).mapInArrow(_send(metric, B.boxes(entries, splitter.blocks), radius), _SENT)
+        sent = asked.mapInArrow(_send(metric, B.boxes(entries, splitter.blocks), radius), _SENT)
     return _by_task(_entries(entries, 0).unionByName(sent)).mapInArrow(_search(metric, None, itself, radius), "pos long, nbr long, dist double")
 
 

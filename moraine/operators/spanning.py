@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.functions.metrics import BOXED, Metric
+from moraine.functions.metrics import Metric
 from moraine.functions.scalar import mutual_reachability
 from moraine.operators import blocks as B
-from moraine.operators.arrow import batch, groups, matrix
+from moraine.operators.arrow import batch, groups, lists, matrix
 from moraine.session import materialize
 
 _EDGE = [("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64())]
@@ -93,35 +93,116 @@ def kruskal(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
     return order[spanning_forest(len(node), ends[0][order], ends[1][order], w[order])]
 
 
-def _local(metric: Metric, alpha: float):
+_OWN = [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64()), ("x", None), ("core", pa.float64()), ("block", pa.int64())]
+
+
+def _own_tree(metric: Metric, alpha: float):
+    """Of each block its spanning tree (kind 0), and its points (kind 1) with ``w``: the heaviest edge on the
+    tree's path from the point to the block's densest point."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in groups(batches, "task"):
-            if t.num_rows > 1:
-                yield batch(_EDGE, list(prim(matrix(t.column("x")), t.column("core").to_numpy(), t.column("pos").to_numpy(), metric, alpha)))
+        for block, t in groups(batches, "block"):
+            pos, x, core = t.column("pos").to_numpy(), matrix(t.column("x")), t.column("core").to_numpy()
+            n = len(pos)
+            a, b, w = prim(x, core, pos, metric, alpha)
+            reach = dict(zip(pos.tolist(), _reach(pos, core, a, b, w)))
+            edges = pa.array([None] * len(a), pa.list_(pa.float64()))
+            yield batch(_OWN, [np.zeros(len(a), np.int32), a, b, w, edges, np.zeros(len(a)), np.full(len(a), block)])
+            yield batch(_OWN, [np.ones(n, np.int32), pos, pos, np.array([reach[p] for p in pos.tolist()]), lists(x), core, np.full(n, block)])
 
     return run
 
 
-def _pair_tasks(cored: DataFrame, pairs: list[tuple[int, int]], metric: Metric, alpha: float) -> DataFrame:
-    """The spanning tree of each pair of blocks (a block alone: a pair with itself)."""
+def _reach(pos: np.ndarray, core: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> list[float]:
+    """The heaviest edge on each point's way to the densest point (least core, then least position)."""
+    near: dict = {p: [] for p in pos.tolist()}
+    for u, v, d in zip(a.tolist(), b.tolist(), w.tolist()):
+        near[u].append((v, d))
+        near[v].append((u, d))
+    start = int(pos[np.lexsort((pos, core))[0]])
+    out, stack = {start: 0.0}, [start]
+    while stack:
+        u = stack.pop()
+        for v, d in near[u]:
+            if v not in out:
+                out[v] = max(out[u], d)
+                stack.append(v)
+    return [out[p] for p in pos.tolist()]
+
+
+def _pair_tasks(points: DataFrame, pairs: list[tuple[int, int]], run, schema: str, keep=None) -> DataFrame:
+    """``run`` over each pair of blocks, with the points (``pos, x, core, reach, block``) that ``keep`` lets through.
+
+    ``keep(number of the pair, block, points' x, core, reach)`` gives a mask; without it, all go.
+    """
     of: dict = {}
     for number, (p, q) in enumerate(pairs):
-        for k in {p, q}:
-            of.setdefault(k, []).append(number)
+        of.setdefault(p, []).append(number)
+        of.setdefault(q, []).append(number)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            block = b.column("block").to_numpy()
-            at = [(np.flatnonzero(block == k), of.get(k, [])) for k in np.unique(block).tolist()]
-            rows = np.concatenate([np.repeat(i, len(n)) for i, n in at]) if at else np.empty(0, np.int64)
-            task = np.concatenate([np.tile(n, len(i)) for i, n in at]) if at else np.empty(0, np.int64)
-            if len(rows):
-                got = b.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([got.column("pos"), got.column("x"), got.column("core"), pa.array(task.astype(np.int64))], names=["pos", "x", "core", "task"])
+            block, x = b.column("block").to_numpy(), matrix(b.column("x"))
+            core, reach = b.column("core").to_numpy(), b.column("reach").to_numpy()
+            rows, tasks = [], []
+            for k in np.unique(block).tolist():
+                own = np.flatnonzero(block == k)
+                for number in of.get(k, []):
+                    go = own if keep is None else own[keep(number, k, x[own], core[own], reach[own])]
+                    rows.append(go)
+                    tasks.append(np.full(len(go), number))
+            if rows:
+                at = np.concatenate(rows)
+                got = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*(got.column(c) for c in ("pos", "x", "core", "reach", "block")), pa.array(np.concatenate(tasks))], names=["pos", "x", "core", "reach", "block", "task"])
+
+    sent = points.select("pos", "x", "core", "reach", "block").mapInArrow(send, "pos long, x array<double>, core double, reach double, block long, task long")
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(len(pairs), max(4 * cores, len(pairs) // 64)))
+    return sent.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(run, schema)
+
+
+def _sides(t: pa.Table, pair: tuple[int, int]):
+    block = t.column("block").to_numpy()
+    cols = matrix(t.column("x")), t.column("core").to_numpy(), t.column("reach").to_numpy(), t.column("pos").to_numpy()
+    p, q = np.flatnonzero(block == pair[0]), np.flatnonzero(block == pair[1])
+    return [c[p] for c in cols], [c[q] for c in cols]
+
+
+def _links(metric: Metric, alpha: float, pairs: list):
+    """Per pair of blocks the least bottleneck between their densest points over any one edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, t in groups(batches, "task"):
+            (x, cx, jx, _), (y, cy, jy, _) = _sides(t, pairs[number])
+            best = np.inf
+            for s in range(0, len(x), 512):
+                w = np.maximum(metric.pairwise(x[s : s + 512], y) / alpha, np.maximum(np.maximum(cx[s : s + 512], jx[s : s + 512])[:, None], np.maximum(cy, jy)[None]))
+                best = min(best, float(w.min()))
+            yield batch([("task", pa.int64()), ("w", pa.float64())], [[number], [best]])
+
+    return run
 
-    sent = cored.select("pos", "x", "core", "block").mapInArrow(send, "pos long, x array<double>, core double, task long")
-    tasks = max(1, min(len(pairs), 4096))
-    return sent.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(_local(metric, alpha), "a long, b long, w double")
+
+def _crossings(metric: Metric, alpha: float, pairs: list, bound: list):
+    """Per pair of blocks the spanning forest of the edges between them that no path so far makes needless."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, t in groups(batches, "task"):
+            (x, cx, jx, px), (y, cy, jy, py) = _sides(t, pairs[number])
+            a, b, w = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            for s in range(0, len(x) if len(y) else 0, 512):
+                v = np.maximum(metric.pairwise(x[s : s + 512], y) / alpha, np.maximum(cx[s : s + 512][:, None], cy[None]))
+                i, j = np.nonzero(v <= np.maximum(np.maximum(jx[s : s + 512][:, None], jy[None]), bound[number]))
+                a, b, w = np.concatenate([a, px[s + i]]), np.concatenate([b, py[j]]), np.concatenate([w, v[i, j]])
+                if len(w) > 1_000_000:
+                    keep = kruskal(a, b, w)
+                    a, b, w = a[keep], b[keep], w[keep]
+            if len(w):
+                keep = kruskal(a, b, w)
+                yield batch(_EDGE, [a[keep], b[keep], w[keep]])
+
+    return run
 
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,89 +224,71 @@ def forest_of(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(_reduce, schema).repartition(1).mapInArrow(_reduce, schema)
 
 
-def _bottlenecks(tree: DataFrame, blocked: DataFrame, blocks: int) -> np.ndarray:
-    """For each pair of blocks an upper bound of the heaviest tree edge between any two of their points.
-
-    One task walks the tree's edges in order; what comes back has one number per pair of blocks.
-    """
-    import pandas as pd
-
-    ends = blocked.select("pos", "block")
-    rows = tree.join(ends.select(F.col("pos").alias("a"), F.col("block").alias("ba")), "a").join(ends.select(F.col("pos").alias("b"), F.col("block").alias("bb")), "b")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        from moraine.operators.tree import find
-
-        pdf = pdf.sort_values("w")
-        nodes, at = np.unique(np.concatenate([pdf.a, pdf.b]), return_inverse=True)
-        at = at.reshape(2, -1)
-        block = np.zeros(len(nodes), np.int64)
-        block[at[0]], block[at[1]] = pdf.ba, pdf.bb
-        total = np.bincount(block, minlength=blocks)
-        up, inside = list(range(len(nodes))), [{int(k): 1} for k in block]
-        whole: list = [set() for _ in nodes]
-        for i, k in enumerate(block.tolist()):
-            if total[k] == 1:
-                whole[i].add(k)
-        bound = np.full((blocks, blocks), np.inf)
-        for i, j, w in zip(at[0].tolist(), at[1].tolist(), pdf.w.tolist()):
-            i, j = find(up, i), find(up, j)
-            if len(inside[i]) < len(inside[j]):
-                i, j = j, i
-            up[j] = i
-            fresh = set()
-            for k, n in inside[j].items():
-                inside[i][k] = inside[i].get(k, 0) + n
-                if inside[i][k] == total[k] and k not in whole[j]:
-                    fresh.add(k)
-            old_i, old_j = list(whole[i]), list(whole[j])
-            for p in [*old_j, *fresh]:
-                for q in [*old_i, *fresh, *(old_j if p in fresh else [])]:
-                    bound[p, q] = bound[q, p] = min(bound[p, q], w)
-            whole[i] |= whole[j] | fresh
-            inside[j], whole[j] = {}, set()
-        p, q = np.nonzero(np.isfinite(bound))
-        return pd.DataFrame({"p": p, "q": q, "bound": bound[p, q]})
-
-    got = rows.select("a", "b", "w", "ba", "bb").groupBy(F.lit("all")).applyInPandas(walk, "p long, q long, bound double").toPandas()
-    out = np.full((blocks, blocks), np.inf)
-    out[got.p.values, got.q.values] = got.bound.values
+def _bottlenecks(n: int, links: list[tuple[int, int, float]]) -> np.ndarray:
+    """The heaviest edge between any two nodes of a tree."""
+    out, groups_ = np.zeros((n, n)), [[i] for i in range(n)]
+    of = list(range(n))
+    for p, q, w in sorted(links, key=lambda e: e[2]):
+        p, q = of[p], of[q]
+        out[np.ix_(groups_[p], groups_[q])] = out[np.ix_(groups_[q], groups_[p])] = w
+        if len(groups_[p]) < len(groups_[q]):
+            p, q = q, p
+        for k in groups_[q]:
+            of[k] = p
+        groups_[p] += groups_[q]
+        groups_[q] = []
     return out
 
 
 def spanning_tree(points: DataFrame, core: DataFrame, metric: Metric, alpha: float = 1.0, block: int = B.BLOCK) -> DataFrame:
     """The exact minimum spanning tree of mutual reachability: ``a, b, w``, n - 1 rows.
 
-    Unique under (w, low, high). Each task makes the tree of one or two blocks: an edge that
-    isn't in it is the heaviest of a cycle, so it is in no global tree. First come the
-    blocks themselves and a few pairs that connect them; then only the pairs whose boxes are
-    nearer than the heaviest edge now between them. Without box bounds: all pairs.
+    Unique under (w, low, high). Each block makes its own tree, which tells for every point
+    the heaviest edge on its way to the block's densest point; one edge per pair of blocks
+    of a tree of blocks does so between those. An edge between two blocks heavier than the
+    way that its ends already have is in no minimum tree, so only lighter ones are looked
+    for, among the points near enough to the other block's box. For metrics without box
+    bounds all pairs of blocks are compared. The driver holds a number per pair of blocks (at most
+    8,192 blocks; more points make larger ones).
     """
     total = points.count()
     spark = points.sparkSession
     if total < 2:
         return spark.createDataFrame([], "a long, b long, w double")
     splitter = B.plan(points, total, block)
-    blocked = B.with_block(points.select("pos", "x"), splitter).join(core, "pos")
+    blocked = B.with_block(points.select("pos", "x"), splitter).join(core, "pos").select("pos", "x", "core", "block")
+    own = blocked.repartition("block").sortWithinPartitions("block").mapInArrow(_own_tree(metric, alpha), "kind int, a long, b long, w double, x array<double>, core double, block long")
     if splitter.blocks == 1:
-        return _pair_tasks(blocked, [(0, 0)], metric, alpha)
-    blocked = materialize(blocked, "blocked")
-    box = B.boxes(blocked, splitter.blocks)
+        return own.where("kind = 0").select("a", "b", "w")
+    own = materialize(own, "block-trees")
+    placed = own.where("kind = 1").select(F.col("a").alias("pos"), "x", "core", F.col("w").alias("reach"), "block")
+    box = B.boxes(placed, splitter.blocks)
     full = np.flatnonzero(box.count > 0)
+    n = len(full)
+    far, least = np.zeros(n), np.zeros(n)
+    for r in placed.groupBy("block").agg(F.max("reach").alias("far"), F.min("core").alias("least")).collect():  # one row per block
+        at = int(np.searchsorted(full, r["block"]))
+        far[at], least[at] = r["far"], r["least"]
     gap = np.stack([box.gaps(metric, box.low[k], box.high[k])[full] for k in full]) / alpha
-    i, j = np.triu_indices(len(full), 1)
+    i, j = np.triu_indices(n, 1)
     link = kruskal(i, j, gap[i, j])
     first = [(int(full[p]), int(full[q])) for p, q in zip(i[link], j[link])]
-    # A block in no pair (there is but one) still needs its own tree.
-    done = set(first) or {(int(full[0]), int(full[0]))}
-    tree = materialize(forest_of(_pair_tasks(blocked, sorted(done), metric, alpha)), "tree")
-    bound = _bottlenecks(tree, blocked, splitter.blocks) if metric.name in BOXED else np.full((splitter.blocks,) * 2, np.inf)
-    lows = {r["block"]: r["c"] for r in blocked.groupBy("block").agg(F.min("core").alias("c")).collect()}
-    more = []
-    for p, q in zip(i.tolist(), j.tolist()):
-        u, v = int(full[p]), int(full[q])
-        if (u, v) not in done and max(gap[p, q] * (1 - 1e-9), lows[u], lows[v]) <= bound[u, v]:
-            more.append((u, v))
-    if not more:
-        return tree
-    return forest_of(tree.unionByName(_pair_tasks(blocked, more, metric, alpha)))
+    found = _pair_tasks(placed, first, _links(metric, alpha, first), "task long, w double").collect()  # one row per link
+    between = _bottlenecks(n, [(int(i[link[r["task"]]]), int(j[link[r["task"]]]), r["w"]) for r in found])
+    low = np.maximum(gap * (1 - 1e-9), np.maximum(least[:, None], least[None]))
+    need = np.triu(low <= np.maximum(between, np.maximum(far[:, None], far[None])), 1)
+    p, q = np.nonzero(need)
+    pairs = list(zip(full[p].tolist(), full[q].tolist()))
+    bound = between[p, q]
+    other = {number: (box.low[b], box.high[b], box.low[a], box.high[a], float(far[v]), float(far[u])) for number, (a, b, u, v) in enumerate(zip(full[p].tolist(), full[q].tolist(), p.tolist(), q.tolist()))}
+
+    def keep(number: int, block_: int, x: np.ndarray, core_: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        lo1, hi1, lo0, hi0, far1, far0 = other[number]
+        lo, hi, f = (lo1, hi1, far1) if block_ == pairs[number][0] else (lo0, hi0, far0)
+        d = metric.box_gap(x, x, lo[None], hi[None]) / alpha * (1 - 1e-9)
+        return np.maximum(d, core_) <= np.maximum(np.maximum(reach, f), bound[number])
+
+    edges = own.where("kind = 0").select("a", "b", "w")
+    if pairs:
+        edges = edges.unionByName(_pair_tasks(placed, pairs, _crossings(metric, alpha, pairs, bound.tolist()), "a long, b long, w double", keep))
+    return forest_of(edges)

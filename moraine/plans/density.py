@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.functions.metrics import NAMES, Metric
+from moraine.functions.metrics import BOXED, NAMES, Metric
 from moraine.functions.scalar import weighted_average
 from moraine.operators import neighbors as N
 from moraine.operators import spanning as S
@@ -288,13 +288,31 @@ class DensityModel:
         return float(score)
 
 
+#: Edges of a tree that one task takes as they are.
+ONE_TASK = 5_000_000
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches(list(batches))
+    if t.num_rows:
+        nodes, ends = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
+        ends = ends.reshape(2, -1)
+        part = T.components(len(nodes), ends[0], ends[1])
+        yield batch([("node", pa.int64()), ("part", pa.int64())], [nodes, nodes[part]])
+
+
 def cut_labels(mst: DataFrame, points: DataFrame, distance: float, min_cluster_size: int) -> DataFrame:
     """``id, label`` of the components of edges ``a, b, w`` shorter than ``distance``.
 
     Labels 0.. in the order of the components' least position; components under
-    ``min_cluster_size`` and points left out are -1. Distributed: one Borůvka pass.
+    ``min_cluster_size`` and points left out are -1. A tree that fits a task (``ONE_TASK`` edges)
+    is cut there, a larger one by distributed rounds.
     """
-    _, parts = boruvka(mst.where(F.col("w") < distance).select("a", "b", "w"))
+    short = mst.where(F.col("w") < distance).select("a", "b", "w")
+    if mst.count() <= ONE_TASK:
+        parts = short.repartition(1).mapInArrow(_parts, "node long, part long")
+    else:
+        _, parts = boruvka(short)
     one = points.select("id", "pos").join(parts.select(F.col("node").alias("pos"), "part"), "pos", "left").withColumn("part", F.coalesce("part", "pos"))
     size = one.where("part IS NOT NULL").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("least")).where(F.col("n") >= min_cluster_size)
     label = size.select("part", (F.row_number().over(Window.orderBy("least")) - 1).cast("int").alias("label"))
@@ -378,7 +396,7 @@ class DensityClusterer:
         finite = rows.where("pos IS NOT NULL").select("pos", "x")
         dim = len(finite.first()["x"]) if n else 0
         p["min_samples"] = max(1, min(n - 1, p["min_samples"]))
-        core, mst = fit_tree(finite, n, p["min_samples"], metric, p["alpha"], p["block"])
+        core, mst = fit_tree(finite, n, p["min_samples"], metric, p["alpha"], p["block"], dim)
         self.model = DensityModel(rows, n, total, core, mst, p, metric, dim)
         return self
 
@@ -412,7 +430,7 @@ class DensityClusterer:
         return self.fit(points).model.result
 
 
-def fit_tree(finite: DataFrame, n: int, k: int, metric: Metric, alpha: float, block: int) -> tuple[DataFrame, DataFrame]:
+def fit_tree(finite: DataFrame, n: int, k: int, metric: Metric, alpha: float, block: int, dim: int = 2) -> tuple[DataFrame, DataFrame]:
     """(core distances ``pos, core``, spanning tree ``a, b, w``) of points ``pos, x``.
 
     Up to ``block`` points fit one task, which makes both; more are done block by block.
@@ -424,7 +442,9 @@ def fit_tree(finite: DataFrame, n: int, k: int, metric: Metric, alpha: float, bl
         both = materialize(finite.repartition(1).mapInArrow(_small(k, metric, alpha), "kind int, a long, b long, w double"), "tree")
         core = both.where("kind = 0").select(F.col("a").alias("pos"), F.col("w").alias("core"))
         return core, both.where("kind = 1").select("a", "b", "w")
-    core = materialize(N.core_distances(N.knn(finite, k, metric, block=block), k), "core")
+    if dim <= 4 and metric.name in BOXED:  # boxes tell much in few dimensions: small blocks, few pairs of them
+        block = min(block, N.BLOCK)
+    core = materialize(N.nearest_core(finite, k, metric, block=block), "core")
     return core, materialize(S.spanning_tree(finite, core, metric, alpha, block), "mst")
 
 

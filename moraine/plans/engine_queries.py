@@ -295,6 +295,12 @@ def cluster_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DensityClusterer(min_cluster_size=5).fit(inputs.users(spark, sf_dir)).model.result
 
 
+@query()
+def fit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit over all orders with default parameters: block by block."""
+    return DensityClusterer().fit(inputs.orders(spark, sf_dir)).model.result
+
+
 @query()
 def cluster_leaf_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, 1.0, cluster_selection_method="leaf", cluster_selection_epsilon=0.05).result

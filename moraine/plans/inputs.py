@@ -46,6 +46,12 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_points(e, "user_id", ["n", "v"])
 
 
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price (in thousands) and day of every order: the largest set of distinct points."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice").cast("double") / 1000).alias("price"), F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).cast("double").alias("day"))
+    return to_points(o, "o_orderkey", ["price", "day"])
+
+
 def placed(points: DataFrame) -> DataFrame:
     """``id, pos, x`` of the finite points."""
     return finite_points(points)[0].where("pos IS NOT NULL").select("id", "pos", "x")

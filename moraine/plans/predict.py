@@ -81,7 +81,7 @@ class Predictor:
             raise AttributeError("prediction needs a model of points; distances alone don't place new ones")
         self.model, self.metric, self.k = model, model.metric, model.params["min_samples"]
         finite = model.points.where("pos IS NOT NULL").select("pos", "x")
-        core = N.core_distances(N.knn(finite, min(self.k, model.n), self.metric, itself=True, block=model.params["block"]), min(self.k, model.n))
+        core = N.nearest_core(finite, min(self.k, model.n), self.metric, itself=True, block=model.params["block"])
         rows = model.point_rows.where("pos IS NOT NULL").select("pos", "id", "parent", "lambda_val")
         self.reference = materialize(finite.join(core, "pos").join(rows, "pos").select("pos", "x", "id", "core", "parent", "lambda_val"), "reference")
         self.tree = cluster_tree(model)

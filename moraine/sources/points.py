@@ -98,14 +98,14 @@ def finite_points(points: DataFrame) -> tuple[DataFrame, int, int]:
 
     Raises ValueError for null or repeated ids, or vectors of different lengths.
     """
-    total = points.count()
-    look = points.agg(F.countDistinct("id").alias("ids"), F.count("id").alias("n"), F.min(F.size("features")).alias("a"), F.max(F.size("features")).alias("b")).first()
+    points = points.select("id", "features", is_finite("features").alias("ok"))
+    look = points.agg(F.count(F.lit(1)).alias("all"), F.countDistinct("id").alias("ids"), F.count("id").alias("n"), F.min(F.size("features")).alias("a"), F.max(F.size("features")).alias("b"), F.count(F.when(~F.col("ok"), 1)).alias("bad")).first()
+    total, bad = look["all"], look["bad"]
     if look["ids"] != total or look["n"] != total:
         raise ValueError("ids must be non-null and distinct")
     if total and (look["a"] != look["b"] or look["a"] is None or look["a"] < 1):
         raise ValueError("all points must have the same number of features, at least one")
-    rows = positions(points.select("id", F.col("features").alias("x"), is_finite("features").alias("ok")))
-    bad = rows.where("NOT ok").count()
+    rows = positions(points.select("id", F.col("features").alias("x"), "ok"))
     if not bad:
         return materialize(rows.select("id", "raw", F.col("raw").alias("pos"), "x"), "points"), total, total
     good = positions(rows.where("ok").select("id", F.col("raw").alias("r"), "x")).select("id", F.col("r").alias("raw"), F.col("raw").alias("pos"), "x")
