@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from moraine.llm import vectors as V
 from moraine.llm.neighbours import records
 from moraine.operators import tree as T
+from moraine.operators.arrow import groups, matrix
 from moraine.operators.forest import boruvka
 from moraine.session import materialize
 
@@ -20,15 +21,20 @@ _GRAPH = "kind int, a long, b long, w double, part long, open boolean, degree lo
 _SETS = "part long, id long, degree long, n long, label int, set_size long, level double, probability double"
 
 
-def _send(book: V.Codebook, blocks: V.Blocks, near: dict, reach: float):
+def _send(blocks: V.Blocks, reach: float):
     """Each record to its own block (kind 0) and to every block it may have neighbours for (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: dict = {}  # the other blocks within reach of each block met so far
+
         for batch in batches:
-            block, x = batch.column("block").to_numpy(), V.matrix(batch.column("vec"))
+            block, x = batch.column("block").to_numpy(), matrix(batch.column("vec"))
             rows, tasks = [np.arange(len(block))], [block]
-            for b in np.unique(block).tolist() if near else []:
-                for i in near.get(b, ()):
+            for b in np.unique(block).tolist():
+                if b not in near:
+                    own = blocks.index(b)
+                    near[b] = [i for i in blocks.box_gap(blocks.low[own], blocks.high[own], reach).tolist() if i != own]
+                for i in near[b]:
                     here = np.flatnonzero(block == b)
                     here = here[blocks.gap(x[here], i) <= reach]
                     rows.append(here)
@@ -69,14 +75,14 @@ def _local(radius: float, min_samples: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, t in V.groups(batches, "task"):
+        for number, t in groups(batches, "task"):
             order = np.argsort(t.column("id").to_numpy(), kind="stable")
             t = t.take(pa.array(order))
             ids, kind, weight, label = (t.column(c).to_numpy() for c in ("id", "kind", "n", "label"))
             home = kind == 0
             if not home.any():
                 continue
-            i, j, d = close_pairs(V.matrix(t.column("vec")), label, radius)
+            i, j, d = close_pairs(matrix(t.column("vec")), label, radius)
             m = len(ids)
             degree = np.bincount(i, weight[j], m) + np.bincount(j, weight[i], m) + weight - 1
             # The k-th nearest neighbour; copies are neighbours at distance 0.
@@ -151,7 +157,7 @@ def _trees(min_size: int, epsilon: float):
             cols = [pa.array(c, pa.float64() if k > 5 else pa.int32() if k == 4 else pa.int64()) for k, c in enumerate(out)]
             return pa.RecordBatch.from_arrays(cols, names=["part", "id", "degree", "n", "label", "set_size", "level", "probability"])
 
-        for part, t in V.groups(batches, "part"):
+        for part, t in groups(batches, "part"):
             kind = t.column("kind").to_numpy()
             nodes, edges = t.filter(pa.array(kind == 0)), t.filter(pa.array(kind == 1))
             ids, n = nodes.column("a").to_pylist(), nodes.column("n").to_pylist()
@@ -212,12 +218,7 @@ def similarity_sets(points: DataFrame, dim: int, radius: float, min_samples: int
         unique = joined.select("id", "vec", "label", F.coalesce("c", F.lit(1)).cast("long").alias("n"))
     blocked = V.with_block(unique, book)
     table = V.blocks(blocked, dim)
-    near = {}
-    for i, b in enumerate(table.number.tolist()):
-        close = [k for k in table.box_gap(table.low[i], table.high[i], 2 * radius).tolist() if k != i]
-        if close:
-            near[b] = close
-    sent = blocked.select("id", "vec", "label", "n", "block").mapInArrow(_send(book, table, near, 2 * radius * (1 + 1e-9)), _SENT)
+    sent = blocked.select("id", "vec", "label", "n", "block").mapInArrow(_send(table, 2 * radius * (1 + 1e-9)), _SENT)
     graph = sent.repartition("task").sortWithinPartitions("task").mapInArrow(_local(radius, min_samples), _GRAPH)
     graph = materialize(graph, "graph")
     cols = ["kind", "a", "b", "w", "part", "degree", "n", "label"]

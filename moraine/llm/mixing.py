@@ -18,6 +18,8 @@ from moraine.session import materialize
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary cuts a text into pieces before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Targets up to this number are sent to every executor; more are joined by shuffle.
+BROADCAST_TARGETS = 100_000
 #: Rank buckets of one source; the cut falls into one of them, which alone is sorted.
 BUCKETS = 1 << 14
 
@@ -107,7 +109,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
         factor = F.when(F.col("mean_w") > 0, F.col("w") / F.col("mean_w")).otherwise(F.lit(1.0))
     else:
         factor = F.lit(1.0)
-    each = usable.join(F.broadcast(todo.where("given > 0").limit(1_000_000)) if todo.count() <= 1_000_000 else todo.where("given > 0"), "source")
+    wanted = todo.where("given > 0")
+    each = usable.join(F.broadcast(wanted) if todo.count() <= BROADCAST_TARGETS else wanted, "source")
     u = (F.pmod(F.xxhash64("doc_id", "mix_name", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     p = F.least(F.greatest(F.col("rest") / F.col("available") * factor, F.lit(1e-12)), F.lit(1 - 1e-12))
     rank = (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moraine.llm import vectors as V
+from moraine.operators.arrow import groups, matrix
 from moraine.session import materialize
 
 #: Entries times queries of one distance matrix.
@@ -91,8 +92,8 @@ def _routes(x: np.ndarray, ids: np.ndarray, dist: np.ndarray, home: int, book: V
 
 def _home(book: V.Codebook, blocks: V.Blocks, k: int, visit: int, complete: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, t in V.groups(batches, "block"):
-            x, qid = V.matrix(t.column("vec")), t.column("id").to_numpy()
+        for number, t in groups(batches, "block"):
+            x, qid = matrix(t.column("vec")), t.column("id").to_numpy()
             for s in range(0, len(x), 16_384):
                 part, pid = x[s : s + 16_384], qid[s : s + 16_384]
                 ids, dist = nearest(part, pid, x, qid, k)
@@ -108,9 +109,9 @@ def _home(book: V.Codebook, blocks: V.Blocks, k: int, visit: int, complete: bool
 
 def _visit(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in V.groups(batches, "task"):
+        for _, t in groups(batches, "task"):
             kind = t.column("kind").to_numpy()
-            x, ids, reach = V.matrix(t.column("vec")), t.column("id").to_numpy(), t.column("reach").to_numpy()
+            x, ids, reach = matrix(t.column("vec")), t.column("id").to_numpy(), t.column("reach").to_numpy()
             e, q = kind == 0, np.flatnonzero(kind == 1)
             if not e.any() or not len(q):
                 continue

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moraine.operators.arrow import groups, lists, matrix
 from moraine.session import materialize
 
 #: Centroids per half: at most CENTROIDS ** 2 cells at any size of the input.
@@ -60,38 +61,6 @@ def latest(df: DataFrame, id_col: str, at: str, columns: list[str]) -> DataFrame
     return once.select(id_col, *columns).unionByName(again.select(id_col, *columns))
 
 
-def matrix(column, dim: int | None = None) -> np.ndarray:
-    """A list column as a matrix; all lists of one length."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, dim or 0))
-
-
-def lists(m: np.ndarray) -> pa.Array:
-    """The rows of a matrix as a list column."""
-    n, d = m.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * d, pa.int32()), pa.array(m.reshape(-1)))
-
-
-def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
-    """The runs of equal ``key`` in a stream sorted by it, one at a time."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        keys = batch.column(key).to_numpy()
-        if not len(keys):
-            continue
-        edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        for a, b in zip(edges[:-1], edges[1:]):
-            if held and keys[a] != now:
-                yield int(now), pa.Table.from_batches(held)
-                held = []
-            now = keys[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield int(now), pa.Table.from_batches(held)
-
-
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of ``a`` to all of ``b``, by one matrix product."""
     d = a @ b.T
@@ -186,7 +155,7 @@ def fit(vectors: DataFrame, dim: int, centroids: int = CENTROIDS, sample: int =
     total = vectors.count()
     if not total:
         return Codebook(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2))), 0
-    few = vectors if total <= sample else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.lit(math.ceil(1_000_003 * sample / total)))
+    few = vectors if total <= sample else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * sample / total)))
     x = matrix(few.select("vec").toArrow().column("vec"), dim)
     if not len(x):
         x = matrix(vectors.limit(1).select("vec").toArrow().column("vec"), dim)
