@@ -92,7 +92,7 @@ def plan(points: DataFrame, total: int, block: int = BLOCK, sample: int = SAMPLE
     """Cuts for points ``pos, x``; for few points there is one block."""
     if total <= block:
         return Splitter([], [], [], [], 1)
-    few = points if total <= sample else points.where(F.pmod(F.xxhash64("pos"), F.lit(1_000_003)) < F.lit(math.ceil(1_000_003 * sample / total)))
+    few = points if total <= sample else points.where(F.pmod(F.xxhash64("pos"), F.lit(1 << 40)) < F.lit(int((1 << 40) * sample / total)))
     return Splitter.fit(matrix(few.select("x").toArrow().column("x")), total, block)
 
 
