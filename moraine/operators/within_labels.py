@@ -31,8 +31,8 @@ def label_blocks(points: DataFrame, block: int = BLOCK) -> tuple[DataFrame, dict
     return points.withColumn("part", part), parts
 
 
-def reduce_pairs(points: DataFrame, metric: Metric, value: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = BLOCK) -> DataFrame:
-    """``pos, label, total``: for each point the sum over its label's points of ``value(distances, weights)``.
+def reduce_pairs(points: DataFrame, metric: Metric, value: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = BLOCK, combine: str = "sum") -> DataFrame:
+    """``pos, label, total``: for each point the sum (or "max") over its label's points of ``value(distances, weights)``.
 
     ``value`` gets the distances of some points to others of the label (nan for the point
     itself) and the others' weights, and returns what to add per row. Tasks are
@@ -69,7 +69,7 @@ def reduce_pairs(points: DataFrame, metric: Metric, value: Callable[[np.ndarray,
     task = (F.col("label").cast("long") * F.lit(1 << 32) + F.col("pair")).alias("task")  # a label has fewer than 2 ** 16 parts
     sent = sent.select("pos", "x", "label", "weight", "side", task)
     found = sent.repartition("task").sortWithinPartitions("task").mapInArrow(run, "pos long, label int, part_sum double")
-    return found.groupBy("pos", "label").agg(F.sum("part_sum").alias("total"))
+    return found.groupBy("pos", "label").agg({"sum": F.sum, "max": F.max}[combine]("part_sum").alias("total"))
 
 
 def label_gaps(points: DataFrame, metric: Metric, block: int = BLOCK) -> DataFrame:

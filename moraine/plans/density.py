@@ -197,6 +197,11 @@ class DensityModel:
         """``id, score``: how much earlier than the densest part of its subtree a point left."""
         return self.point_rows.select("id", "score")
 
+    def outliers_above(self, share: float = 0.9) -> DataFrame:
+        """``id, score`` of the points whose outlier score is over the given percentile of all scores."""
+        limit = self.outlier_scores.agg(F.percentile("score", F.lit(share)).alias("limit"))
+        return self.outlier_scores.crossJoin(F.broadcast(limit)).where("score > limit").select("id", "score")  # one row
+
     @cached_property
     def persistence(self) -> DataFrame:
         """``label, persistence``."""
@@ -320,7 +325,10 @@ def cut_labels(mst: DataFrame, points: DataFrame, distance: float, min_cluster_s
 
 
 class DensityClusterer:
-    """Hierarchical density clustering of points, or of a table of distances.
+    """Hierarchical density clustering of points, or of a table of distances (metric "precomputed").
+
+    For distances, ``max_dist`` stands for reachabilities that aren't finite, and ``missing="inf"`` joins parts
+    without distances between them at infinity, with a warning; without either they are an error.
 
     Parameters that only tune another engine (``algorithm``, ``leaf_size``,
     ``approx_min_span_tree``, ``core_dist_n_jobs``, ``memory``, ``gen_min_span_tree``) are accepted and change
@@ -415,7 +423,13 @@ class DensityClusterer:
         graph = S.edge_reachability(near, core, p["alpha"], self.metric_kwargs.get("max_dist", 0.0))
         mst, parts = boruvka(graph.select(F.col("i").alias("a"), F.col("j").alias("b"), "w"))
         mst = materialize(mst, "mst")
-        if mst.count() != max(n - 1, 0):
+        missing = max(n - 1, 0) - mst.count()
+        if missing and self.metric_kwargs.get("missing") == "inf":
+            # Distances left out are infinite: the parts are joined at the least node of all.
+            least = nodes.join(parts.withColumnRenamed("node", "pos"), "pos", "left").groupBy(F.coalesce("part", "pos").alias("part")).agg(F.min("pos").alias("b"))
+            mst = materialize(mst.unionByName(least.where("b > 0").select(F.lit(0).cast("long").alias("a"), "b", F.lit(float("inf")).alias("w"))), "mst")
+            warnings.warn("the spanning tree has infinite edges: distances are missing between parts of the data", UserWarning, stacklevel=3)
+        elif missing:
             raise ValueError("the distances don't connect all points: there is more than one component; add distances or give max_dist")
         return DensityModel(nodes, n, n, core, mst, p, None, 0)
 
@@ -470,9 +484,3 @@ def _small(k: int, metric: Metric, alpha: float):
 def density_cluster(points: DataFrame, **params) -> DataFrame:
     """``id, label, probability`` in one call."""
     return DensityClusterer(**params).fit_predict(points)
-
-
-def warn_infinite(model: DensityModel) -> None:
-    """Warn where the spanning tree holds an infinite edge."""
-    if not model._kind(MST).where(F.col("x") == F.lit(float("inf"))).isEmpty():
-        warnings.warn("the spanning tree has infinite edges: distances are missing between parts of the data", UserWarning, stacklevel=2)

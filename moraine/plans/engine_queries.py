@@ -216,7 +216,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(t.select(F.col("parent").alias("a"), F.col("child").alias("b")))
 
 
-@query(f"""WITH RECURSIVE {_B4}, {_CORE5.format(t='blobs')},
+_PRIM = f"""WITH RECURSIVE {_B4}, {_CORE5.format(t='blobs')},
 pts AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM blobs),
 g AS (SELECT p.k AS i, q.k AS j, greatest(a.core, b.core, d) AS w FROM d JOIN core a ON a.id = i JOIN core b ON b.id = j JOIN pts p ON p.id = i JOIN pts q ON q.id = j),
 m AS (SELECT i, list(w ORDER BY j) AS ws FROM (SELECT i, j, w FROM g UNION ALL SELECT k, k, 1e300 FROM pts) GROUP BY i),
@@ -226,7 +226,10 @@ prim(step, cur, best, seen, w) AS (
   SELECT step + 1, nxt, list_transform(best, lambda v, k: least(v, m.ws[k])), list_transform(seen, lambda v, k: v OR k = nxt), nw
   FROM (SELECT step, best, seen, list_min(open) AS nw, list_position(open, list_min(open)) AS nxt FROM (SELECT step, best, seen, list_transform(best, lambda v, k: CASE WHEN seen[k] THEN 1e301 ELSE v END) AS open FROM prim WHERE step < (SELECT count(*) - 1 FROM pts)))
   JOIN m ON m.i = nxt)
-SELECT round(w, 6) AS w, count(*) AS edges FROM prim WHERE step > 0 GROUP BY 1""")
+SELECT round(w, 6) AS w, count(*) AS edges FROM prim WHERE step > 0 GROUP BY 1"""
+
+
+@query(_PRIM)
 def mst_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weights of the spanning tree and how often each occurs."""
     model = DensityClusterer(min_samples=5, min_cluster_size=10).fit(inputs.blobs2d(spark, sf_dir)).model
@@ -316,6 +319,12 @@ def cluster_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, 1.0, max_cluster_size=60, cluster_selection_epsilon_max=0.3).result
 
 
+@query(_PRIM)
+def linkage_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances at which the single-linkage tree merges: those of the spanning tree."""
+    return _fit(spark, sf_dir).single_linkage_tree.groupBy(r6("distance").alias("w")).agg(F.count(F.lit(1)).alias("edges"))
+
+
 @query()
 def single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir).single_linkage_tree
@@ -331,6 +340,12 @@ def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir, 1.0).outlier_scores
 
 
+@query()
+def outliers_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tenth of the points with the highest outlier scores."""
+    return _fit(spark, sf_dir, 1.0).outliers_above(0.9)
+
+
 @query()
 def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, sf_dir).exemplars
@@ -467,6 +482,56 @@ def predict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Predictor(_fit(spark, sf_dir)).labels(_new(spark, sf_dir))
 
 
+_TRUTH = "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY label) AS first_id FROM embeddings"
+
+
+def _placed(model: DensityModel, labels: DataFrame) -> DataFrame:
+    """Labels of new points by the least id of the model's cluster."""
+    first = model.result.where("label >= 0").groupBy("label").agg(F.min("id").alias("first_id"))
+    return labels.join(first, "label", "left").select("id", "first_id")
+
+
+@query(_TRUTH)
+def predict_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New points near the blobs fall to the blobs they come from."""
+    model = _fit(spark, sf_dir)
+    return _placed(model, Predictor(model).labels(_new(spark, sf_dir)))
+
+
+@query(_TRUTH)
+def membership_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest cluster of every training point."""
+    model = _fit(spark, sf_dir)
+    best = Predictor(model).all_memberships().groupBy("id").agg(F.max_by("label", "membership").alias("label"))
+    return _placed(model, best)
+
+
+@query(_TRUTH)
+def new_membership_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest cluster of every new point."""
+    model = _fit(spark, sf_dir)
+    best = Predictor(model).membership(_new(spark, sf_dir)).groupBy("id").agg(F.max_by("label", "membership").alias("label"))
+    return _placed(model, best)
+
+
+@query(_TRUTH)
+def stream_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New points read as a stream, by the blob they fall to."""
+    return _placed(_fit(spark, sf_dir), stream_scores(spark, sf_dir))
+
+
+@query(_TRUTH)
+def stored_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of a model that was written, read again and selected from anew."""
+    return _first_ids(stored_model(spark, sf_dir).select("id", "label"))
+
+
+@query(_TRUTH)
+def branch_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters that branches were looked for in."""
+    return _first_ids(branch_labels(spark, sf_dir).select("id", F.col("cluster_label").alias("label")))
+
+
 @query()
 def predict_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Predictor(_fit(spark, sf_dir)).scores(_new(spark, sf_dir))

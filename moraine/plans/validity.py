@@ -37,6 +37,17 @@ def all_points_core_distances(points: DataFrame, metric: Metric, dim: int) -> Da
     return sums.join(size, "label").select("pos", "label", value.alias("core"))
 
 
+def max_ratio(points: DataFrame, metric: Metric) -> float:
+    """The largest core distance over distance to another point of the label, of ``pos, x, label, core``: a
+    diagnostic of how much the core distances outweigh the distances. Equal points don't count; 0 if none is left."""
+
+    def least(d: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return np.max(np.where(d > 0, 1 / np.where(d > 0, d, 1), 0.0), axis=1, initial=0.0)
+
+    near = reduce_pairs(points.withColumn("weight", F.lit(1.0)), metric, least, combine="max")
+    return float(near.join(points.select("pos", "core"), "pos").agg(F.max(F.col("total") * F.col("core"))).first()[0] or 0.0)
+
+
 def internal_trees(points: DataFrame, metric: Metric) -> tuple[DataFrame, DataFrame]:
     """Per label, of ``pos, x, label, core``: (edges ``label, a, b, w``, inner nodes ``label, pos``) of its spanning tree.
 

@@ -222,6 +222,12 @@ def test_precomputed(spark, three):
     far = spark.createDataFrame([(0, 1, 1.0), (2, 3, 1.0)], "i long, j long, d double")
     with pytest.raises(ValueError, match="component"):
         DensityClusterer(metric="precomputed", min_cluster_size=2).fit(far)
+    with pytest.warns(UserWarning, match="infinite"):
+        joined = DensityClusterer(metric="precomputed", min_cluster_size=2, min_samples=1, missing="inf").fit(far).model
+    assert joined.minimum_spanning_tree.count() == 3 and len(set(labels_of(joined.result)) - {-1}) == 2
+    given = DensityClusterer(metric="precomputed", min_cluster_size=2, min_samples=1, max_dist=9.0)
+    with pytest.raises(ValueError, match="component"):
+        given.fit(far)  # there is no edge at all between the parts
     square = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(d[:5, :5])], "id long, features array<double>")
     assert P.matrix_edges(square).count() == 20
     with pytest.raises(ValueError, match="square"):
@@ -266,6 +272,7 @@ def test_refit_and_options(fitted):
     assert 0 <= fitted.persistence.agg(F.min("persistence")).first()[0]
     assert fitted.dbscan(0.3, 5).where("label >= 0").select("label").distinct().count() >= 3
     assert -1 <= fitted.relative_validity() <= 1
+    assert 1 <= fitted.outliers_above(0.9).count() <= 17
 
 
 def test_centroids_and_medoids(fitted):
@@ -343,6 +350,8 @@ def test_validity(spark, fitted):
     assert index > 0.5 and per.count() == 3
     raw, _ = validity.validity(own, raw_distances=True)
     assert raw > 0.5
+    core = validity.all_points_core_distances(own.where("label >= 0"), Metric(), 2)
+    assert validity.max_ratio(own.where("label >= 0").join(core.select("pos", "core"), "pos"), Metric()) > 1
     one = own.withColumn("label", F.lit(0))
     assert math.isnan(validity.validity(one)[0])
     assert validity.validity(own.withColumn("label", F.lit(-1)))[0] == 0.0
