@@ -282,6 +282,55 @@ class Metric:
         den = {"jaccard": neq + ntt, "dice": 2 * ntt + neq, "sokalsneath": 0.5 * ntt + neq}[n]
         return np.where(den > 0, neq / np.where(den > 0, den, 1), 0.0)
 
+    # Euclidean distances of more than a few dimensions are first screened by one matrix
+    # product; what may count is then computed as everywhere else, to the same last bit.
+
+    def _screened(self, x: np.ndarray) -> bool:
+        return self.name == "euclidean" and x.shape[1] > 4
+
+    def rough(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+        """Distances of all rows of ``x`` to all of ``y``, each within the error given second (0: exact)."""
+        if not self._screened(x) or not len(x) or not len(y):
+            return self.pairwise(x, y), 0.0
+        mean = y.mean(0)
+        a, b = x - mean, y - mean
+        a2, b2 = (a * a).sum(1), (b * b).sum(1)
+        d = a @ b.T
+        d *= -2
+        d += a2[:, None]
+        d += b2
+        np.sqrt(np.maximum(d, 0, out=d), out=d)
+        # |d'^2 - d^2| <= e implies |d' - d| <= sqrt(e).
+        return d, float(np.sqrt(1e-14 * x.shape[1] * max(a2.max() + b2.max(), 1e-300)))
+
+    def paired(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Distances of the rows of ``x`` to the same rows of ``y``; as :meth:`pairwise` makes them."""
+        if self.name != "euclidean":
+            return np.array([self.dist(u, v) for u, v in zip(x, y)])
+        total = np.zeros(len(x))
+        for j in range(x.shape[1]):
+            d = x[:, j] - y[:, j]
+            total += d * d
+        return np.sqrt(total)
+
+    def near_pairs(self, x: np.ndarray, y: np.ndarray, limit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of rows at most ``limit`` apart (a number, or one for each pair), and their distances."""
+        d, error = self.rough(x, y)
+        i, j = np.nonzero(d <= limit + error)
+        if not error:
+            return i, j, d[i, j]
+        real = self.paired(x[i], y[j])
+        ok = real <= (limit if np.isscalar(limit) else np.broadcast_to(limit, d.shape)[i, j])
+        return i[ok], j[ok], real[ok]
+
+    def from_one(self, point: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Distances of one point to points given as columns."""
+        if self.name != "euclidean":
+            return self.pairwise(point[None], columns.T)[0]
+        d = columns - point[:, None]
+        d *= d
+        return np.sqrt(d.sum(0))  # rows are added in their order, as in pairwise
+
     def box_gap(self, low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> np.ndarray:
         """A lower bound of the distances between two boxes (last axis: dimensions); 0 where none is known."""
         if self.name not in BOXED:

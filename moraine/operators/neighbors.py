@@ -44,20 +44,23 @@ def top_k(metric: Metric, q: np.ndarray, q_pos: np.ndarray, e: np.ndarray, e_pos
     e, e_pos = e[order], e_pos[order]
     step = max(1, _PIECE // len(e))
     for s in range(0, len(q), step):
-        d = metric.pairwise(q[s : s + step], e)
+        d, error = metric.rough(q[s : s + step], e)
         if itself is not None:
             at = np.searchsorted(e_pos, q_pos[s : s + step]).clip(0, len(e) - 1)
             mine = np.flatnonzero(e_pos[at] == q_pos[s : s + step])
             d[mine, at[mine]] = -1.0 if itself else np.inf
         keep = min(k, len(e))
         kth = np.partition(d, keep - 1, axis=1)[:, keep - 1] if keep < len(e) else np.full(len(d), np.inf)
-        row, col = np.nonzero((d <= kth[:, None]) & (d < np.inf))
-        o = np.lexsort((col, d[row, col], row))
-        row, col = row[o], col[o]
+        row, col = np.nonzero((d <= (kth + 2 * error)[:, None]) & (d < np.inf))
+        real = d[row, col]
+        if error:
+            real = np.where(real < 0, -1.0, metric.paired(q[s + row], e[col]))
+        o = np.lexsort((col, real, row))
+        row, col, real = row[o], col[o], real[o]
         rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(d)))[row]
         take = rank < k
         ids[s + row[take], rank[take]] = e_pos[col[take]]
-        dist[s + row[take], rank[take]] = np.maximum(d[row[take], col[take]], 0)
+        dist[s + row[take], rank[take]] = np.maximum(real[take], 0)
     return ids, dist
 
 
@@ -78,10 +81,9 @@ def _search(metric: Metric, k: int | None, itself: bool | None, radius: float |
             step = max(1, _PIECE // int(e.sum()))
             for s in range(0, len(q), step):
                 own = q[s : s + step]
-                d = metric.pairwise(x[own], x[e])
-                i, j = np.nonzero(d <= radius)
+                i, j, d = metric.near_pairs(x[own], x[e], radius)
                 keep = pos[own][i] != pos[e][j] if itself is False else np.ones(len(i), bool)
-                yield batch(_PAIR, [pos[own][i][keep], pos[e][j][keep], d[i, j][keep]])
+                yield batch(_PAIR, [pos[own][i][keep], pos[e][j][keep], d[keep]])
 
     return run
 
@@ -107,8 +109,10 @@ def _entries(blocked: DataFrame, kind: int) -> DataFrame:
     return blocked.select("pos", "x", F.lit(float("inf")).alias("reach"), F.col("block").alias("task"), F.lit(kind).alias("kind"))
 
 
-def _by_task(df: DataFrame) -> DataFrame:
-    return df.repartition("task").sortWithinPartitions("task")
+def _by_task(df: DataFrame, tasks: int) -> DataFrame:
+    """Groups of the column ``task`` side by side; more partitions than groups, so that few share one."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4 * tasks, 4096))
+    return df.repartition(parts if tasks > 1 else 1, "task").sortWithinPartitions("task")
 
 
 _HOME = [("pos", pa.int64()), ("nbr", None), ("dist", None), ("reach", pa.float64()), ("routes", None), ("x", None)]
@@ -149,7 +153,7 @@ def _rounds(points: DataFrame, k: int, metric: Metric, itself: bool | None, quer
     entries = B.with_block(points.select("pos", "x"), splitter)
     both = _entries(entries, 2) if queries is None else _entries(entries, 0).unionByName(_entries(B.with_block(queries.select("pos", "x"), splitter), 1))
     box = B.boxes(entries, splitter.blocks) if splitter.blocks > 1 else None
-    home = _by_task(both).mapInArrow(_home(metric, k, itself, box), _HOME_SCHEMA)
+    home = _by_task(both, splitter.blocks).mapInArrow(_home(metric, k, itself, box), _HOME_SCHEMA)
     if box is None:
         return home, None
     home = materialize(home, "home")
@@ -157,7 +161,7 @@ def _rounds(points: DataFrame, k: int, metric: Metric, itself: bool | None, quer
     if routed.isEmpty():
         return home, None
     sent = routed.select("pos", "x", "reach", F.explode("routes").alias("task"), F.lit(1).alias("kind"))
-    return home, _by_task(_entries(entries, 0).unionByName(sent)).mapInArrow(_search(metric, k, itself, None), "pos long, nbr long, dist double")
+    return home, _by_task(_entries(entries, 0).unionByName(sent), splitter.blocks).mapInArrow(_search(metric, k, itself, None), "pos long, nbr long, dist double")
 
 
 def knn(points: DataFrame, k: int, metric: Metric, itself: bool | None = False, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -208,7 +212,7 @@ def within(points: DataFrame, radius: float, metric: Metric, itself: bool = Fals
         sent = _entries(asked, 1)
     else:
         sent = asked.mapInArrow(_send(metric, B.boxes(entries, splitter.blocks), radius), _SENT)
-    return _by_task(_entries(entries, 0).unionByName(sent)).mapInArrow(_search(metric, None, itself, radius), "pos long, nbr long, dist double")
+    return _by_task(_entries(entries, 0).unionByName(sent), splitter.blocks).mapInArrow(_search(metric, None, itself, radius), "pos long, nbr long, dist double")
 
 
 def core_distances(neighbours: DataFrame, k: int) -> DataFrame:

@@ -49,36 +49,35 @@ def prim(x: np.ndarray, core: np.ndarray, pos: np.ndarray, metric: Metric, alpha
     """
     n = len(x)
     order = np.argsort(pos, kind="stable")
-    x, core, pos = x[order], core[order], pos[order]
+    pos = pos[order]
+    # The points not yet in the tree are the first ``m`` columns; one that leaves is replaced by the last.
+    cols, c, rest = np.ascontiguousarray(x[order].T), core[order].copy(), np.arange(n)
     best, near = np.full(n, np.inf), np.full(n, -1, np.int64)
-    left = np.ones(n, bool)
     a, b, w = np.empty(n - 1, np.int64), np.empty(n - 1, np.int64), np.empty(n - 1)
-    now = 0
-    left[0] = False
+    at, m = 0, n
     for step in range(n - 1):
-        rest = np.flatnonzero(left)
-        d = metric.pairwise(x[now : now + 1], x[rest])[0]
+        now, point, own = int(rest[at]), cols[:, at].copy(), c[at]
+        m -= 1
+        cols[:, at], c[at], rest[at], best[at], near[at] = cols[:, m], c[m], rest[m], best[m], near[m]
+        d = metric.from_one(point, cols[:, :m])
         if alpha != 1.0:
             d = d / alpha
-        np.maximum(d, core[rest], out=d)
-        np.maximum(d, core[now], out=d)
-        old = best[rest]
-        better = d < old
-        tie = np.flatnonzero((d == old) & (near[rest] >= 0))
+        np.maximum(d, c[:m], out=d)
+        np.maximum(d, own, out=d)
+        better = d < best[:m]
+        tie = np.flatnonzero(d == best[:m])
         if len(tie):  # the smaller (low, high) of the two edges
-            r, o = rest[tie], near[rest[tie]]
+            r, o = rest[tie], near[tie]
             lo, hi, lo2, hi2 = np.minimum(r, now), np.maximum(r, now), np.minimum(r, o), np.maximum(r, o)
-            better[tie[(lo < lo2) | ((lo == lo2) & (hi < hi2))]] = True
-        better |= near[rest] < 0
-        best[rest[better]], near[rest[better]] = d[better], now
-        value = best[rest]
-        least = np.flatnonzero(value == value.min())
+            better[tie[(o < 0) | (lo < lo2) | ((lo == lo2) & (hi < hi2))]] = True
+        np.copyto(best[:m], d, where=better)
+        near[:m][better] = now
+        at = int(best[:m].argmin())
+        least = np.flatnonzero(best[:m] == best[at])
         if len(least) > 1:
-            r = rest[least]
-            least = least[np.lexsort((np.maximum(r, near[r]), np.minimum(r, near[r])))]
-        now = int(rest[least[0]])
-        left[now] = False
-        a[step], b[step], w[step] = pos[near[now]], pos[now], best[now]
+            r, o = rest[least], near[least]
+            at = int(least[np.lexsort((np.maximum(r, o), np.minimum(r, o)))[0]])
+        a[step], b[step], w[step] = pos[near[at]], pos[rest[at]], best[at]
     return a, b, w
 
 
@@ -158,7 +157,7 @@ def _pair_tasks(points: DataFrame, pairs: list[tuple[int, int]], run, schema: st
 
     sent = points.select("pos", "x", "core", "reach", "block").mapInArrow(send, "pos long, x array<double>, core double, reach double, block long, task long")
     cores = points.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(len(pairs), max(4 * cores, len(pairs) // 64)))
+    tasks = max(1, min(4 * len(pairs), max(4 * cores, len(pairs) // 64)))
     return sent.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(run, schema)
 
 
@@ -176,9 +175,10 @@ def _links(metric: Metric, alpha: float, pairs: list):
         for number, t in groups(batches, "task"):
             (x, cx, jx, _), (y, cy, jy, _) = _sides(t, pairs[number])
             best = np.inf
-            for s in range(0, len(x), 512):
-                w = np.maximum(metric.pairwise(x[s : s + 512], y) / alpha, np.maximum(np.maximum(cx[s : s + 512], jx[s : s + 512])[:, None], np.maximum(cy, jy)[None]))
-                best = min(best, float(w.min()))
+            for s in range(0, len(x), 128):
+                d, error = metric.rough(x[s : s + 128], y)
+                w = np.maximum((d + error) / alpha, np.maximum(np.maximum(cx[s : s + 128], jx[s : s + 128])[:, None], np.maximum(cy, jy)[None]))
+                best = min(best, float(w.min()))  # a bound from above is enough
             yield batch([("task", pa.int64()), ("w", pa.float64())], [[number], [best]])
 
     return run
@@ -191,10 +191,12 @@ def _crossings(metric: Metric, alpha: float, pairs: list, bound: list):
         for number, t in groups(batches, "task"):
             (x, cx, jx, px), (y, cy, jy, py) = _sides(t, pairs[number])
             a, b, w = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-            for s in range(0, len(x) if len(y) else 0, 512):
-                v = np.maximum(metric.pairwise(x[s : s + 512], y) / alpha, np.maximum(cx[s : s + 512][:, None], cy[None]))
-                i, j = np.nonzero(v <= np.maximum(np.maximum(jx[s : s + 512][:, None], jy[None]), bound[number]))
-                a, b, w = np.concatenate([a, px[s + i]]), np.concatenate([b, py[j]]), np.concatenate([w, v[i, j]])
+            for s in range(0, len(x) if len(y) else 0, 128):
+                most = np.maximum(np.maximum(jx[s : s + 128][:, None], jy[None]), bound[number])
+                i, j, d = metric.near_pairs(x[s : s + 128], y, most * alpha * (1 + 1e-12))
+                v = np.maximum(d / alpha, np.maximum(cx[s + i], cy[j]))
+                ok = v <= most[i, j]
+                a, b, w = np.concatenate([a, px[s + i[ok]]]), np.concatenate([b, py[j[ok]]]), np.concatenate([w, v[ok]])
                 if len(w) > 1_000_000:
                     keep = kruskal(a, b, w)
                     a, b, w = a[keep], b[keep], w[keep]
@@ -257,7 +259,8 @@ def spanning_tree(points: DataFrame, core: DataFrame, metric: Metric, alpha: flo
         return spark.createDataFrame([], "a long, b long, w double")
     splitter = B.plan(points, total, block)
     blocked = B.with_block(points.select("pos", "x"), splitter).join(core, "pos").select("pos", "x", "core", "block")
-    own = blocked.repartition("block").sortWithinPartitions("block").mapInArrow(_own_tree(metric, alpha), "kind int, a long, b long, w double, x array<double>, core double, block long")
+    parts = max(1, min(4 * splitter.blocks, 4096)) if splitter.blocks > 1 else 1
+    own = blocked.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_own_tree(metric, alpha), "kind int, a long, b long, w double, x array<double>, core double, block long")
     if splitter.blocks == 1:
         return own.where("kind = 0").select("a", "b", "w")
     own = materialize(own, "block-trees")

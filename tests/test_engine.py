@@ -470,3 +470,26 @@ def test_stream(spark, three, fitted, tmp_path):
     score_stream(stream, predict.Predictor(fitted), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     np.testing.assert_array_equal(labels_of(got), labels_of(fitted.result))
+
+
+def test_all_ways_to_a_distance_agree_to_the_bit():
+    m, rng = Metric(), np.random.default_rng(0)
+    for d in (2, 5, 24, 200):
+        for n in (1, 7, 500):
+            x = rng.normal(size=(n, d)) * 100
+            want = m.pairwise(x[:1], x)[0]
+            columns = np.ascontiguousarray(np.vstack([x, x]).T)
+            assert (m.from_one(x[0], columns[:, :n]) == want).all() and (m.paired(np.repeat(x[:1], n, 0), x) == want).all()
+            rough, error = m.rough(x, x)
+            assert (np.abs(rough - m.pairwise(x)) <= error + 1e-300).all()
+            i, j, r = m.near_pairs(x, x, float(np.median(want)))
+            assert set(zip(i, j)) == set(zip(*np.nonzero(m.pairwise(x) <= np.median(want)))) and (r == m.pairwise(x)[i, j]).all()
+
+
+def test_blocks_agree_in_many_dimensions(spark):
+    x = np.random.default_rng(7).normal(size=(300, 12)).round(1)
+    pts = P.from_arrays(spark, np.vstack([x, x[:20]]))
+    one = DensityClusterer(min_cluster_size=5).fit(pts).model
+    many = DensityClusterer(min_cluster_size=5, block=40).fit(pts).model
+    key = lambda m: sorted(map(tuple, m.minimum_spanning_tree.collect()))
+    assert key(one) == key(many)
