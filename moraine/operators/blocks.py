@@ -96,6 +96,15 @@ def plan(points: DataFrame, total: int, block: int = BLOCK, sample: int = SAMPLE
     return Splitter.fit(matrix(few.select("x").toArrow().column("x")), total, block)
 
 
+def spread(df: DataFrame, groups_: int) -> int:
+    """Partitions for so many groups of much work each: a few for each core, so that hashing
+    a few groups leaves no core with several of them; never many more than there are groups."""
+    if groups_ <= 1:
+        return 1
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4 * groups_, 4 * spark.sparkContext.defaultParallelism))
+
+
 def with_block(points: DataFrame, splitter: Splitter) -> DataFrame:
     """``points`` with the column ``block``."""
     if splitter.blocks == 1:
@@ -134,9 +143,26 @@ def boxes(blocked: DataFrame, blocks: int) -> Boxes:
     """
     schema = "block long, n long, low array<double>, high array<double>"
     part = blocked.select("block", "x").mapInArrow(_partial, schema)
-    t = part.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, schema).toArrow()
+    if blocks <= 1_024:  # a few rows per partition: one task merges them
+        part = part.repartition(1)
+    else:
+        part = part.repartition("block")
+    t = part.sortWithinPartitions("block").mapInArrow(_merge, schema).toArrow()
     low, high, at = matrix(t.column("low")), matrix(t.column("high")), t.column("block").to_numpy()
     d = low.shape[1]
     out = Boxes(np.zeros(blocks, np.int64), np.full((blocks, d), np.inf), np.full((blocks, d), -np.inf))
     out.count[at], out.low[at], out.high[at] = t.column("n").to_numpy(), low, high
     return out
+
+
+@dataclass
+class Layout:
+    """The blocks of a table of points, made once for all steps that use them."""
+
+    splitter: Splitter
+    boxes: Boxes | None  # None for a single block
+
+    @staticmethod
+    def of(points: DataFrame, total: int, block: int = BLOCK) -> Layout:
+        splitter = plan(points, total, block)
+        return Layout(splitter, boxes(with_block(points.select("pos", "x"), splitter), splitter.blocks) if splitter.blocks > 1 else None)

@@ -110,9 +110,8 @@ def _entries(blocked: DataFrame, kind: int) -> DataFrame:
 
 
 def _by_task(df: DataFrame, tasks: int) -> DataFrame:
-    """Groups of the column ``task`` side by side; more partitions than groups, so that few share one."""
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4 * tasks, 4096))
-    return df.repartition(parts if tasks > 1 else 1, "task").sortWithinPartitions("task")
+    """Groups of the column ``task`` side by side."""
+    return df.repartition(B.spread(df, tasks), "task").sortWithinPartitions("task")
 
 
 _HOME = [("pos", pa.int64()), ("nbr", None), ("dist", None), ("reach", pa.float64()), ("routes", None), ("x", None)]
@@ -147,12 +146,12 @@ def _home(metric: Metric, k: int, itself: bool | None, box: B.Boxes | None):
     return run
 
 
-def _rounds(points: DataFrame, k: int, metric: Metric, itself: bool | None, queries: DataFrame | None, block: int) -> tuple[DataFrame, DataFrame | None]:
+def _rounds(points: DataFrame, k: int, metric: Metric, itself: bool | None, queries: DataFrame | None, block: int, layout: B.Layout | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(what each query found at home, what the routed ones found elsewhere: ``pos, nbr, dist``; None if none is)."""
-    splitter = B.plan(points, points.count(), block)
+    layout = layout or B.Layout.of(points, points.count(), block)
+    splitter, box = layout.splitter, layout.boxes
     entries = B.with_block(points.select("pos", "x"), splitter)
     both = _entries(entries, 2) if queries is None else _entries(entries, 0).unionByName(_entries(B.with_block(queries.select("pos", "x"), splitter), 1))
-    box = B.boxes(entries, splitter.blocks) if splitter.blocks > 1 else None
     home = _by_task(both, splitter.blocks).mapInArrow(_home(metric, k, itself, box), _HOME_SCHEMA)
     if box is None:
         return home, None
@@ -187,11 +186,11 @@ def knn(points: DataFrame, k: int, metric: Metric, itself: bool | None = False,
     return done.unionByName(first.unionByName(more).select("pos", "nbr", "dist", rank).where(F.col("rank") <= k))
 
 
-def nearest_core(points: DataFrame, k: int, metric: Metric, itself: bool = False, block: int = BLOCK) -> DataFrame:
+def nearest_core(points: DataFrame, k: int, metric: Metric, itself: bool = False, block: int = BLOCK, layout: B.Layout | None = None) -> DataFrame:
     """``pos, core``: the distance of each point's ``k``-th neighbour (inf if there are fewer), without the neighbours' table."""
     if points.isEmpty():
         return points.sparkSession.createDataFrame([], "pos long, core double")
-    home, more = _rounds(points, k, metric, itself, None, block)
+    home, more = _rounds(points, k, metric, itself, None, block, layout)
     if more is None:
         return home.select("pos", F.col("reach").alias("core"))
     done = home.where(F.size("routes") == 0).select("pos", F.col("reach").alias("core"))

@@ -156,9 +156,7 @@ def _pair_tasks(points: DataFrame, pairs: list[tuple[int, int]], run, schema: st
                 yield pa.RecordBatch.from_arrays([*(got.column(c) for c in ("pos", "x", "core", "reach", "block")), pa.array(np.concatenate(tasks))], names=["pos", "x", "core", "reach", "block", "task"])
 
     sent = points.select("pos", "x", "core", "reach", "block").mapInArrow(send, "pos long, x array<double>, core double, reach double, block long, task long")
-    cores = points.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(4 * len(pairs), max(4 * cores, len(pairs) // 64)))
-    return sent.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(run, schema)
+    return sent.repartition(B.spread(points, len(pairs)), "task").sortWithinPartitions("task").mapInArrow(run, schema)
 
 
 def _sides(t: pa.Table, pair: tuple[int, int]):
@@ -242,7 +240,7 @@ def _bottlenecks(n: int, links: list[tuple[int, int, float]]) -> np.ndarray:
     return out
 
 
-def spanning_tree(points: DataFrame, core: DataFrame, metric: Metric, alpha: float = 1.0, block: int = B.BLOCK) -> DataFrame:
+def spanning_tree(points: DataFrame, core: DataFrame, metric: Metric, alpha: float = 1.0, block: int = B.BLOCK, layout: B.Layout | None = None) -> DataFrame:
     """The exact minimum spanning tree of mutual reachability: ``a, b, w``, n - 1 rows.
 
     Unique under (w, low, high). Each block makes its own tree, which tells for every point
@@ -257,15 +255,14 @@ def spanning_tree(points: DataFrame, core: DataFrame, metric: Metric, alpha: flo
     spark = points.sparkSession
     if total < 2:
         return spark.createDataFrame([], "a long, b long, w double")
-    splitter = B.plan(points, total, block)
+    layout = layout or B.Layout.of(points, total, block)
+    splitter, box = layout.splitter, layout.boxes
     blocked = B.with_block(points.select("pos", "x"), splitter).join(core, "pos").select("pos", "x", "core", "block")
-    parts = max(1, min(4 * splitter.blocks, 4096)) if splitter.blocks > 1 else 1
-    own = blocked.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_own_tree(metric, alpha), "kind int, a long, b long, w double, x array<double>, core double, block long")
+    own = blocked.repartition(B.spread(blocked, splitter.blocks), "block").sortWithinPartitions("block").mapInArrow(_own_tree(metric, alpha), "kind int, a long, b long, w double, x array<double>, core double, block long")
     if splitter.blocks == 1:
         return own.where("kind = 0").select("a", "b", "w")
     own = materialize(own, "block-trees")
     placed = own.where("kind = 1").select(F.col("a").alias("pos"), "x", "core", F.col("w").alias("reach"), "block")
-    box = B.boxes(placed, splitter.blocks)
     full = np.flatnonzero(box.count > 0)
     n = len(full)
     far, least = np.zeros(n), np.zeros(n)

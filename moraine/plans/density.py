@@ -18,6 +18,7 @@ from moraine.operators import neighbors as N
 from moraine.operators import spanning as S
 from moraine.operators import tree as T
 from moraine.operators.arrow import batch
+from moraine.operators.blocks import Layout
 from moraine.operators.forest import boruvka
 from moraine.operators.within_labels import reduce_pairs
 from moraine.session import materialize
@@ -458,8 +459,9 @@ def fit_tree(finite: DataFrame, n: int, k: int, metric: Metric, alpha: float, bl
         return core, both.where("kind = 1").select("a", "b", "w")
     if dim <= 4 and metric.name in BOXED:  # boxes tell much in few dimensions: small blocks, few pairs of them
         block = min(block, N.BLOCK)
-    core = materialize(N.nearest_core(finite, k, metric, block=block), "core")
-    return core, materialize(S.spanning_tree(finite, core, metric, alpha, block), "mst")
+    layout = Layout.of(finite, n, block)
+    core = materialize(N.nearest_core(finite, k, metric, layout=layout), "core")
+    return core, materialize(S.spanning_tree(finite, core, metric, alpha, layout=layout), "mst")
 
 
 def _small(k: int, metric: Metric, alpha: float):
