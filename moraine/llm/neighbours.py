@@ -16,6 +16,10 @@ from moraine.session import materialize
 
 #: Entries times queries of one distance matrix.
 _PIECE = 4_000_000
+#: A query that would have to visit more blocks than this is instead compared with all vectors, in large tasks.
+WIDE = 64
+#: Entries and queries of such a task.
+_WIDE_ENTRIES, _WIDE_QUERIES = 65_536, 16_384
 _HOME = "id long, nbr array<long>, dist array<double>, reach double, routes array<long>, vec array<double>"
 _FOUND = "id long, nbr long, dist double"
 
@@ -81,12 +85,15 @@ def _routes(x: np.ndarray, ids: np.ndarray, dist: np.ndarray, home: int, book: V
     if complete:
         low, high = x.min(0), x.max(0)
         near = blocks.box_gap(low, high, float(reach.max())) if np.isfinite(reach.max()) else np.arange(len(blocks.number))
-        routes: list = [[] for _ in range(len(x))]
-        for i in near.tolist():
-            if i != home:
-                for r in np.flatnonzero(blocks.gap(x, i) <= reach * (1 + 1e-12)):
-                    routes[r].append(int(blocks.number[i]))
-        return routes, reach
+        near = near[near != home]
+        step = max(1, 2_000_000 // (len(x) * x.shape[1]))
+        go = [np.empty((len(x), 0), bool)]
+        for s in range(0, len(near), step):
+            lo, hi = blocks.low[near[s : s + step]], blocks.high[near[s : s + step]]
+            d = np.maximum(np.maximum(lo[None] - x[:, None], x[:, None] - hi[None]), 0)
+            go.append(np.sqrt((d * d).sum(2)) <= (reach * (1 + 1e-12))[:, None])
+        go = np.concatenate(go, 1)
+        return [[-1] if n > WIDE else blocks.number[near[row]].tolist() for row, n in zip(go, go.sum(1))], reach
     return [sorted(int(blocks.number[i]) for i in visited)] * len(x), reach
 
 
@@ -125,7 +132,11 @@ def _visit(k: int):
 
 def _second_round(home: DataFrame, blocked: DataFrame, k: int) -> DataFrame:
     """What the routed queries find in the further blocks: ``id, nbr, dist``."""
-    routed = home.where(F.size("routes") > 0).select("id", "vec", "reach", F.explode("routes").alias("block"))
+    routed = home.where(_NARROW).select("id", "vec", "reach", F.explode("routes").alias("block"))
+    schema = "id long, vec array<double>, reach double, task long, kind int"
+    wide = home.where(_WIDE_ROW)
+    n = wide.count()
+    both = _wide_tasks(wide, n, blocked) if n else None
     load = {r["block"]: r["n"] for r in routed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row per block
     # A block that many queries come to is given to several tasks, each with all its entries.
     split = {b: math.ceil(n / (8 * V.BLOCK)) for b, n in load.items()}
@@ -144,16 +155,30 @@ def _second_round(home: DataFrame, blocked: DataFrame, k: int) -> DataFrame:
                 cols = [got.column("id"), got.column("vec"), pa.array(np.zeros(len(mine))), pa.array(got.column("block").to_numpy() * 4096 + part), pa.array(np.zeros(len(mine), np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "vec", "reach", "task", "kind"])
 
-    schema = "id long, vec array<double>, reach double, task long, kind int"
     parts = F.lit(1)
     for n in sorted(set(hot.values())):
         parts = F.when(F.col("block").isin([b for b, m in hot.items() if m == n]), F.lit(n)).otherwise(parts)
     task = F.col("block") * 4096 + F.pmod(F.xxhash64("id"), parts)
     queries = routed.select("id", "vec", "reach", task.alias("task"), F.lit(1).alias("kind"))
-    both = blocked.select("id", "vec", "block").mapInArrow(entries, schema).unionByName(queries)
+    narrow = blocked.select("id", "vec", "block").mapInArrow(entries, schema).unionByName(queries)
+    if not load:
+        narrow = None
+    both = narrow if both is None else both if narrow is None else narrow.unionByName(both)
     return both.repartition("task").sortWithinPartitions("task").mapInArrow(_visit(k), _FOUND)
 
 
+_WIDE_ROW, _NARROW = "size(routes) > 0 AND routes[0] < 0", "size(routes) > 0 AND routes[0] >= 0"
+
+
+def _wide_tasks(wide: DataFrame, n: int, blocked: DataFrame) -> DataFrame:
+    """The ``n`` queries of no near neighbours against all vectors: tasks of a share of both."""
+    many, few = math.ceil(blocked.count() / _WIDE_ENTRIES), math.ceil(n / _WIDE_QUERIES)
+    of_entry, of_query = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(many)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(few))
+    entries = blocked.select("id", "vec", F.lit(0.0).alias("reach"), of_entry.alias("e"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("q"), F.lit(0).alias("kind"))
+    queries = wide.select("id", "vec", F.lit(float("inf")).alias("reach"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("e"), of_query.alias("q"), F.lit(1).alias("kind"))
+    return entries.unionByName(queries).select("id", "vec", "reach", (-1 - (F.col("e") * F.lit(few) + F.col("q"))).cast("long").alias("task"), "kind")
+
+
 def knn(vectors: DataFrame, dim: int, k: int = 5, centroids: int = V.CENTROIDS, sample: int = V.SAMPLE, block: int = V.BLOCK, visit: int | None = None, complete: bool = True) -> DataFrame:
     """The ``k`` nearest other records of every record of ``id, vec``: ``id, nbr, dist, rank``.
 
@@ -168,7 +193,8 @@ def knn(vectors: DataFrame, dim: int, k: int = 5, centroids: int = V.CENTROIDS,
        ``visit`` vectors are seen (by default ``k + 1``).
     3. With ``complete``, a vector also goes to every block whose box is no farther than the
        k-th neighbour it has so far, so that the result is exact; without, to the traversed
-       blocks only, and the result is approximate.
+       blocks only, and the result is approximate. A vector with more than ``WIDE`` blocks to visit
+       is compared with all vectors instead, in tasks of a bounded share of both.
 
     Equal vectors are searched once: their first ``k + 1`` ids stand for them, however
     many there are. Vectors move once, plus the few that must visit another block.
@@ -190,7 +216,7 @@ def knn(vectors: DataFrame, dim: int, k: int = 5, centroids: int = V.CENTROIDS,
     run = _home(book, table, k, visit or k + 1, complete)
     home = materialize(blocked.select("block", "id", "vec").repartition("block").sortWithinPartitions("block").mapInArrow(run, _HOME), "home")
     pairs = F.explode(F.arrays_zip("nbr", "dist")).alias("p")
-    found = home.select("id", pairs).select("id", F.col("p.nbr").alias("nbr"), F.col("p.dist").alias("dist"))
+    found = home.where(f"NOT ({_WIDE_ROW})").select("id", pairs).select("id", F.col("p.nbr").alias("nbr"), F.col("p.dist").alias("dist"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "nbr"))
     if home.where(F.size("routes") > 0).isEmpty():
         ranked = home.select("id", F.posexplode(F.arrays_zip("nbr", "dist")).alias("i", "p")).select("id", F.col("p.nbr").alias("nbr"), F.col("p.dist").alias("dist"), (F.col("i") + 1).cast("int").alias("rank"))

@@ -166,3 +166,15 @@ def test_close_pairs_exact():
     want = {(a, b) for a, b in zip(*np.nonzero((full <= 0.5) & (label[:, None] == label))) if a < b}
     assert set(zip(i.tolist(), j.tolist())) == want
     np.testing.assert_allclose(d, full[i, j])
+
+
+def test_knn_without_structure(spark, monkeypatch):
+    """Every vector has many blocks to visit: all are compared with all, in tasks."""
+    monkeypatch.setattr(neighbours, "WIDE", 2)
+    monkeypatch.setattr(neighbours, "_WIDE_ENTRIES", 150)
+    monkeypatch.setattr(neighbours, "_WIDE_QUERIES", 100)
+    x = np.random.default_rng(9).uniform(size=(400, 8))
+    x[300:340] = x[:40]
+    ids = np.arange(400)
+    got = neighbours.knn(frame(spark, x, ids), 8, 5, centroids=12).collect()
+    assert {(r.id, r.nbr) for r in got} == brute(x, ids, 5) and len(got) == 2000
