@@ -15,6 +15,8 @@ from moraine.llm.words import pieces, spread, word_ids, words
 PHRASE = 12
 #: Items are sent to the executors in blocks of at most so many words.
 BLOCK_WORDS = 200_000
+#: Windows of an item and places of a document that near matches are counted for at once.
+_WINDOWS, _PLACES = 32, 32_768
 _SCHEMA = "doc_id long, item_id long, kind string, words long, doc_pos long, item_pos long"
 
 
@@ -120,29 +122,53 @@ def phrase_matches(index: PositionalIndex, items: Items, phrase: int = PHRASE) -
 def near_matches(index: PositionalIndex, items: Items, phrase: int = PHRASE, share: float = 0.9, slack: float = 1.5) -> tuple[np.ndarray, ...]:
     """Passages that hold most words of an item's window near by each other, in any order.
 
-    For each window of ``phrase`` terms the postings of its rarest term are taken; it
-    matches where at least ``share`` of the window's different terms lie within ``slack *
-    phrase`` words around. Per document and item the best passage: document, item index,
-    matched words, position in the document and in the item.
+    A window of ``phrase`` terms matches where any span of ``slack * phrase`` words of a document
+    holds at least ``share`` of the window's different terms. Spans are looked up by the
+    postings of the window's rarest terms, of which a match holds one; every span around
+    them is counted, so the outcome depends neither on them nor on the other documents.
+    Per document and item the best passage, the first of equal ones: document, item index, matched
+    words, position of the first of them in the document and of the window in the item.
     """
-    terms, item, starts = np.array(items.terms, np.int64), np.array(items.item, np.int64), np.array(items.starts, np.int64)
+    terms, starts = np.array(items.terms, np.int64), np.array(items.starts, np.int64)
     none = tuple(np.empty(0, np.int64) for _ in range(5))
     freq = index.frequency()
     found: list = []
-    reach = int(round(slack * phrase / 2))
+    span = int(round(slack * phrase))
+    around, inside = np.arange(1 - span, span), np.arange(span)
+    local = np.full(len(freq) + 2, -1, np.int64)  # the last two: unknown words and gaps
     for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
-        for s in range(a, b - phrase + 1, phrase // 2):
-            window = np.unique(terms[s : s + phrase])
-            need = int(np.ceil(share * len(window)))
-            by_rarity = window[np.argsort(freq[window], kind="stable")]
-            # A match misses at most len - need terms, so it holds one of the rarest len - need + 1.
-            at, _ = index.postings(by_rarity[: len(window) - need + 1])
-            if len(at):
-                around = index.tokens[at[:, None] + np.arange(-reach, reach + 1)]
-                n = (around[:, :, None] == window[None, None, :]).any(1).sum(1) if len(at) * len(window) * (2 * reach + 1) < 5e7 else sum((around == w).any(1).astype(np.int64) for w in window)
-                good = n >= need
-                if good.any():
-                    found.append((index.doc_of(at[good]), np.full(good.sum(), i), n[good], at[good], np.full(good.sum(), s - a)))
+        windows = np.arange(a, b - phrase + 1, phrase // 2)
+        for g in range(0, len(windows), _WINDOWS):
+            group = windows[g : g + _WINDOWS]
+            own, place = np.unique(terms[group[:, None] + np.arange(phrase)], return_inverse=True)
+            holds = np.zeros((len(group), len(own)), np.float32)
+            holds[np.arange(len(group))[:, None], place.reshape(len(group), phrase)] = 1
+            size = holds.sum(1)
+            need = np.ceil(share * size)
+            # A match misses at most size - need terms, so it holds one of the rarest size - need + 1.
+            rank = np.argsort(np.where(holds > 0, freq[own], np.iinfo(np.int64).max), axis=1, kind="stable")
+            rarest = np.unique(rank[np.arange(len(own)) < (size - need + 1)[:, None]])
+            at, _ = index.postings(own[rarest])
+            if not len(at):
+                continue
+            local[own] = np.arange(len(own))
+            for s in range(0, len(at), _PLACES):
+                # Spans with too few words of any of the group's windows are left out first.
+                known = local[index.tokens[at[s : s + _PLACES, None] + around]] >= 0
+                upto = np.cumsum(np.pad(known, ((0, 0), (1, 0))), 1, dtype=np.int32)
+                row, col = np.nonzero(upto[:, span:] - upto[:, :-span] >= need.min())
+                begin = np.unique(at[s + row] + around[col])
+                for k in range(0, len(begin), _PLACES):
+                    t = begin[k : k + _PLACES]
+                    word = local[index.tokens[t[:, None] + inside]]
+                    has = np.zeros((len(t), len(own) + 1), np.float32)
+                    has[np.arange(len(t))[:, None], word] = 1  # -1 is the spare last one
+                    n = has[:, :-1] @ holds.T
+                    row, w = np.nonzero(n >= need)
+                    if len(row):
+                        first = ((word[row] >= 0) & (holds[w[:, None], word[row]] > 0)).argmax(1) + t[row]
+                        found.append((index.doc_of(first), np.full(len(row), i), n[row, w].astype(np.int64), first, group[w] - a))
+            local[own] = -1
     if not found:
         return none
     doc, it, n, at, p = (np.concatenate(x) for x in zip(*found))

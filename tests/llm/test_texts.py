@@ -112,6 +112,27 @@ def test_near_matches(spark):
     assert [(r.doc_id, r.item_id, r.kind) for r in got] == [(1, 7, "near")]
 
 
+def found_near(texts, item_texts):
+    items = leakage.Items()
+    for j, t in enumerate(item_texts):
+        items.add(j, words(t))
+    doc, it, n, at, _ = leakage.near_matches(leakage.PositionalIndex(texts, items.known, 26), items)
+    return {(int(d), int(j), int(k), int(p)) for d, j, k, p in zip(doc, it, n, at)}
+
+
+def test_near_matches_whatever_the_rarest_word():
+    item = [f"w{i}" for i in range(12)]
+    edited = [" ".join(["a", *item[:k], "x", *item[k + 1 :], "b"]) for k in range(12)]
+    want = [(0, 11, 1 if k else 2) for k in range(12)]
+    for k, text in enumerate(edited):
+        assert found_near([text], [" ".join(item)]) == {(0, *want[k])}
+        for j in range(12):  # other documents make another word the rarest
+            others = [w for i, w in enumerate(item) if i != j] * 2
+            assert {x for x in found_near([text, *others], [" ".join(item)]) if x[0] == 0} == {(0, *want[k])}
+    stretched = " ".join(" z ".join(item[s : s + 2]) for s in range(0, 12, 2))  # 18 words
+    assert found_near([stretched], [" ".join(item)]) == {(0, 0, 12, 0)}
+
+
 def test_match_does_not_run_over_documents(spark):
     item = " ".join(f"k{i}" for i in range(14))
     d = docs(spark, [(1, " ".join(f"k{i}" for i in range(8)), "s"), (2, " ".join(f"k{i}" for i in range(8, 14)), "s")]).coalesce(1)
