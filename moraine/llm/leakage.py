@@ -122,7 +122,7 @@ def phrase_matches(index: PositionalIndex, items: Items, phrase: int = PHRASE) -
 def near_matches(index: PositionalIndex, items: Items, phrase: int = PHRASE, share: float = 0.9, slack: float = 1.5) -> tuple[np.ndarray, ...]:
     """Passages that hold most words of an item's window near by each other, in any order.
 
-    A window of ``phrase`` terms matches where any span of ``slack * phrase`` words of a document
+    A window of ``phrase`` terms, of which one starts at every place of an item, matches where any span of ``slack * phrase`` words of a document
     holds at least ``share`` of the window's different terms. Spans are looked up by the
     postings of the window's rarest terms, of which a match holds one; every span around
     them is counted, so the outcome depends neither on them nor on the other documents.
@@ -137,7 +137,7 @@ def near_matches(index: PositionalIndex, items: Items, phrase: int = PHRASE, sha
     around, inside = np.arange(1 - span, span), np.arange(span)
     local = np.full(len(freq) + 2, -1, np.int64)  # the last two: unknown words and gaps
     for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
-        windows = np.arange(a, b - phrase + 1, phrase // 2)
+        windows = np.arange(a, b - phrase + 1)
         for g in range(0, len(windows), _WINDOWS):
             group = windows[g : g + _WINDOWS]
             own, place = np.unique(terms[group[:, None] + np.arange(phrase)], return_inverse=True)

@@ -133,6 +133,42 @@ def test_near_matches_whatever_the_rarest_word():
     assert found_near([stretched], [" ".join(item)]) == {(0, 0, 12, 0)}
 
 
+def test_near_matches_at_every_offset_of_an_item():
+    item = [f"w{i}" for i in range(23)]
+    for s in range(12):
+        for k in range(1, 11):
+            text = " ".join(["a", *item[s : s + k], "x", *item[s + k + 1 : s + 12], "b"])
+            assert found_near([text], [" ".join(item)]) == {(0, 0, 11, 1)}
+
+
+def test_near_matches_against_brute_force():
+    random.seed(11)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [[random.choice(vocab) for _ in range(random.randint(8, 90))] for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        part = random.choice(items)
+        a = random.randint(0, max(len(part) - 12, 0))
+        part = [random.choice([w, w, w, w, w, w, "x", f"{w} x"]) for w in part[a : a + random.randint(9, 20)]]
+        texts.append(" ".join([random.choice(vocab) for _ in range(random.randint(0, 30))] + part + ["y"] * random.randint(0, 9)))
+    want = set()
+    for d, text in enumerate(texts):
+        w = words(text)
+        for j, v in enumerate(items):
+            best = []
+            for window in (set(v[s : s + 12]) for s in range(len(v) - 11)):
+                for t in range(-17, len(w)):
+                    at = [p for p in range(max(t, 0), min(t + 18, len(w))) if w[p] in window]
+                    n = len({w[p] for p in at})
+                    if n >= 0.9 * len(window):
+                        best.append((-n, at[0]))
+            if best:
+                want.add((d, j, -min(best)[0], min(best)[1]))
+    items = [" ".join(v) for v in items]
+    assert want and found_near(texts, items) == want
+    assert {(d, *x[1:]) for d, t in enumerate(texts) for x in found_near([t], items)} == want
+
+
 def test_match_does_not_run_over_documents(spark):
     item = " ".join(f"k{i}" for i in range(14))
     d = docs(spark, [(1, " ".join(f"k{i}" for i in range(8)), "s"), (2, " ".join(f"k{i}" for i in range(8, 14)), "s")]).coalesce(1)
