@@ -22,6 +22,10 @@ WIDE = 64
 _WIDE_ENTRIES, _WIDE_QUERIES = 65_536, 16_384
 _HOME = "id long, nbr array<long>, dist array<double>, reach double, routes array<long>, vec array<double>"
 _FOUND = "id long, nbr long, dist double"
+#: Records whose true neighbours tell how far an approximate search must go, and what is added to the recall asked for their being a sample.
+_TRIED, _MARGIN = 512, 0.03
+#: Vectors that it sees at least.
+_SEEN = 64
 
 
 def nearest(query: np.ndarray, query_id: np.ndarray, entry: np.ndarray, entry_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +65,38 @@ def nearest(query: np.ndarray, query_id: np.ndarray, entry: np.ndarray, entry_id
     return ids, dist
 
 
+def _reached(x: np.ndarray, book: V.Codebook, cell: np.ndarray) -> np.ndarray:
+    """Summed squared distance of each row's halves to the centroids of each cell."""
+    h, m = book.first.shape[1], len(book.second)
+    return V.squared(x[:, :h], book.first)[:, cell // m] + V.squared(x[:, h:], book.second)[:, cell % m]
+
+
+def _traversed(x: np.ndarray, home: int, book: V.Codebook, blocks: V.Blocks, visit: int) -> list:
+    """For each query the further blocks of the first cells, by summed distance from the query
+    itself, that hold ``visit`` vectors; [-1] for more than ``WIDE``."""
+    cell, count = blocks.cells()
+    own = [int(b) for b in blocks.number[list(blocks.of_cell(int(blocks.number[home]) >> V.SUB_BITS))] if b != blocks.number[home]]
+    at = np.searchsorted(cell, blocks.number[home] >> V.SUB_BITS)
+    if count[at] >= visit and len(own) <= WIDE:  # a query's own cell is its first
+        return [own] * len(x)
+    keep, out = min(WIDE + 1, len(cell)), []
+    step = max(1, _PIECE // len(cell))
+    for s in range(0, len(x), step):
+        d = _reached(x[s : s + step], book, cell)
+        near = np.sort(np.argpartition(d, keep - 1, axis=1)[:, :keep], 1)
+        near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), 1, kind="stable"), 1)
+        some = (np.cumsum(count[near], 1) < visit).sum(1) + 1
+        for row, n in zip(near, some):
+            go = [int(blocks.number[i]) for c in cell[row[:n]] for i in blocks.of_cell(int(c)) if i != home]
+            out.append([-1] if len(go) > WIDE or n > keep < len(cell) else sorted(go))
+    return out
+
+
 def _routes(x: np.ndarray, ids: np.ndarray, dist: np.ndarray, home: int, book: V.Codebook, blocks: V.Blocks, k: int, visit: int, complete: bool) -> tuple[list, np.ndarray]:
     """The further blocks that each query of a block must see, and how far its neighbours can be."""
     reach = dist[:, k - 1].copy()
+    if not complete:
+        return _traversed(x, home, book, blocks, visit), reach
     centre, seen, total = x.mean(0), [], 0
     cells = len(book.first) * len(book.second)
     for step, (cell, _) in enumerate(book.traverse(centre)):
@@ -81,20 +114,51 @@ def _routes(x: np.ndarray, ids: np.ndarray, dist: np.ndarray, home: int, book: V
         at = enough.argmax(1)
         bound = np.take_along_axis(far, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
         reach[inf] = np.where(enough.any(1), bound, np.inf)
-    visited = {i for i in seen if i != home}
-    if complete:
-        low, high = x.min(0), x.max(0)
-        near = blocks.box_gap(low, high, float(reach.max())) if np.isfinite(reach.max()) else np.arange(len(blocks.number))
-        near = near[near != home]
-        step = max(1, 2_000_000 // (len(x) * x.shape[1]))
-        go = [np.empty((len(x), 0), bool)]
-        for s in range(0, len(near), step):
-            lo, hi = blocks.low[near[s : s + step]], blocks.high[near[s : s + step]]
-            d = np.maximum(np.maximum(lo[None] - x[:, None], x[:, None] - hi[None]), 0)
-            go.append(np.sqrt((d * d).sum(2)) <= (reach * (1 + 1e-12))[:, None])
-        go = np.concatenate(go, 1)
-        return [[-1] if n > WIDE else blocks.number[near[row]].tolist() for row, n in zip(go, go.sum(1))], reach
-    return [sorted(int(blocks.number[i]) for i in visited)] * len(x), reach
+    low, high = x.min(0), x.max(0)
+    near = blocks.box_gap(low, high, float(reach.max())) if np.isfinite(reach.max()) else np.arange(len(blocks.number))
+    near = near[near != home]
+    step = max(1, 2_000_000 // (len(x) * x.shape[1]))
+    go = [np.empty((len(x), 0), bool)]
+    for s in range(0, len(near), step):
+        lo, hi = blocks.low[near[s : s + step]], blocks.high[near[s : s + step]]
+        d = np.maximum(np.maximum(lo[None] - x[:, None], x[:, None] - hi[None]), 0)
+        go.append(np.sqrt((d * d).sum(2)) <= (reach * (1 + 1e-12))[:, None])
+    go = np.concatenate(go, 1)
+    return [[-1] if n > WIDE else blocks.number[near[row]].tolist() for row, n in zip(go, go.sum(1))], reach
+
+
+def _measured_visit(blocked: DataFrame, book: V.Codebook, blocks: V.Blocks, k: int, recall: float) -> int:
+    """Vectors that a traversal must see to find ``recall`` of the ``k`` nearest.
+
+    A sample of records, fixed by a hash of the id, is compared with all vectors, and counted
+    is what each traversal sees before the cell of a true neighbour.
+    """
+    few = blocked.select("id", "vec").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(_TRIED).toArrow()
+    x, qid = matrix(few.column("vec")), few.column("id").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entry, block = batch.column("id").to_numpy(), batch.column("block").to_numpy()
+            ids, dist = nearest(x, qid, matrix(batch.column("vec")), entry, k)
+            order = np.argsort(entry, kind="stable")
+            ok = ids >= 0
+            cols = [pa.array(np.repeat(np.arange(len(x)), ok.sum(1))), pa.array(block[order[np.searchsorted(entry[order], ids[ok])]]), pa.array(dist[ok]), pa.array(ids[ok])]
+            yield pa.RecordBatch.from_arrays(cols, names=["q", "block", "dist", "nbr"])
+
+    near = blocked.select("id", "vec", "block").mapInArrow(run, "q long, block long, dist double, nbr long")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("dist", "nbr"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "block").toArrow()
+    q, wanted = near.column("q").to_numpy(), near.column("block").to_numpy() >> V.SUB_BITS
+    if not len(q):
+        return max(_SEEN, k + 1)
+    cell, count = blocks.cells()
+    before = np.empty(len(q), np.int64)
+    for i in np.unique(q):
+        order = np.argsort(_reached(x[i : i + 1], book, cell)[0], kind="stable")
+        seen = np.empty(len(cell), np.int64)
+        seen[order] = np.cumsum(count[order]) - count[order]
+        before[q == i] = seen[np.searchsorted(cell, wanted[q == i])]
+    return max(_SEEN, k + 1, int(np.quantile(before, min(recall + _MARGIN, 1.0), method="higher")) + 1)
 
 
 def _home(book: V.Codebook, blocks: V.Blocks, k: int, visit: int, complete: bool):
@@ -179,7 +243,7 @@ def _wide_tasks(wide: DataFrame, n: int, blocked: DataFrame) -> DataFrame:
     return entries.unionByName(queries).select("id", "vec", "reach", (-1 - (F.col("e") * F.lit(few) + F.col("q"))).cast("long").alias("task"), "kind")
 
 
-def knn(vectors: DataFrame, dim: int, k: int = 5, centroids: int = V.CENTROIDS, sample: int = V.SAMPLE, block: int = V.BLOCK, visit: int | None = None, complete: bool = True) -> DataFrame:
+def knn(vectors: DataFrame, dim: int, k: int = 5, centroids: int = V.CENTROIDS, sample: int = V.SAMPLE, block: int = V.BLOCK, visit: int | None = None, complete: bool = True, recall: float = 0.9) -> DataFrame:
     """The ``k`` nearest other records of every record of ``id, vec``: ``id, nbr, dist, rank``.
 
     Distance is Euclidean, ties go to the smaller id. ``vec`` has ``dim`` finite elements
@@ -188,13 +252,16 @@ def knn(vectors: DataFrame, dim: int, k: int = 5, centroids: int = V.CENTROIDS,
 
     1. Two codebooks, one per half of the vectors, are fitted on a bounded sample; every
        vector is put into the cell of its two nearest centroids.
-    2. Each block of a cell ranks its own vectors against themselves. From the block's centre
-       the pairs of centroids are traversed by summed distance with a heap, until
-       ``visit`` vectors are seen (by default ``k + 1``).
+    2. Each block of a cell ranks its own vectors against themselves.
     3. With ``complete``, a vector also goes to every block whose box is no farther than the
-       k-th neighbour it has so far, so that the result is exact; without, to the traversed
-       blocks only, and the result is approximate. A vector with more than ``WIDE`` blocks to visit
-       is compared with all vectors instead, in tasks of a bounded share of both.
+       k-th neighbour it has so far, so that the result is exact. In blocks of too few vectors the
+       pairs of centroids are traversed from the block's centre by summed distance with a heap, until
+       ``visit`` vectors (by default ``k + 1``) bound that distance.
+    4. Without, each vector goes to the cells nearest to itself by summed distance that
+       together hold ``visit`` vectors, and the result is approximate. By default ``visit`` is
+       measured: what a sample of records, compared with all vectors, needs for ``recall``, and 64 at least.
+    5. A vector with more than ``WIDE`` blocks to visit is compared with all vectors
+       instead, in tasks of a bounded share of both.
 
     Equal vectors are searched once: their first ``k + 1`` ids stand for them, however
     many there are. Vectors move once, plus the few that must visit another block.
@@ -213,7 +280,9 @@ def knn(vectors: DataFrame, dim: int, k: int = 5, centroids: int = V.CENTROIDS,
         unique = vectors.join(others, "id", "left_anti")
     blocked = V.with_block(unique, book)
     table = V.blocks(blocked.withColumn("n", F.lit(1)), dim)
-    run = _home(book, table, k, visit or k + 1, complete)
+    if not visit:
+        visit = k + 1 if complete else _measured_visit(blocked, book, table, k, recall)
+    run = _home(book, table, k, visit, complete)
     home = materialize(blocked.select("block", "id", "vec").repartition("block").sortWithinPartitions("block").mapInArrow(run, _HOME), "home")
     pairs = F.explode(F.arrays_zip("nbr", "dist")).alias("p")
     found = home.where(f"NOT ({_WIDE_ROW})").select("id", pairs).select("id", F.col("p.nbr").alias("nbr"), F.col("p.dist").alias("dist"))

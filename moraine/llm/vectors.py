@@ -195,6 +195,11 @@ class Blocks:
     def of_cell(self, cell: int) -> range:
         return range(*np.searchsorted(self.number, [cell << SUB_BITS, (cell + 1) << SUB_BITS]))
 
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """The occupied cells, ascending, and the number of vectors in each."""
+        cell, first = np.unique(self.number >> SUB_BITS, return_index=True)
+        return cell, np.add.reduceat(self.count, first)
+
     def box_gap(self, low: np.ndarray, high: np.ndarray, within: float) -> np.ndarray:
         """Indices of the blocks whose box may be within a distance of the given box."""
         left, limit = np.arange(len(self.number)), within * within * (1 + 1e-9) + 1e-12

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from moraine.llm import clusters, neighbours
+from moraine.llm import clusters, neighbours, queries
 from moraine.llm import vectors as V
 from moraine.operators import tree as T
 
@@ -76,6 +76,30 @@ def test_knn_approximate_recall(spark):
     assert len(few & want) < len(got & want)
 
 
+@pytest.mark.parametrize("structure", [False, True])
+def test_registered_approximate_recall(spark, tmp_path, structure):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2500, 24))
+    if structure:
+        x = x * 0.7 + rng.uniform(-6, 6, size=(40, 24))[rng.integers(0, 40, len(x))]
+    rows = [(i, v.tolist(), T0, 1) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "id long, raw_data array<double>, loaded_at timestamp, cluster_node long").write.parquet(f"{tmp_path}/prediction_data.parquet")
+    got = {(r.id, r.nbr) for r in queries.p5_approximate(spark, str(tmp_path)).collect()}
+    want = brute(x, np.arange(len(x)), 5)
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_approximate_search_starts_from_the_query(spark):
+    """With fewer blocks than ``WIDE`` nothing is compared with all; ``visit`` is measured or given."""
+    x = np.random.default_rng(6).uniform(size=(3000, 8))
+    want = brute(x, np.arange(3000), 5)
+    share = []
+    for options in ({}, {"visit": 300}, {"visit": 3000}):
+        got = {(r.id, r.nbr) for r in neighbours.knn(frame(spark, x), 8, 5, centroids=7, complete=False, **options).collect()}
+        share.append(len(got & want) / len(want))
+    assert 0.9 <= share[0] < 1 and share[2] == 1 and share[1] < share[0]
+
+
 def test_traversal_is_by_summed_distance():
     rng = np.random.default_rng(1)
     book = V.Codebook(rng.normal(size=(7, 2)), rng.normal(size=(5, 3)))
