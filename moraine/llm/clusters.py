@@ -18,7 +18,7 @@ from moraine.session import materialize
 
 _SENT = "id long, vec array<double>, label int, n long, task long, kind int"
 _GRAPH = "kind int, a long, b long, w double, part long, open boolean, degree long, n long, label int, task long"
-_SETS = "part long, id long, degree long, n long, label int, set_size long, level double, probability double"
+_SETS = "part long, id long, mutual boolean, n long, label int, set_size long, level double, probability double"
 
 
 def _send(blocks: V.Blocks, reach: float):
@@ -127,26 +127,34 @@ def _local(radius: float, min_samples: int):
     return run
 
 
-def hierarchy(ids: list, edges: list, min_size: int, epsilon: float) -> tuple[list, list, list]:
+def hierarchy(ids: list, edges: list, min_size: int, epsilon: float, copies: list | None = None) -> tuple[list, list, list]:
     """Of one component: each record's selected cluster (or -1), level at which it leaves, probability.
 
     ``edges``: (i, j, w) of its spanning tree over positions in ``ids``. Condensed with
     ``min_size``, clusters chosen by stability, those born below ``epsilon`` merged up; the
-    component itself may be chosen.
+    component itself may be chosen, and is then kept whole. With ``copies``, the number of records
+    of each, a record counts as up to ``min_size`` points, which join it where it first joins another.
     """
     n = len(ids)
     if n == 1:
         return [0], [T.INF], [1.0]
-    order = sorted(T.prim_order(n, edges), key=lambda e: e[2])
-    tree = T.condense(n, T.agglomerate(n, order), min_size)
+    order, m = T.prim_order(n, edges), n
+    if copies:
+        low: dict = {}
+        for a, b, w in edges:
+            low[a], low[b] = min(w, low.get(a, w)), min(w, low.get(b, w))
+        more = [k for k, c in enumerate(copies) for _ in range(min(c, min_size) - 1)]
+        order, m = [(k, n + i, low[k]) for i, k in enumerate(more)] + order, n + len(more)
+    order = sorted(order, key=lambda e: e[2])
+    tree = T.condense(m, T.agglomerate(m, order), min_size)
     weight = T.stability(tree)
     chosen = T.select(tree, weight, single=True, epsilon=epsilon)
-    got = T.labels(tree, chosen, weight, single=True, epsilon=epsilon)
-    level = [0.0] * n
+    got = T.labels(tree, chosen, weight, single=True, epsilon=epsilon or T.INF)
+    level = [0.0] * m
     for _, c, lam, s in tree.rows():
         if s == 1:
             level[c] = lam
-    return got.label, level, got.probability
+    return got.label[:n], level[:n], got.probability[:n]
 
 
 def _trees(min_size: int, epsilon: float):
@@ -154,10 +162,10 @@ def _trees(min_size: int, epsilon: float):
         out: list[list] = [[] for _ in range(8)]
 
         def flush():
-            cols = [pa.array(c, pa.float64() if k > 5 else pa.int32() if k == 4 else pa.int64()) for k, c in enumerate(out)]
-            return pa.RecordBatch.from_arrays(cols, names=["part", "id", "degree", "n", "label", "set_size", "level", "probability"])
+            cols = [pa.array(c, pa.float64() if k > 5 else pa.int32() if k == 4 else pa.bool_() if k == 2 else pa.int64()) for k, c in enumerate(out)]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "id", "mutual", "n", "label", "set_size", "level", "probability"])
 
-        for part, t in groups(batches, "part"):
+        for _, t in groups(batches, "part"):
             kind = t.column("kind").to_numpy()
             nodes, edges = t.filter(pa.array(kind == 0)), t.filter(pa.array(kind == 1))
             ids, n = nodes.column("a").to_pylist(), nodes.column("n").to_pylist()
@@ -165,13 +173,17 @@ def _trees(min_size: int, epsilon: float):
                 continue
             at = {x: k for k, x in enumerate(ids)}
             tree = [(at[a], at[b], w) for a, b, w in zip(*(edges.column(c).to_pylist() for c in ("a", "b", "w")))]
-            label, level, prob = hierarchy(ids, tree, min_size, epsilon)
+            mutual = all(d == sum(n) - 1 for d in nodes.column("degree").to_pylist())
+            label, level, prob = hierarchy(ids, tree, min_size, epsilon) if mutual else hierarchy(ids, tree, min_size, 0.0, n)
+            head: dict = {}
+            for x, c in zip(ids, label):
+                head.setdefault(c, x)
             size: dict = {}
             for c, k in zip(label, n):
                 size[c] = size.get(c, 0) + k
             for k, (x, c, lam, p) in enumerate(zip(ids, label, level, prob)):
                 if c >= 0 and size[c] >= min_size:
-                    row = (part * 1 if c == 0 else ids[label.index(c)], x, nodes.column("degree")[k].as_py(), n[k], nodes.column("label")[k].as_py(), size[c], lam, p)
+                    row = (head[c], x, mutual, n[k], nodes.column("label")[k].as_py(), size[c], lam, p)
                     for col, v in zip(out, row):
                         col.append(v)
             if len(out[0]) > 8192:
@@ -199,7 +211,8 @@ def similarity_sets(points: DataFrame, dim: int, radius: float, min_samples: int
     ``radius`` weigh max(core, core, distance). Each block keeps the spanning forest of its
     edges; components that reach over blocks are finished by distributed Borůvka rounds;
     each component's tree is condensed (``min_size``) and clusters are selected by
-    stability, where clusters born within ``radius`` are merged up to it. Equal vectors of a
+    stability. Only a component that is a mutual set is merged up to ``radius``, so it stays whole; of
+    the others, records outside of the selected clusters are in no set. Equal vectors of a
     label are one node that counts as many records. Records in no set, with a null label or
     label below 0 have no row. ``vec`` has ``dim`` finite elements, ids are distinct; an empty
     table gives no sets.
@@ -234,7 +247,7 @@ def similarity_sets(points: DataFrame, dim: int, radius: float, min_samples: int
     # Too small components never leave their partition; the others are the sets' trees.
     sets = final.repartition("part").sortWithinPartitions("part", "kind", "a", "b").mapInArrow(_trees(min_size, float(np.nextafter(radius, np.inf))), _SETS)
     sets = materialize(sets, "sets")
-    whole = sets.groupBy("part").agg(F.min("id").alias("first_id"), F.min(F.col("degree") == F.col("set_size") - 1).alias("mutual"))
+    whole = sets.groupBy("part").agg(F.min("id").alias("first_id"))
     sets = sets.join(whole, "part")
     if members is not None:
         more = V.maybe_broadcast(members.where("id != rep").select(F.col("id").alias("m"), "rep"), count)

@@ -182,6 +182,27 @@ def test_hierarchy_of_one_component():
     assert T.find([0, 0, 1], 2) == 0
 
 
+def test_sets_of_a_chained_component_are_its_stable_clusters(spark):
+    """Two dense groups and a single record between them, nearer to the first; the second has copies."""
+    line = [0.0, 0.1, 0.2, 0.3, 1.2, 2.15, 2.25, 2.35, 2.45, 2.45]
+    x = np.array([[v, 0.0] for v in line])
+    ids = np.array([5, 1, 2, 3, 0, 7, 8, 9, 10, 11])
+    got = clusters.similarity_sets(frame(spark, x, ids), 2, 1.0, min_samples=1).collect()
+    sets = {}
+    for r in got:
+        sets.setdefault(r.first_id, set()).add(r.id)
+    assert sets == {0: {0, 1, 2, 3, 5}, 7: {7, 8, 9, 10, 11}}
+    assert not any(r.mutual for r in got) and all(r.set_size == len(sets[r.first_id]) for r in got)
+
+
+def test_hierarchy_keeps_copies_and_a_lone_component():
+    edges = [(0, 1, 0.1), (1, 2, 0.1), (2, 3, 0.9), (3, 4, 0.5)]
+    label, _, _ = clusters.hierarchy(list(range(5)), edges, 3, 0.0, [1, 1, 1, 2, 1])
+    assert label[0] == label[1] == label[2] >= 0 and label[3] == label[4] >= 0 and label[0] != label[3]
+    label, _, _ = clusters.hierarchy(list(range(5)), [(i, i + 1, 0.5 + i / 10) for i in range(4)], 3, 0.0, [1] * 5)
+    assert label == [0] * 5
+
+
 def test_close_pairs_exact():
     x = np.random.default_rng(0).normal(size=(200, 3)) + 1e4
     label = np.arange(200) % 2
