@@ -11,8 +11,8 @@ from moraine.session import materialize
 
 #: Relative error of a value reported by a sketch.
 ALPHA = 0.01
-#: Values nearer to zero than this count as zero.
-TINY = 1e-12
+#: Below this, doubles lose digits and a reported value has no bounded relative error.
+TINY = 1e-300
 #: Distance between the indices of the smallest positive and negative values.
 _SPAN = 1 << 20
 
@@ -25,7 +25,7 @@ def bucket_of(value: Column, alpha: float = ALPHA) -> Column:
     """
     gamma = (1 + alpha) / (1 - alpha)
     index = F.ceil(F.log(F.abs(value)) / F.lit(math.log(gamma))) + F.lit(_SPAN)
-    return F.when(F.abs(value) < TINY, F.lit(0)).when(value > 0, index).otherwise(-index).cast("long")
+    return F.when(value == 0, F.lit(0)).when(value > 0, index).otherwise(-index).cast("long")
 
 
 def bucket_value(bucket: Column, alpha: float = ALPHA) -> Column:
@@ -119,10 +119,10 @@ def long_tailed(timings: DataFrame, ratio: float = 3.0, alpha: float = ALPHA) ->
     Where the error bound leaves the answer open, the two percentiles are made exact
     from the one bucket each of them lies in.
     """
-    found = materialize(timing_percentiles(timings, alpha).withColumn("r", F.col("p90") / F.col("p50")), "percentiles")
+    found = materialize(timing_percentiles(timings, alpha).withColumn("r", F.when(F.col("p50") > TINY, F.col("p90") / F.col("p50"))), "percentiles")
     slack = ((1 + alpha) / (1 - alpha)) ** 1.05
     sure = found.where(F.col("r") >= ratio * slack).select("c0", "c1")
-    open_ = found.where((F.col("r") < ratio * slack) & (F.col("r") >= ratio / slack))
+    open_ = found.where(F.col("r").isNull() | ((F.col("r") < ratio * slack) & (F.col("r") >= ratio / slack)))
     if open_.isEmpty():
         return sure
     rows = runs(timings)

@@ -105,3 +105,15 @@ def test_long_tailed(spark):
     assert sketch.long_tailed(runs(spark, rows).limit(0)).count() == 0
     p = {r.c1: r for r in sketch.timing_percentiles(runs(spark, rows)).collect()}
     assert p[5].n == 100 and p[1].n == 100
+
+
+def test_long_tails_of_tiny_values(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for c0, unit, tail in ((1, 1e-14, 4.0), (2, 1e-14, 2.0), (3, 1e-200, 3.0), (4, 1e-323, 3.0), (5, 1e-310, 2.0)):
+        rows += [(100 * c0 + i, c0, 0, unit if i < 6 else unit * tail, t0, t0) for i in range(10)]
+    df = spark.createDataFrame(rows, "run_id long, c0 int, c1 int, c2 double, measured_at timestamp, loaded_at timestamp")
+    want = {c for c in range(1, 6) if (v := sorted(r[3] for r in rows if r[1] == c))[8] >= 3 * v[4]}
+    assert {r.c0 for r in sketch.long_tailed(df).collect()} == want and {1, 4} <= want
+    p50 = {r.c0: r.p50 for r in sketch.timing_percentiles(df).collect()}
+    assert abs(p50[1] / 1e-14 - 1) <= 0.0101 and abs(p50[3] / 1e-200 - 1) <= 0.0101
