@@ -14,6 +14,7 @@ from moraine.operators import spanning as S
 from moraine.operators import stored_tree as ST
 from moraine.operators.forest import boruvka, connected_components
 from moraine.operators.within_labels import label_gaps, reduce_pairs
+from moraine.plans import engine_sql as E
 from moraine.plans import exports, flat, inputs, validity
 from moraine.plans.branches import BranchDetector
 from moraine.plans.density import DensityClusterer, DensityModel
@@ -39,6 +40,11 @@ def r6(c: str | F.Column) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits, so that another engine's rounding shows no difference."""
+    return df.select(*[r6(f.name).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
+
+
 # -- SQL of the derived inputs -------------------------------------------------------------
 
 _EMB = "emb64 AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)"
@@ -163,23 +169,31 @@ def finite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- graphs --------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_B4}, {_CORE5.format(t='blobs')} SELECT i, j, round(greatest(a.core, b.core, d / 1.5), 6) AS w FROM d JOIN core a ON a.id = i JOIN core b ON b.id = j WHERE i < j")
+@query(f"WITH {E.blobs('blobs', 4.0)}, {E.reach('blobs', 5, '1.5')}, u AS (SELECT i, w FROM pair UNION ALL SELECT j, w FROM pair) SELECT p.id, round(sum(w), 5) AS total, round(min(w), 6) AS least, round(max(w), 6) AS largest FROM u JOIN pts p ON p.k = u.i GROUP BY p.id")
 def mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual reachability over all pairs, summed per point."""
     p = inputs.blobs2d(spark, sf_dir).select(F.col("id").alias("pos"), F.col("features").alias("x"))
     core = materialize(N.core_distances(N.knn(p, 5, Metric()), 5), "core")
-    return S.reachability(p, core, Metric(), 2, 1.5).select("i", "j", r6("w").alias("w"))
+    return _per_point(S.reachability(p, core, Metric(), 2, 1.5))
+
 
+def _per_point(pairs: DataFrame) -> DataFrame:
+    ends = pairs.select(F.explode(F.array("i", "j")).alias("id"), "w")
+    return ends.groupBy("id").agg(F.round(F.sum("w"), 5).alias("total"), r6(F.min("w")).alias("least"), r6(F.max("w")).alias("largest"))
 
-_STORED = f"""WITH {_B4}, e AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM blobs a JOIN blobs b ON a.id <> b.id AND list_distance(a.x, b.x) <= 0.2),
-core AS (SELECT i AS id, d AS core FROM e QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 5)"""
 
+_STORED = f"""WITH RECURSIVE {E.blobs('blobs', 4.0)}, pts AS MATERIALIZED (SELECT 0 AS g, id, row_number() OVER (ORDER BY id) AS k FROM blobs),
+dist AS MATERIALIZED (SELECT p.k AS i, q.k AS j, list_distance(a.x, b.x) AS d FROM blobs a JOIN pts p ON p.id = a.id JOIN blobs b ON b.id <> a.id JOIN pts q ON q.id = b.id WHERE list_distance(a.x, b.x) <= 0.2),
+core AS MATERIALIZED (SELECT i, d AS core FROM dist QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 5),
+pair AS (SELECT 0 AS g, dist.i, dist.j, greatest(a.core, b.core, d) AS w FROM dist JOIN core a ON a.i = dist.i JOIN core b ON b.i = dist.j WHERE dist.i < dist.j)"""
 
-@query(_STORED + " SELECT i, j, round(greatest(a.core, b.core, d), 6) AS w FROM e JOIN core a ON a.id = i JOIN core b ON b.id = j WHERE i < j")
+
+@query(_STORED + ", u AS (SELECT i, w FROM pair UNION ALL SELECT j, w FROM pair) SELECT p.id, round(sum(w), 5) AS total, round(min(w), 6) AS least, round(max(w), 6) AS largest FROM u JOIN pts p ON p.k = u.i GROUP BY p.id")
 def sparse_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mutual reachability over stored distances only; points with under five are unreachable."""
+    """Mutual reachability over stored distances only, summed per point; points with under five are unreachable."""
     p = inputs.blobs2d(spark, sf_dir).select(F.col("id").alias("pos"), F.col("features").alias("x"))
     e = materialize(N.within(p, 0.2, Metric()).select(F.col("pos").alias("i"), F.col("nbr").alias("j"), F.col("dist").alias("d")), "edges")
-    return S.edge_reachability(e, N.core_of_edges(e, 5)).select("i", "j", r6("w").alias("w"))
+    return _per_point(S.edge_reachability(e, N.core_of_edges(e, 5)))
 
 
 _REACH = """WITH RECURSIVE {cte}, {core}, g AS (SELECT i, j FROM d JOIN core a ON a.id = i JOIN core b ON b.id = j WHERE greatest(a.core, b.core, d / {alpha}) < {cut}),
@@ -216,37 +230,50 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(t.select(F.col("parent").alias("a"), F.col("child").alias("b")))
 
 
-_PRIM = f"""WITH RECURSIVE {_B4}, {_CORE5.format(t='blobs')},
-pts AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM blobs),
-g AS (SELECT p.k AS i, q.k AS j, greatest(a.core, b.core, d) AS w FROM d JOIN core a ON a.id = i JOIN core b ON b.id = j JOIN pts p ON p.id = i JOIN pts q ON q.id = j),
-m AS (SELECT i, list(w ORDER BY j) AS ws FROM (SELECT i, j, w FROM g UNION ALL SELECT k, k, 1e300 FROM pts) GROUP BY i),
-prim(step, cur, best, seen, w) AS (
-  SELECT 0, 1::BIGINT, ws, list_transform(ws, lambda v, k: k = 1), 0.0::DOUBLE FROM m WHERE i = 1
-  UNION ALL
-  SELECT step + 1, nxt, list_transform(best, lambda v, k: least(v, m.ws[k])), list_transform(seen, lambda v, k: v OR k = nxt), nw
-  FROM (SELECT step, best, seen, list_min(open) AS nw, list_position(open, list_min(open)) AS nxt FROM (SELECT step, best, seen, list_transform(best, lambda v, k: CASE WHEN seen[k] THEN 1e301 ELSE v END) AS open FROM prim WHERE step < (SELECT count(*) - 1 FROM pts)))
-  JOIN m ON m.i = nxt)
-SELECT round(w, 6) AS w, count(*) AS edges FROM prim WHERE step > 0 GROUP BY 1"""
+_WEIGHTS = " SELECT round(w, 6) AS w, count(*) AS edges FROM {} GROUP BY 1"
+_EDGES = ' SELECT p.id AS "from", q.id AS "to", round(w, 6) AS distance, (step - 1)::INT AS step FROM mst JOIN pts p ON p.k = f JOIN pts q ON q.k = t'
 
 
-@query(_PRIM)
+@query(E.model("blobs", 4.0, upto="tree") + _WEIGHTS.format("mst"))
 def mst_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weights of the spanning tree and how often each occurs."""
     model = DensityClusterer(min_samples=5, min_cluster_size=10).fit(inputs.blobs2d(spark, sf_dir)).model
     return model.minimum_spanning_tree.groupBy(r6("distance").alias("w")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query()
+@query(E.model("blobs", 4.0, upto="tree") + _EDGES)
 def mst_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DensityClusterer(min_samples=5, min_cluster_size=10).fit(inputs.blobs2d(spark, sf_dir)).model.minimum_spanning_tree
+    return rounded(DensityClusterer(min_samples=5, min_cluster_size=10).fit(inputs.blobs2d(spark, sf_dir)).model.minimum_spanning_tree)
 
 
-@query()
+@query(E.model("noisy", 1.0, upto="tree") + _EDGES)
+def mst_edges_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by blocks of about 64 points: trees of blocks and the crossings between them."""
+    return rounded(DensityClusterer(min_samples=5, min_cluster_size=10, block=64).fit(inputs.blobs2d(spark, sf_dir, 1.0)).model.minimum_spanning_tree)
+
+
+_EMB_PAIRS = f"WITH RECURSIVE {_EMB}, {E.reach('emb64')}, {E.chain(upto='tree')}"
+
+
+@query(_EMB_PAIRS + _EDGES)
+def mst_edges_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By blocks, in 64 dimensions without structure: boxes prune little."""
+    return rounded(DensityClusterer(min_samples=5, min_cluster_size=10, block=64).fit(inputs.emb64(spark, sf_dir)).model.minimum_spanning_tree)
+
+
+@query(f"WITH {_B1} SELECT a.id, b.id AS nbr, round(list_distance(a.x, b.x), 6) AS dist, (row_number() OVER w)::INT AS rank FROM noisy a JOIN noisy b ON a.id <> b.id WINDOW w AS (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) QUALIFY row_number() OVER w <= 10")
+def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by blocks of about 64 points."""
+    p = inputs.blobs2d(spark, sf_dir, 1.0).select(F.col("id").alias("pos"), F.col("features").alias("x"))
+    return N.knn(p, 10, Metric(), block=64).select(F.col("pos").alias("id"), "nbr", r6("dist").alias("dist"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(_STORED + f", {E.chain(upto='tree')} SELECT least(p.id, q.id) AS a, greatest(p.id, q.id) AS b, round(w, 6) AS w FROM mst JOIN pts p ON p.k = f JOIN pts q ON q.k = t")
 def sparse_spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spanning forest of stored distances, by distributed rounds."""
     p = inputs.blobs2d(spark, sf_dir).select(F.col("id").alias("pos"), F.col("features").alias("x"))
     e = materialize(N.within(p, 0.2, Metric()).select(F.col("pos").alias("i"), F.col("nbr").alias("j"), F.col("dist").alias("d")), "edges")
-    return boruvka(S.edge_reachability(e, N.core_of_edges(e, 5)).select(F.col("i").alias("a"), F.col("j").alias("b"), "w"))[0]
+    return rounded(boruvka(S.edge_reachability(e, N.core_of_edges(e, 5)).select(F.col("i").alias("a"), F.col("j").alias("b"), "w"))[0])
 
 
 # -- clustering ------------------------------------------------------------------------------------
@@ -256,46 +283,72 @@ def _fit(spark: SparkSession, sf_dir: str, amplitude: float = 4.0, **params) ->
     return DensityClusterer(**({"min_cluster_size": 10, "min_samples": 5} | params)).fit(inputs.blobs2d(spark, sf_dir, amplitude)).model
 
 
-@query()
+_RESULT = " SELECT id, label, round(probability, 6) AS probability FROM lab"
+
+
+@query(E.model("blobs", 4.0) + _RESULT)
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: labels and probabilities of the 2-D blobs."""
-    return _fit(spark, sf_dir).result
+    return rounded(_fit(spark, sf_dir).result)
 
 
-@query("SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY label) AS first_id FROM embeddings")
+@query(E.model("blobs", 4.0) + " " + E.first_ids())
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each point's cluster by its least id; the blobs' labels are the truth."""
+    """Each point's cluster by its least id."""
     return _first_ids(_fit(spark, sf_dir).result)
 
 
-@query("SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY label) AS first_id FROM embeddings")
-def cluster_members_leaf_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same blobs as exactly ten clusters, by a flat cut of the leaf selection."""
-    return _first_ids(flat.recut(_fit(spark, sf_dir), 10).result)
+def _recut_sql(n: int, table: str, amplitude: float) -> str:
+    """A fit by stability, re-cut to ``n`` clusters."""
+    return f"WITH RECURSIVE {E.blobs(table, amplitude)}, {E.reach(table)}, {E.chain(epsilon='(SELECT eps FROM wanted)', between=E.recut(n))}"
+
 
+@query(_recut_sql(5, "noisy", 1.0) + " " + E.first_ids())
+def cluster_members_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping blobs as exactly five clusters, by a flat cut."""
+    return _first_ids(flat.recut(_fit(spark, sf_dir, 1.0), 5).result)
 
-@query(f"WITH {_B4}, t AS (SELECT vec_id AS id, label FROM embeddings) SELECT id, min(id) OVER (PARTITION BY label) AS first_id FROM t")
+
+@query(E.model("noisy", 1.0, method="leaf", upto="labels") + " " + E.first_ids())
+def cluster_members_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping blobs by the leaf selection."""
+    return _first_ids(_fit(spark, sf_dir, 1.0, cluster_selection_method="leaf").result)
+
+
+@query(E.model("noisy", 1.0) + " " + E.first_ids())
 def cluster_precomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blobs clustered from a table of all their distances."""
-    p = inputs.blobs2d(spark, sf_dir).select(F.col("id").alias("pos"), F.col("features").alias("x"))
+    """Overlapping blobs clustered from a table of all their distances."""
+    p = inputs.blobs2d(spark, sf_dir, 1.0).select(F.col("id").alias("pos"), F.col("features").alias("x"))
     model = DensityClusterer(min_cluster_size=10, min_samples=5, metric="precomputed").fit(N.pairwise(p, Metric(), 2)).model
     return _first_ids(model.result)
 
 
-@query()
+@query(E.model("noisy", 1.0) + _RESULT)
 def cluster_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir, 1.0).result
+    return rounded(_fit(spark, sf_dir, 1.0).result)
 
 
-@query()
+@query(E.model("noisy", 1.0, single=True) + _RESULT)
+def cluster_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the root among the clusters that may be selected."""
+    return rounded(_fit(spark, sf_dir, 1.0, allow_single_cluster=True).result)
+
+
+_PARTS = "parts AS MATERIALIZED (SELECT p_partkey AS id, [p_size::DOUBLE, p_retailprice::DOUBLE] AS x FROM part)"
+
+
+@query(f"WITH RECURSIVE {_PARTS}, {E.reach('parts', 15)}, {E.chain(mcs=15)}" + _RESULT)
 def cluster_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points with many duplicates, so with infinite lambdas."""
-    return DensityClusterer(min_cluster_size=15).fit(inputs.parts(spark, sf_dir)).model.result
+    return rounded(DensityClusterer(min_cluster_size=15).fit(inputs.parts(spark, sf_dir)).model.result)
 
 
-@query()
+_USERS = "users AS MATERIALIZED (SELECT user_id AS id, [count(*)::DOUBLE, avg(value)] AS x FROM events WHERE user_id IS NOT NULL GROUP BY user_id)"
+
+
+@query(f"WITH RECURSIVE {_USERS}, {E.reach('users')}, {E.chain(mcs=5)}" + _RESULT)
 def cluster_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DensityClusterer(min_cluster_size=5).fit(inputs.users(spark, sf_dir)).model.result
+    return rounded(DensityClusterer(min_cluster_size=5).fit(inputs.users(spark, sf_dir)).model.result)
 
 
 @query()
@@ -304,56 +357,87 @@ def fit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DensityClusterer().fit(inputs.orders(spark, sf_dir)).model.result
 
 
-@query()
+@query(E.model("noisy", 1.0, method="leaf", epsilon=0.05) + _RESULT)
 def cluster_leaf_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir, 1.0, cluster_selection_method="leaf", cluster_selection_epsilon=0.05).result
+    return rounded(_fit(spark, sf_dir, 1.0, cluster_selection_method="leaf", cluster_selection_epsilon=0.05).result)
+
+
+@query(E.model("noisy", 1.0, epsilon=0.12) + _RESULT)
+def cluster_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By stability, clusters born below a distance merged upwards."""
+    return rounded(_fit(spark, sf_dir, 1.0, cluster_selection_epsilon=0.12).result)
+
+
+@query(E.model("noisy", 1.0) + " SELECT label, round(persistence, 6) AS persistence FROM persist")
+def label_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_fit(spark, sf_dir, 1.0).persistence)
 
 
 @query()
 def cluster_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of little persistence collapsed before the selection."""
     return _fit(spark, sf_dir, 1.0, cluster_selection_persistence=1.0).persistence
 
 
-@query()
+@query(E.model("noisy", 1.0, cap=60, far=0.3) + _RESULT)
 def cluster_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir, 1.0, max_cluster_size=60, cluster_selection_epsilon_max=0.3).result
+    return rounded(_fit(spark, sf_dir, 1.0, max_cluster_size=60, cluster_selection_epsilon_max=0.3).result)
 
 
-@query(_PRIM)
+@query(E.model("blobs", 4.0, upto="link") + _WEIGHTS.format("link"))
 def linkage_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distances at which the single-linkage tree merges: those of the spanning tree."""
     return _fit(spark, sf_dir).single_linkage_tree.groupBy(r6("distance").alias("w")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query()
+@query(E.model("blobs", 4.0, upto="link") + " SELECT node AS parent, lft AS left_child, rgt AS right_child, round(w, 6) AS distance, size FROM link")
 def single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir).single_linkage_tree
+    return rounded(_fit(spark, sf_dir).single_linkage_tree)
 
 
-@query()
+@query(E.model("noisy", 1.0, upto="condensed") + " SELECT parent, child, round(lam, 6) AS lambda_val, size AS child_size FROM cond")
 def condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir, 1.0).condensed_tree
+    return rounded(_fit(spark, sf_dir, 1.0).condensed_tree)
 
 
-@query()
+@query(E.model("noisy", 1.0) + " SELECT cl.c AS cluster, coalesce(sel.label, -1) AS label, coalesce(cl.up, -1) AS parent, cl.size, round(cl.birth, 6) AS birth, round(t.death, 6) AS death, round(t.own, 6) AS stability, round(b.death, 6) AS subtree_death FROM cl JOIN stab t ON t.c = cl.c JOIN sub b ON b.c = cl.c LEFT JOIN sel ON sel.c = cl.c")
+def cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster of the hierarchy: size, birth, death, stability, its label if it is selected."""
+    return rounded(_fit(spark, sf_dir, 1.0).clusters)
+
+
+@query(E.model("noisy", 1.0) + " SELECT id, round(score, 6) AS score FROM score")
 def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir, 1.0).outlier_scores
+    return rounded(_fit(spark, sf_dir, 1.0).outlier_scores)
 
 
-@query()
+@query(E.model("noisy", 1.0) + " SELECT id, round(score, 6) AS score FROM score WHERE score > (SELECT quantile_cont(score, 0.9) FROM score)")
 def outliers_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tenth of the points with the highest outlier scores."""
-    return _fit(spark, sf_dir, 1.0).outliers_above(0.9)
+    return rounded(_fit(spark, sf_dir, 1.0).outliers_above(0.9))
 
 
-@query()
+@query(E.model("noisy", 1.0) + " SELECT e.label, e.id, round(x[1], 6) AS x, round(x[2], 6) AS y FROM exem e JOIN noisy USING (id)")
 def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir).exemplars
+    rows = _fit(spark, sf_dir, 1.0).exemplars
+    return rows.select("label", "id", r6(F.col("features")[0]).alias("x"), r6(F.col("features")[1]).alias("y"))
 
 
-@query()
+@query(E.model("noisy", 1.0) + f", {E.RELATIVE_VALIDITY}")
 def relative_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(_fit(spark, sf_dir).relative_validity(),)], "validity double")
+    return spark.createDataFrame([(round(_fit(spark, sf_dir, 1.0).relative_validity(), 9),)], "validity double")
+
+
+@query(E.model("noisy", 1.0) + ", c AS (SELECT l.label, l.id, sum(list_distance(x.x, y.x) * m.probability) AS cost FROM lab l JOIN lab m ON m.label = l.label AND m.id <> l.id JOIN noisy x ON x.id = l.id JOIN noisy y ON y.id = m.id WHERE l.label >= 0 GROUP BY ALL) SELECT label, id FROM c QUALIFY row_number() OVER (PARTITION BY label ORDER BY cost, id) = 1")
+def cluster_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of least weighted distance to their cluster."""
+    return _fit(spark, sf_dir, 1.0).weighted_medoids().select("label", "id")
+
+
+@query(E.model("noisy", 1.0) + " SELECT l.label, round(sum(b.x[1] * probability) / sum(probability), 6) AS c1, round(sum(b.x[2] * probability) / sum(probability), 6) AS c2 FROM lab l JOIN noisy b USING (id) WHERE l.label >= 0 GROUP BY l.label")
+def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _fit(spark, sf_dir, 1.0).weighted_centroids()
+    return c.select("label", r6(F.col("centroid")[0]).alias("c1"), r6(F.col("centroid")[1]).alias("c2"))
 
 
 # -- aggregates over labelled points ------------------------------------------------------------------
@@ -398,9 +482,18 @@ def density_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_gaps(rows.select("pos", "x", "label").join(core, "pos"), Metric()).select("a", "b", r6("gap").alias("gap"))
 
 
-@query()
+@query(E.validity("blobs", 4.0) + "SELECT label::INT AS label, size, round(sparseness, 6) AS sparseness, round(separation, 6) AS separation, round((separation - sparseness) / greatest(separation, sparseness), 6) AS validity FROM per")
 def validity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validity.validity(_labelled(spark, sf_dir).select("pos", "x", "label"))[1]
+    return rounded(validity.validity(_labelled(spark, sf_dir).select("pos", "x", "label"))[1])
+
+
+@query(E.validity("blobs", 4.0) + "SELECT g::INT AS label, id FROM inner_")
+def inner_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points with more than one edge in the tree of their label."""
+    rows = _labelled(spark, sf_dir)
+    core = validity.all_points_core_distances(rows.select("pos", "x", "label"), Metric(), 2).select("pos", "core")
+    inner = validity.internal_trees(materialize(rows.select("pos", "x", "label").join(core, "pos"), "cored"), Metric())[1]
+    return inner.join(rows.select("pos", "id"), "pos").select("label", "id")
 
 
 @query("SELECT label, count(*) AS n FROM (SELECT DISTINCT id, label, probability FROM cluster_result) GROUP BY label")
@@ -477,138 +570,142 @@ def _new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.blobs2d(spark, sf_dir, 3.9)
 
 
-@query()
-def predict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Predictor(_fit(spark, sf_dir)).labels(_new(spark, sf_dir))
-
-
-_TRUTH = "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY label) AS first_id FROM embeddings"
+_PLACED = E.model("noisy", 1.0) + ", " + E.PLACED.format(new=E.blobs("fresh", 0.9), table="noisy")
+_PUT = _PLACED + " SELECT id, label, round(probability, 6) AS probability, neighbor FROM put"
 
 
-def _placed(model: DensityModel, labels: DataFrame) -> DataFrame:
-    """Labels of new points by the least id of the model's cluster."""
-    first = model.result.where("label >= 0").groupBy("label").agg(F.min("id").alias("first_id"))
-    return labels.join(first, "label", "left").select("id", "first_id")
+def _overlap(spark: SparkSession, sf_dir: str) -> tuple[DensityModel, DataFrame]:
+    """The model of the overlapping blobs, and new points near them."""
+    return _fit(spark, sf_dir, 1.0), inputs.blobs2d(spark, sf_dir, 0.9)
 
 
-@query(_TRUTH)
-def predict_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New points near the blobs fall to the blobs they come from."""
-    model = _fit(spark, sf_dir)
-    return _placed(model, Predictor(model).labels(_new(spark, sf_dir)))
-
-
-@query(_TRUTH)
-def membership_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The likeliest cluster of every training point."""
-    model = _fit(spark, sf_dir)
-    best = Predictor(model).all_memberships().groupBy("id").agg(F.max_by("label", "membership").alias("label"))
-    return _placed(model, best)
-
-
-@query(_TRUTH)
-def new_membership_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The likeliest cluster of every new point."""
-    model = _fit(spark, sf_dir)
-    best = Predictor(model).membership(_new(spark, sf_dir)).groupBy("id").agg(F.max_by("label", "membership").alias("label"))
-    return _placed(model, best)
+@query(_PUT)
+def predict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, new = _overlap(spark, sf_dir)
+    return rounded(Predictor(model).labels(new))
 
 
-@query(_TRUTH)
-def stream_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New points read as a stream, by the blob they fall to."""
-    return _placed(_fit(spark, sf_dir), stream_scores(spark, sf_dir))
+@query(_PLACED + " " + E.NEW_SCORES)
+def predict_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, new = _overlap(spark, sf_dir)
+    return rounded(Predictor(model).scores(new))
 
 
-@query(_TRUTH)
-def stored_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clusters of a model that was written, read again and selected from anew."""
-    return _first_ids(stored_model(spark, sf_dir).select("id", "label"))
+_SOFT = " SELECT id, label, round(membership, 6) AS membership FROM soft"
 
 
-@query(_TRUTH)
-def branch_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clusters that branches were looked for in."""
-    return _first_ids(branch_labels(spark, sf_dir).select("id", F.col("cluster_label").alias("label")))
+@query(_PLACED + ", " + E.NEW_MEMBERSHIPS.format(asked="fresh", table="noisy") + _SOFT)
+def predict_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, new = _overlap(spark, sf_dir)
+    return rounded(Predictor(model).membership(new))
 
 
-@query()
-def predict_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Predictor(_fit(spark, sf_dir)).scores(_new(spark, sf_dir))
+@query(E.model("noisy", 1.0) + ", " + E.ALL_MEMBERSHIPS.format(asked="noisy", table="noisy") + _SOFT)
+def all_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(Predictor(_fit(spark, sf_dir, 1.0)).all_memberships())
 
 
-@query()
-def predict_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide(Predictor(_fit(spark, sf_dir)).membership(_new(spark, sf_dir)))
+@query(E.model("noisy", 1.0) + ", " + E.ALL_MEMBERSHIPS.format(asked="noisy", table="noisy") + " SELECT id, list(round(membership, 6) ORDER BY label) AS memberships FROM soft GROUP BY id")
+def membership_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One array per point."""
+    rows = wide(Predictor(_fit(spark, sf_dir, 1.0)).all_memberships())
+    return rows.select("id", F.transform("memberships", lambda v: F.round(v, 6)).alias("memberships"))
 
 
-@query()
-def all_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Predictor(_fit(spark, sf_dir)).all_memberships()
+_FLAT = _recut_sql(5, "noisy", 1.0)
 
 
-@query()
+@query(_FLAT + ", " + E.PLACED.format(new=E.blobs("fresh", 0.9), table="noisy") + " SELECT id, label, round(probability, 6) AS probability, neighbor FROM put")
 def predict_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat.approximate_predict_flat(_fit(spark, sf_dir), _new(spark, sf_dir), 5)
+    model, new = _overlap(spark, sf_dir)
+    return rounded(flat.approximate_predict_flat(model, new, 5))
 
 
-@query()
+@query(_FLAT + ", " + E.ALL_MEMBERSHIPS.format(asked="noisy", table="noisy") + _SOFT)
 def memberships_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat.all_points_membership_vectors_flat(_fit(spark, sf_dir), 5)
+    return rounded(flat.all_points_membership_vectors_flat(_fit(spark, sf_dir, 1.0), 5))
 
 
-@query()
+@query(_FLAT + ", " + E.PLACED.format(new=E.blobs("fresh", 0.9), table="noisy") + ", " + E.NEW_MEMBERSHIPS.format(asked="fresh", table="noisy") + _SOFT)
 def new_memberships_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat.membership_vector_flat(_fit(spark, sf_dir), _new(spark, sf_dir), 5)
+    model, new = _overlap(spark, sf_dir)
+    return rounded(flat.membership_vector_flat(model, new, 5))
 
 
-@query()
+def _branch_sql(method: str) -> str:
+    return E.model("blobs", 4.0) + ", " + E.branches(method)
+
+
+@query(_branch_sql("full") + " " + E.BRANCH_ROWS)
 def branch_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BranchDetector("full", min_cluster_size=5).fit(_fit(spark, sf_dir)).result
+    return rounded(BranchDetector("full", min_cluster_size=5).fit(_fit(spark, sf_dir)).result)
 
 
-@query()
+@query(_branch_sql("core") + " " + E.BRANCH_ROWS)
 def branch_labels_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BranchDetector("core", min_cluster_size=5).fit(_fit(spark, sf_dir)).result
+    return rounded(BranchDetector("core", min_cluster_size=5).fit(_fit(spark, sf_dir)).result)
 
 
-@query()
+@query(_branch_sql("full") + " SELECT g::INT AS cluster, parent, child, round(lam, 6) AS lambda_val, size AS child_size FROM bcond")
+def branch_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The condensed tree of each cluster's branches."""
+    return rounded(BranchDetector("full", min_cluster_size=5).fit(_fit(spark, sf_dir)).condensed_trees)
+
+
+@query(
+    _branch_sql("full")
+    + ", "
+    + E.PLACED.format(new=E.blobs("fresh", 3.9), table="blobs").replace("core4 AS MATERIALIZED (SELECT i, d AS core FROM dist QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 4),\n", "")
+    + """ SELECT p.id, CASE WHEN p.label < 0 THEN -1 WHEN o.n <= 2 THEN p.label ELSE b.label END::INT AS label, round(CASE WHEN p.label < 0 THEN 0 WHEN o.n <= 2 THEN p.probability ELSE (p.probability + b.branch_probability) / 2 END, 6) AS probability, p.label AS cluster_label, round(p.probability, 6) AS cluster_probability,
+CASE WHEN p.label < 0 OR o.n <= 2 THEN 0 ELSE b.branch_label END AS branch_label, round(CASE WHEN p.label < 0 OR o.n <= 2 THEN 1 ELSE b.branch_probability END, 6) AS branch_probability FROM put p LEFT JOIN boff o ON o.g = p.label LEFT JOIN bres b ON b.id = p.neighbor"""
+)
 def predict_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BranchDetector("full", min_cluster_size=5).fit(_fit(spark, sf_dir)).predict(_new(spark, sf_dir))
+    return rounded(BranchDetector("full", min_cluster_size=5).fit(_fit(spark, sf_dir)).predict(_new(spark, sf_dir)))
 
 
-@query()
+@query(_branch_sql("core") + " SELECT p.id AS parent, q.id AS child, round(e.lens, 6) AS centrality, round(e.mr, 6) AS mutual_reachability, e.g::INT AS component, round(1 / (1 + e.mr), 6) AS weight FROM bgraph e JOIN pts p ON p.k = e.i JOIN pts q ON q.k = e.j")
 def branch_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.approximation_graph(BranchDetector("core", min_cluster_size=5).fit(_fit(spark, sf_dir)))[1]
+    return rounded(exports.approximation_graph(BranchDetector("core", min_cluster_size=5).fit(_fit(spark, sf_dir)))[1])
 
 
-@query()
+@query(E.model("noisy", 1.0) + ", " + E.PLOT + " " + E.BARS)
 def plot_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.plot_data(_fit(spark, sf_dir))[0]
+    return rounded(exports.plot_data(_fit(spark, sf_dir, 1.0))[0])
 
 
-@query()
+@query(E.model("noisy", 1.0) + ", " + E.PLOT + " " + E.LINES)
 def plot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.plot_data(_fit(spark, sf_dir))[1]
+    return rounded(exports.plot_data(_fit(spark, sf_dir, 1.0))[1])
 
 
-@query()
+@query(E.model("noisy", 1.0) + ", " + E.PLOT + " " + E.BOUNDS)
+def plot_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(exports.plot_data(_fit(spark, sf_dir, 1.0))[2])
+
+
+@query(E.model("blobs", 4.0, upto="link") + " SELECT node AS parent, unnest([lft, rgt]) AS child, round(w, 6) AS weight FROM link")
 def linkage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.linkage_graph(_fit(spark, sf_dir))[1]
+    return rounded(exports.linkage_graph(_fit(spark, sf_dir))[1])
 
 
-@query()
+@query(E.model("noisy", 1.0, upto="condensed") + " SELECT parent, child, round(lam, 6) AS weight FROM cond")
+def condensed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(exports.condensed_graph(_fit(spark, sf_dir, 1.0))[1])
+
+
+@query(_PUT)
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New points read as a stream and placed in the frozen model."""
     import uuid
 
     from moraine.streaming.scoring import score_stream
 
+    model, new = _overlap(spark, sf_dir)
     where = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    _new(spark, sf_dir).write.parquet(f"{where}/in")
+    new.write.parquet(f"{where}/in")
     stream = spark.readStream.schema("id long, features array<double>").parquet(f"{where}/in")
-    score_stream(stream, Predictor(_fit(spark, sf_dir)), f"{where}/out", f"{where}/log").awaitTermination()
-    return spark.read.parquet(f"{where}/out").select("id", "label", "probability", "neighbor")
+    score_stream(stream, Predictor(model), f"{where}/out", f"{where}/log").awaitTermination()
+    return rounded(spark.read.parquet(f"{where}/out").select("id", "label", "probability", "neighbor"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
@@ -620,7 +717,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("start", "event_type", "n", r6("mean").alias("mean"))
 
 
-@query()
+@query(E.model("noisy", 1.0, mcs=15) + _RESULT)
 def stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model written, read again and selected from anew."""
     import uuid
@@ -628,5 +725,5 @@ def stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from moraine.sources.store import load_model, save_model
 
     where = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
-    save_model(_fit(spark, sf_dir), where)
-    return load_model(spark, where).refit(min_cluster_size=15).result
+    save_model(_fit(spark, sf_dir, 1.0), where)
+    return rounded(load_model(spark, where).refit(min_cluster_size=15).result)
