@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.llm import clusters, leakage, mixing, neighbours, repetition, sketch, topn
+from moraine.session import materialize
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = clusters.labelled_records(_t(spark, sf_dir, "prediction_data"), _t(spark, sf_dir, "cluster_map"))
+    points = materialize(clusters.labelled_records(_t(spark, sf_dir, "prediction_data"), _t(spark, sf_dir, "cluster_map")), "records")
     return clusters.similarity_sets(points, dim=24, radius=1.0)
 
 
@@ -51,7 +52,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every record among those that the index visits first: at least nine tenths of the true ones."""
-    found = neighbours.knn(neighbours.records(_t(spark, sf_dir, "prediction_data")), 24, 5, complete=False, recall=0.9)
+    found = neighbours.knn(materialize(neighbours.records(_t(spark, sf_dir, "prediction_data")), "records"), 24, 5, complete=False, recall=0.9)
     return found.select("id", "nbr", "dist", "rank")
 
 

@@ -7,7 +7,6 @@ but the box of the vectors really in it, so that a search can prove that it is c
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,6 +25,8 @@ CENTROIDS = 256
 SAMPLE = 16_384
 #: Vectors that a block should not exceed; cells expected to be larger are cut.
 BLOCK = 4_096
+#: Centroids that are seeded and moved; the work for more would grow with their square.
+SEEDED = 2_048
 #: Tables of at most so many (id, number) rows are sent to every executor; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A block's number is (cell << SUB_BITS) + number of its part.
@@ -76,10 +77,12 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 6) -> np.ndarray:
-    """Centroids: k-means++ seeding (greedy for far groups), then a few Lloyd rounds."""
+    """Centroids: k-means++ seeding (greedy for far groups), then a few Lloyd rounds; beyond ``SEEDED`` a draw of the vectors."""
     x = np.unique(x, axis=0)
     k = min(k, len(x))
     rng = np.random.default_rng(seed)
+    if k > SEEDED:
+        return x[np.sort(rng.choice(len(x), k, replace=False))]
     picked = [int(rng.integers(len(x)))]
     near = squared(x, x[picked])[:, 0]
     while len(picked) < k:
@@ -125,34 +128,16 @@ class Codebook:
                 block[here] += squared(x[here], self.parts[int(c)]).argmin(1)
         return block
 
-    def traverse(self, point: np.ndarray) -> Iterator[tuple[int, float]]:
-        """Cells in order of the summed squared distance of ``point``'s halves to their centroids.
-
-        A heap over pairs of ranks: a pair is pushed once its two predecessors are out.
-        """
-        h = self.first.shape[1]
-        da, db = squared(point[None, :h], self.first)[0], squared(point[None, h:], self.second)[0]
-        a, b = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
-        out: set = set()
-        heap = [(da[a[0]] + db[b[0]], 0, 0)]
-        while heap:
-            d, i, j = heapq.heappop(heap)
-            out.add((i, j))
-            yield int(a[i]) * len(self.second) + int(b[j]), float(d)
-            if i + 1 < len(a) and (j == 0 or (i + 1, j - 1) in out):
-                heapq.heappush(heap, (da[a[i + 1]] + db[b[j]], i + 1, j))
-            if j + 1 < len(b) and (i == 0 or (i - 1, j + 1) in out):
-                heapq.heappush(heap, (da[a[i]] + db[b[j + 1]], i, j + 1))
-
 
 def fit(vectors: DataFrame, dim: int, centroids: int = CENTROIDS, sample: int = SAMPLE, block: int = BLOCK, seed: int = 1) -> tuple[Codebook, int]:
     """A codebook for ``id, vec`` and the number of vectors.
 
-    Fitted on about ``sample`` vectors whose ids hash lowest; all vectors are then
-    assigned. Parts of large cells: as many as the sample lets expect, at most one for
-    each 8 sample vectors of the cell.
+    Fitted on about ``sample`` vectors whose ids hash lowest, or 8 for each block where that is more (a share
+    of 8 / ``block`` of the vectors); all vectors are then assigned. Parts of large cells: as many as the sample
+    lets expect, at most one for each 8 sample vectors of the cell, so blocks grow in number, not in size.
     """
     total = vectors.count()
+    sample = max(sample, 8 * math.ceil(total / block))
     if not total:
         return Codebook(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2))), 0
     few = vectors if total <= sample else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * sample / total)))
@@ -165,7 +150,7 @@ def fit(vectors: DataFrame, dim: int, centroids: int = CENTROIDS, sample: int =
     for c, n in zip(*np.unique(cell, return_counts=True)):
         parts = min(math.ceil(n * total / len(x) / block), n // 8, (1 << SUB_BITS) - 1)
         if parts > 1:
-            book.parts[int(c)] = kmeans(x[cell == c], parts, seed + 2)
+            book.parts[int(c)] = kmeans(x[cell == c], int(parts), seed + 2)
     return book, total
 
 

@@ -100,11 +100,35 @@ def test_approximate_search_starts_from_the_query(spark):
     assert 0.9 <= share[0] < 1 and share[2] == 1 and share[1] < share[0]
 
 
-def test_traversal_is_by_summed_distance():
-    rng = np.random.default_rng(1)
-    book = V.Codebook(rng.normal(size=(7, 2)), rng.normal(size=(5, 3)))
-    got = list(book.traverse(rng.normal(size=5)))
-    assert len({c for c, _ in got}) == 35 and [d for _, d in got] == sorted(d for _, d in got)
+def walk(rng, n=400, dim=6, centroids=5, block=20):
+    x = rng.normal(size=(n, dim))
+    book = V.Codebook(V.kmeans(x[:, : dim // 2], centroids, 1), V.kmeans(x[:, dim // 2 :], centroids, 2))
+    cell, count = np.unique(book.assign(x) >> V.SUB_BITS, return_counts=True)
+    book.parts[int(cell[count.argmax()])] = V.kmeans(x[book.assign(x) >> V.SUB_BITS == cell[count.argmax()]], 3, 3)
+    number, at, count = np.unique(book.assign(x), return_inverse=True, return_counts=True)
+    low, high = (np.stack([f(x[at == i], 0) for i in range(len(number))]) for f in (np.min, np.max))
+    return x, at, neighbours.Traversal(book, V.Blocks(number, count, low, high))
+
+
+def test_traversal_is_by_summed_distance_from_the_query():
+    x, at, w = walk(np.random.default_rng(1))
+    for q in range(0, 400, 17):
+        reached = w.reached(x[q : q + 1])[0]
+        way = w.order(x[q], reached, int(at[q]), len(x))
+        assert sorted(way) == list(range(len(w.blocks.number))) and way[0] == at[q]
+        d = reached[np.searchsorted(w.cell, w.blocks.number[way] >> V.SUB_BITS)]
+        assert (np.diff(d[1:]) >= 0).all() and d[0] == d.min()
+        few = w.order(x[q], reached, int(at[q]), 30)
+        assert few == way[: len(few)] and w.blocks.count[few].sum() >= 30 > w.blocks.count[few[:-1]].sum()
+
+
+def test_candidates_come_from_the_traversal(spark):
+    """With a traversal that ends in the own cell other neighbours are found; the exact search is proven all the same."""
+    x = np.random.default_rng(2).normal(size=(600, 6))
+    run = lambda **o: {(r.id, r.nbr) for r in neighbours.knn(frame(spark, x), 6, 5, centroids=6, **o).collect()}
+    want = brute(x, np.arange(600), 5)
+    assert len(run(complete=False, visit=1) & want) < len(run(complete=False, visit=200) & want)
+    assert run(visit=1) == run(visit=60) == want
 
 
 def test_rows_that_are_no_records(spark):
@@ -214,10 +238,10 @@ def test_close_pairs_exact():
 
 
 def test_knn_without_structure(spark, monkeypatch):
-    """Every vector has many blocks to visit: all are compared with all, in tasks."""
+    """Every vector has many blocks to visit: they go to groups of blocks, some to one block only."""
     monkeypatch.setattr(neighbours, "WIDE", 2)
-    monkeypatch.setattr(neighbours, "_WIDE_ENTRIES", 150)
-    monkeypatch.setattr(neighbours, "_WIDE_QUERIES", 100)
+    monkeypatch.setattr(neighbours, "_GROUP", 150)
+    monkeypatch.setattr(neighbours, "_GROUP_QUERIES", 100)
     x = np.random.default_rng(9).uniform(size=(400, 8))
     x[300:340] = x[:40]
     ids = np.arange(400)
