@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.operators.skew import current_rows, heavy_keys, salted_aggregate
+from moraine.operators.skew import current_rows, key_stats, salted_aggregate
 from moraine.session import materialize
 
 
@@ -103,13 +103,15 @@ def outlier_scores(rows: DataFrame) -> DataFrame:
     """
     death = subtree_deaths(rows)
     points = point_rows(rows)
-    heavy = heavy_keys(points, "parent")
+    heavy = list(key_stats(points, "parent").pieces)
     inf = F.lit(float("inf"))
     value = F.when((F.col("death") == 0) | (F.col("lambda_val") == inf), F.lit(0.0)).when(F.col("death") == inf, F.lit(1.0)).otherwise((F.col("death") - F.col("lambda_val")) / F.when(F.col("death") != 0, F.col("death")))
     pick = lambda df: df.select("parent", "child", value.alias("score"))
     renamed = death.withColumnRenamed("cluster", "parent")
-    light = pick((points.where(~F.col("parent").isin(heavy)) if heavy else points).join(renamed, "parent"))
     if not heavy:
-        return light
-    # At most 512 heavy parents: their deaths go to every task.
-    return light.unionByName(pick(points.where(F.col("parent").isin(heavy)).join(F.broadcast(renamed.where(F.col("parent").isin(heavy))), "parent")))
+        return pick(points.join(renamed, "parent"))
+    # Heavy parents are a few a partition: their deaths go to every task.
+    few = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in heavy], "parent long"))
+    near = renamed.join(few, "parent", "left_semi")
+    light = pick(points.join(few, "parent", "left_anti").join(renamed, "parent"))
+    return light.unionByName(pick(points.join(F.broadcast(near), "parent")))

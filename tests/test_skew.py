@@ -18,11 +18,26 @@ def at(n):
     return T0 + dt.timedelta(hours=n)
 
 
-def test_heavy_keys(spark):
+def test_key_stats(spark):
     df = spark.createDataFrame([(1,)] * 90 + [(2,)] * 10 + [(None,)] * 50, "k long")
-    assert skew.heavy_keys(df, "k", 0.5) == [1]
-    assert sorted(skew.heavy_keys(df, "k", 0.1)) == [1, 2]
-    assert skew.heavy_keys(df.limit(0), "k") == []
+    got = skew.key_stats(df, "k", 4)
+    assert (got.total, got.low, got.high) == (100, 1, 2) and got.pieces == {1: 15}
+    assert sorted(skew.key_stats(df, "k", 8).pieces) == [1, 2]
+    for none in (df.limit(0), df.where("k > 5"), df.where("k IS NULL"), spark.createDataFrame([], "k long")):
+        assert skew.key_stats(none, "k").pieces == {}
+
+
+def test_a_heavy_key_is_one_that_loads_a_partition(spark):
+    """2,000 keys of 1/2,000 each: nothing to split on 8 partitions, everything on 4,000."""
+    df = spark.range(60_000).select((F.col("id") % 2000).alias("k"), "id")
+    assert skew.key_stats(df, "k", 8).pieces == {}
+    many = skew.key_stats(df, "k", 4000)
+    assert len(many.pieces) == 2000 and set(many.pieces.values()) == {8}
+    got = skew.with_salt(df, "k", ["id"], many.pieces).groupBy("k", "salt").count()
+    assert got.count() > 10_000 and got.agg(F.max("count")).first()[0] <= 15
+    aggs = {"n": ("count", F.lit(1)), "s": ("sum", F.col("id"))}
+    total = skew.salted_aggregate(df, "k", aggs, ["id"], pieces=many.pieces)
+    assert sorted(map(tuple, total.collect())) == sorted((k, 30, sum(range(k, 60_000, 2000))) for k in range(2000))
 
 
 def test_salted_equals_plain(spark):
@@ -30,7 +45,7 @@ def test_salted_equals_plain(spark):
     rows = [(random.choice([1, 1, 1, 1, 2, 3, None]), random.choice([None, *range(50)]), i) for i in range(2000)]
     df = spark.createDataFrame(rows, "k long, v long, i long")
     aggs = {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "lo": ("min", F.col("v")), "hi": ("max", F.col("v"))}
-    got = skew.salted_aggregate(df, "k", aggs, ["i"], heavy=[1], salts=5)
+    got = skew.salted_aggregate(df, "k", aggs, ["i"], pieces={1: 5})
     want = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert got.columns == ["k", "n", "s", "lo", "hi"]
@@ -41,8 +56,8 @@ def test_salted_equals_plain(spark):
 
 def test_heavy_key_is_spread(spark):
     df = spark.range(10_000).select(F.lit(7).cast("long").alias("k"), "id")
-    salts = df.select(skew.salt(df, "k", ["id"]).alias("s")).groupBy("s").count().collect()
-    assert len(salts) == 8 and max(r["count"] for r in salts) < 2000
+    salts = skew.with_salt(df, "k", ["id"], skew.key_stats(df, "k", 8).pieces).groupBy("salt").count().collect()
+    assert len(salts) == 32 and max(r["count"] for r in salts) < 500
 
 
 def test_parent_totals(spark):
