@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.operators.skew import current_rows, heavy_keys, salt
+from moraine.operators.skew import current_rows, key_stats, with_salt
 
 
 def _first_n(n: int, keys: list[str]):
@@ -55,18 +55,15 @@ def top_n(df: DataFrame, group: str, score: str, item: str, n: int, salted: bool
         raise ValueError("n must be at least 1")
     value = F.col(score).cast("double")
     ok = df.where(F.col(group).isNotNull() & F.col(item).isNotNull() & value.isNotNull() & ~F.isnan(value))
-    names = ["g", "i", "s"]
     row = [F.col(group).cast("long").alias("g"), F.col(item).cast("long").alias("i"), (value + F.lit(0.0)).alias("s")]
     schema = "g long, i long, s double"
-    heavy = [] if salted else heavy_keys(ok, group)
-    if salted or heavy:
-        part = ok.select(*row, (F.col("salt") if salted else salt(ok, group, [item], heavy)).cast("int").alias("t"))
-        if not salted:
-            part = part.repartition("g", "t")
-        part = part.sortWithinPartitions("g", "t", F.desc("s"), "i")
-        rows = part.mapInArrow(_first_n(n, ["g", "t"]), schema + ", t int").select(*names)
-    else:
-        rows = ok.select(*row)
+    pieces = {} if salted else key_stats(ok.select(F.col(group).cast("long").alias("g")), "g").pieces
+    rows = ok.select(*row, *([F.col("salt").cast("int").alias("t")] if salted else []))
+    if pieces:
+        rows = with_salt(rows, "g", ["i"], pieces, "t").repartition("g", "t")
+    if salted or pieces:
+        part = rows.select("g", "i", "s", "t").sortWithinPartitions("g", "t", F.desc("s"), "i")
+        rows = part.mapInArrow(_first_n(n, ["g", "t"]), schema + ", t int").select("g", "i", "s")
     best = rows.repartition("g").sortWithinPartitions("g", F.desc("s"), "i").mapInArrow(_first_n(n, ["g"]), schema)
     return best.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score))
 
