@@ -1,28 +1,44 @@
-"""Passages of evaluation items inside training documents."""
+"""Passages of evaluation items inside training documents, by a stored positional index.
+
+The index is one table of postings, partitioned by document: a shard is some millions of characters of
+documents, and a row holds one term's positions in one shard. It is written in one pass over the texts,
+without a shuffle, sorted by term within each file, and kept for as many sets of items as will come.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from moraine.llm.words import pieces, spread, word_ids, words
+from moraine.operators.arrow import groups
+from moraine.session import materialize
 
 #: Consecutive words that make a leak.
 PHRASE = 12
-#: Items are sent to the executors in blocks of at most so many words.
-BLOCK_WORDS = 200_000
+#: Shorter items are no passage; those of so many words on, up to a phrase, must stand in a document as a whole.
+SHORT = 5
+#: Empty places between two documents of a shard: more than any passage reaches (a phrase of up to 31 words).
+GAP = 64
+#: Item terms up to this number are sent to every executor; more are joined by shuffle.
+BROADCAST_TERMS = 1_000_000
 #: Windows of an item and places of a document that near matches are counted for at once.
 _WINDOWS, _PLACES = 32, 32_768
 _SCHEMA = "doc_id long, item_id long, kind string, words long, doc_pos long, item_pos long"
+#: A row of the index: a term's positions in a shard; with a null term, the shard's documents and where each starts.
+INDEX = "shard long, term string, n long, positions array<int>, docs array<long>"
 
 
 @dataclass
 class Items:
-    """A block of test items as the executors get it: bounded by :data:`BLOCK_WORDS`."""
+    """Test items as arrays of terms."""
 
     known: dict[str, int] = field(default_factory=dict)
     terms: list = field(default_factory=list)  # term ids, item after item
@@ -56,6 +72,18 @@ class PositionalIndex:
         self.positions = place[hit][order]
         self.offsets = np.concatenate([[0], np.cumsum(np.bincount(ids[hit], minlength=len(known)))])
 
+    @classmethod
+    def stored(cls, lists: list, doc_starts: np.ndarray, gap: int = GAP) -> PositionalIndex:
+        """A shard from its stored postings: ``lists`` holds the positions of the terms 0, 1, ... that are looked for."""
+        self = cls.__new__(cls)
+        self.doc_starts = doc_starts
+        self.positions = np.concatenate(lists).astype(np.int64) if lists else np.empty(0, np.int64)
+        size = np.array([len(v) for v in lists], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(size)])
+        self.tokens = np.full(int(doc_starts[-1]) + gap, -2, np.int64)
+        self.tokens[self.positions] = np.repeat(np.arange(len(lists)), size)
+        return self
+
     def frequency(self) -> np.ndarray:
         return np.diff(self.offsets)
 
@@ -180,51 +208,153 @@ def near_matches(index: PositionalIndex, items: Items, phrase: int = PHRASE, sha
     return doc, it, n, at - index.doc_starts[doc], p
 
 
-def _search(items: Items, phrase: int, near: bool):
-    gap = 2 * phrase + 2
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows of each piece of the texts."""
+    number = TaskContext.get().partitionId() << 32
+    names = [f.split()[0] for f in INDEX.split(", ")]
+    for rows, texts in pieces(batches, "text"):
+        known: dict[str, int] = {}
+        ids, counts = word_ids(texts, None, known)
+        starts = np.concatenate([[0], np.cumsum(counts + GAP)]) + GAP
+        place = (np.arange(len(ids)) + (np.repeat(np.arange(len(texts)), counts) + 1) * GAP).astype(np.int32)
+        order = np.argsort(ids, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(known)))]).astype(np.int32)
+        m = len(known)
+        head = [pa.array([number]), pa.array([None], pa.string()), pa.array([len(texts)]), pa.array([starts.tolist()], pa.list_(pa.int32())), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(head, names=names)
+        if m:
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(place[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.array(list(known)), pa.array(np.diff(edges).astype(np.int64)), lists, pa.nulls(m, pa.list_(pa.int64()))], names=names)
+        number += 1
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The postings of ``doc_id, text``: :data:`INDEX` rows, not yet stored. Null ids and texts are left out.
+
+    Texts are read once and not shuffled; what is written is of the size of the corpus in numbers. A term's
+    rows lie together within each file, so that reading a few terms skips the rest.
+    """
+    rows = spread(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"))
+    return rows.mapInArrow(_postings, INDEX).sortWithinPartitions("term", "shard")
+
+
+def write_index(docs: DataFrame, path: str) -> DataFrame:
+    """Store the index at ``path``; it replaces what is there."""
+    build_index(docs).write.mode("overwrite").parquet(path)
+    return read_index(docs.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(path)
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [words(t) for t in b.column("item_text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(found, pa.list_(pa.string()))], names=["item_id", "terms"])
+
+
+def _rarest(phrase: int, near: bool, share: float):
+    """Of each item the terms that every match of it holds one of: the rarest of each window, and
+    for near matches as many as a match may miss, and one more."""
+
+    def pick(freq: list, terms: list) -> set:
+        many = len(terms)
+        size, out = min(phrase, many), set()
+        for s in range(many - size + 1):
+            own = {t: f for t, f in zip(terms[s : s + size], freq[s : s + size])}
+            order = sorted(own, key=lambda t: (own[t], t))
+            out.update(order[: len(order) - math.ceil(share * len(order)) + 1 if near and many >= phrase else 1])
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.array(items.ids, np.int64)
-        for rows, texts in pieces(batches, "text"):
-            index = PositionalIndex(texts, items.known, gap)
-            docs = rows.column("doc_id")
-            for kind, match in (("phrase", phrase_matches), ("near", near_matches if near else None)):
-                if match:
-                    doc, it, n, d, p = match(index, items, phrase)
-                    cols = [docs.take(pa.array(doc)), pa.array(ids[it]), pa.array([kind] * len(doc), pa.string()), pa.array(n), pa.array(d), pa.array(p)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "kind", "words", "doc_pos", "item_pos"])
+        for number, t in groups(batches, "item"):
+            order = np.argsort(t.column("pos").to_numpy())
+            terms, freq = t.column("term").take(order).to_pylist(), t.column("freq").to_numpy()[order].tolist()
+            got = sorted(pick(freq, terms))
+            yield pa.RecordBatch.from_arrays([pa.array([number] * len(got)), pa.array(got)], names=["item", "term"])
 
     return run
 
 
-def blocks_of(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The items in blocks that are safe to send everywhere, read as a stream."""
-    block = Items()
-    for row in items.select("item_id", "item_text").toLocalIterator():
-        if row["item_id"] is not None and (found := words(row["item_text"])):
-            if block.terms and len(block.terms) + len(found) > block_words:
-                yield block
-                block = Items()
-            block.add(row["item_id"], found)
-    if block.terms:
-        yield block
+def _match(phrase: int, near: bool, share: float):
+    """Each shard's documents, postings and items together: its matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in groups(batches, "shard"):
+            docs = t.filter(t.column("docs").is_valid())
+            asked = t.filter(t.column("terms").is_valid())
+            post = t.filter(t.column("term").is_valid())
+            if not docs.num_rows or not asked.num_rows:
+                continue
+            doc_ids = np.array(docs.column("docs")[0].as_py(), np.int64)
+            items, short = Items(), {}
+            for item_id, terms in sorted(zip(asked.column("item_id").to_pylist(), asked.column("terms").to_pylist())):
+                if len(terms) >= phrase:
+                    items.add(item_id, terms)
+                else:
+                    short.setdefault(len(terms), Items(known=items.known)).add(item_id, terms)
+            found = dict(zip(post.column("term").to_pylist(), (v.values.to_numpy() for v in post.column("positions"))))
+            index = PositionalIndex.stored([found.get(w, np.empty(0, np.int32)) for w in items.known], np.array(docs.column("positions")[0].as_py(), np.int64))
+            runs = [("phrase", items, phrase_matches(index, items, phrase))]
+            if near:
+                runs.append(("near", items, near_matches(index, items, phrase, share)))
+                runs += [("whole", few, phrase_matches(index, few, size)) for size, few in short.items()]
+            for kind, own, (doc, it, n, d, p) in runs:
+                cols = [pa.array(doc_ids[doc]), pa.array(np.array(own.ids, np.int64)[it]), pa.array([kind] * len(doc), pa.string()), pa.array(n), pa.array(d), pa.array(p)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "kind", "words", "doc_pos", "item_pos"])
+
+    return run
+
 
+def search(index: DataFrame, items: DataFrame, phrase: int = PHRASE, near: bool = False, share: float = 0.9) -> DataFrame:
+    """Where passages of ``items`` stand in an indexed corpus: see :func:`leaks`.
 
-def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE, near: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
+    1. The corpus frequency of the items' terms is added up from the index, without positions.
+    2. Each item gives its rarest terms: one of every window of ``phrase`` words (for near matches as many as
+       a match may miss, and one more). Their postings tell which shards may hold the item.
+    3. Only for those shards are the lists of the item's terms read. They meet by shard, where the lists
+       are intersected from the rarest term outwards, adjusted by their offset.
+    """
+    if not 1 <= phrase < GAP // 2:
+        raise ValueError(f"a phrase has 1 to {GAP // 2 - 1} words")
+    spark = index.sparkSession
+    rows = items.select("item_id", "item_text").where("item_id IS NOT NULL AND item_text IS NOT NULL")
+    rows = spread(rows).mapInArrow(_item_words, "item_id long, terms array<string>")
+    least = min(SHORT, phrase) if near else phrase
+    rows = materialize(rows.where(F.size("terms") >= least).withColumn("item", F.monotonically_increasing_id()), "items")
+    terms = rows.select("item", F.posexplode("terms").alias("pos", "term"))
+    vocabulary = materialize(terms.select("term").distinct(), "vocabulary")
+    n = vocabulary.count()
+    if not n:
+        return spark.createDataFrame([], _SCHEMA)
+    small = (lambda df: F.broadcast(df)) if n <= BROADCAST_TERMS else (lambda df: df)
+    freq = index.select("term", "n").join(small(vocabulary), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("freq"))
+    known = terms.join(freq, "term", "left").select("item", "pos", "term", F.coalesce("freq", F.lit(0)).alias("freq"))
+    rare = known.repartition("item").sortWithinPartitions("item").mapInArrow(_rarest(phrase, near, share), "item long, term string")
+    rare = materialize(rare, "rare-terms")
+    shards = index.select("term", "shard").join(small(rare) if rare.count() <= BROADCAST_TERMS else rare, "term").select("shard", "item").distinct()
+    shards = materialize(shards, "candidates")
+    wanted = shards.join(terms.select("item", "term").distinct(), "item").select("shard", "term").distinct()
+    lists = index.join(small(vocabulary), "term", "left_semi").join(wanted, ["shard", "term"], "left_semi")
+    none = {c: F.lit(None).cast(t) for c, t in (("term", "string"), ("positions", "array<int>"), ("docs", "array<long>"), ("item_id", "long"), ("terms", "array<string>"))}
+    cols = lambda df, *keep: df.select("shard", *[F.col(c) if c in keep else none[c].alias(c) for c in none])
+    heads = index.where("term IS NULL").join(shards.select("shard").distinct(), "shard", "left_semi")
+    asked = shards.join(rows, "item")
+    both = cols(lists, "term", "positions").unionByName(cols(heads, "positions", "docs")).unionByName(cols(asked, "item_id", "terms"))
+    return both.repartition("shard").sortWithinPartitions("shard").mapInArrow(_match(phrase, near, share), _SCHEMA)
+
+
+def leaks(docs: DataFrame, items: DataFrame, phrase: int = PHRASE, near: bool = False) -> DataFrame:
     """Where passages of ``items`` stand in ``docs``: one row per maximal shared run.
 
     ``doc_id, item_id, kind, words, doc_pos, item_pos``; kind "phrase": at least ``phrase``
     consecutive words of both; with ``near`` also "near": the best passage per document
-    and item with nine tenths of a window's words close together in any order.
-    The corpus is indexed shard by shard (document-partitioned positional postings of
-    the items' terms) and the items are matched against every shard: the texts are read
-    once per block of items and never shuffled, so no frequent word or source can
-    load one task. Null, empty and shorter texts, on either side, match nothing; equal
-    items are reported each; repeated documents as often as they occur.
+    and item with nine tenths of a window's words close together in any order; and "whole": items of under
+    ``phrase`` but at least :data:`SHORT` words that stand in the document as a whole.
+    The index of ``docs`` is stored in the shared folder and searched; to keep one for other sets of items use
+    :func:`write_index` and :func:`search`. Texts are read once, whatever the number of items, and never shuffled;
+    shards are of even size, so no frequent word or source can load one task. Null, empty and shorter texts, on
+    either side, match nothing; equal items are reported each; repeated documents as often as they occur.
     """
-    out = None
-    rows = spread(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"))
-    for block in blocks_of(items, block_words):
-        found = rows.mapInArrow(_search(block, phrase, near), _SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], _SCHEMA) if out is None else out
+    return search(materialize(build_index(docs), "index"), items, phrase, near)

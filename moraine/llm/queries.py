@@ -63,7 +63,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All passages, exact or near, and where they stand."""
+    """All exact passages, the best near one per document and item, short items as a whole, and where they stand."""
     return leakage.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_items"), near=True)
 
 

@@ -42,20 +42,20 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str, chars: int = PIECE_CHAR
             yield batch.slice(start), texts[start:]
 
 
-def word_ids(texts: list, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def word_ids(texts: list, known: dict[str, int] | None = None, ids: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Word ids of all texts, one after another, and each text's word count.
 
-    With ``known``, words outside it get -1; without, ids are given by first occurrence.
+    With ``known``, words outside it get -1; without, ids are given by first occurrence, and added to ``ids``.
     """
     counts, parts = np.zeros(len(texts), np.int64), []
-    ids: dict[str, int] = {} if known is None else known
+    ids = {} if ids is None else ids
     for i, text in enumerate(texts):
         found = words(text)
         counts[i] = len(found)
         if known is None:
             parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in found), np.int64, len(found)))
         else:
-            parts.append(np.fromiter((ids.get(w, -1) for w in found), np.int64, len(found)))
+            parts.append(np.fromiter((known.get(w, -1) for w in found), np.int64, len(found)))
     return (np.concatenate(parts) if parts else np.empty(0, np.int64)), counts
 
 

@@ -94,9 +94,8 @@ def test_leaks_against_brute_force(spark):
     d = docs(spark, [(i, t, "s") for i, t in texts])
     e = spark.createDataFrame([(j, t, "x") for j, t in items], "item_id long, item_text string, text string")
     want = brute_leaks(texts, items)
-    for block in (10, 10**6):
-        got = leakage.leaks(d, e, block_words=block)
-        assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    got = leakage.leaks(d, e)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
     for r in got.where("kind = 'phrase'").collect():
         w, v = words(dict(texts)[r.doc_id]), words(dict(items)[r.item_id])
         assert w[r.doc_pos : r.doc_pos + r.words] == v[r.item_pos : r.item_pos + r.words] and r.words >= 12
@@ -175,6 +174,39 @@ def test_match_does_not_run_over_documents(spark):
     assert leakage.leaks(d, spark.createDataFrame([(1, item)], "item_id long, item_text string")).count() == 0
 
 
+def test_a_stored_index_serves_other_items(spark, tmp_path):
+    """Items are searched without the texts; of other terms than the items' own no list is read."""
+    random.seed(5)
+    vocab = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(random.choice(vocab) for _ in range(random.randint(0, 80)))) for i in range(60)]
+    d = docs(spark, [(i, t, "s") for i, t in [*texts, (None, "w1 w2"), (61, None)]]).repartition(5)
+    index = leakage.write_index(d, f"{tmp_path}/index")
+    n = {r.term: r.n for r in index.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    assert n == {w: sum(words(t).count(w) for _, t in texts) for w in vocab}
+    assert index.where("term IS NULL").agg(F.sum("n")).first()[0] == 60
+    for seed in range(2):
+        random.seed(seed)
+        items = []
+        for j in range(8):
+            w = words(random.choice(texts)[1])
+            a = random.randint(0, max(len(w) - 20, 0))
+            items.append((j, " ".join(w[a : a + 14] + ["never"] + w[:3])))
+        e = spark.createDataFrame(items, "item_id long, item_text string")
+        got = {(r.doc_id, r.item_id) for r in leakage.search(leakage.read_index(spark, f"{tmp_path}/index"), e).collect()}
+        assert got == brute_leaks(texts, items)
+        near = leakage.search(index, e, near=True).where("kind = 'near'").collect()
+        known = {(r.doc_id, r.item_id, r.words) for r in near}
+        assert known == {(d, j, n) for d, j, n, _ in found_near([t for _, t in texts], [t for _, t in items])}
+
+
+def test_short_items_are_found_as_a_whole(spark):
+    d = docs(spark, [(1, "a b c d e f g", "s"), (2, "b c d x e f", "s")])
+    e = spark.createDataFrame([(1, "b c d e f"), (2, "B, c!"), (3, "b c d x e f")], "item_id long, item_text string")
+    assert leakage.leaks(d, e).count() == 0
+    got = leakage.leaks(d, e, near=True).collect()
+    assert {(r.doc_id, r.item_id, r.kind, r.doc_pos) for r in got} == {(1, 1, "whole", 1), (2, 3, "whole", 0)}
+
+
 TARGETS = "mix_name string, source string, target_share double, max_repeats int"
 
 
