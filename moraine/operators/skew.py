@@ -65,6 +65,30 @@ def with_salt(df: DataFrame, key: str, by: list[str], pieces: dict, name: str =
     return df.join(F.broadcast(table), F.col(key) == F.col("__k"), "left").withColumn(name, F.coalesce(spread, F.lit(0))).drop("__k", "__n")
 
 
+#: A table of up to so many rows is sent to every task of a join.
+BROADCAST_ROWS = 200_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, by: list[str], rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``left`` with the columns of ``right`` (``rows`` rows, one or more for a ``key``), where it has the key; null matches null.
+
+    A small ``right`` is broadcast. A larger one is joined by (key, salt): a heavy key's rows on the left are
+    spread by a hash of ``by``, and its rows on the right go to each of those pieces. The key's column of the left stays.
+    """
+    other = right.withColumnRenamed(key, "__key")
+    if rows <= limit:
+        return left.join(F.broadcast(other), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    pieces = key_stats(left, key).pieces
+    salted = with_salt(left, key, by, pieces, "__salt")
+    if pieces:
+        table = left.sparkSession.createDataFrame(list(pieces.items()), f"__k {left.schema[key].dataType.simpleString()}, __n int")
+        other = other.join(F.broadcast(table), F.col("__key") == F.col("__k"), "left").drop("__k")
+        other = other.withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))).drop("__n")
+    else:
+        other = other.withColumn("__s", F.lit(0))
+    return salted.join(other, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__s")), "left").drop("__key", "__salt", "__s")
+
+
 def salted_aggregate(df: DataFrame, key: str, aggs: dict[str, tuple[str, Column]], by: list[str], pieces: dict | None = None) -> DataFrame:
     """Two-stage aggregation: partial values per (key, salt), merged per key.
 

@@ -78,3 +78,12 @@ def test_parent_totals(spark):
     got = {r["parent"]: tuple(r)[1:] for r in skew.parent_totals(tree(spark, rows)).collect()}
     assert got == {10: (3, 8, 9, True), 11: (2, 3, 3, False), 12: (1, 0, 0, False), 9: (2, 9, None, None)}
     assert skew.parent_totals(tree(spark, rows).limit(0)).count() == 0
+
+
+def test_skew_join(spark):
+    left = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 300), (None, 301), (4, 302)], "k long, i long")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], "k long, v string")
+    want = sorted([(1, i, v) for i in range(300) for v in "ab"] + [(2, 300, "c"), (None, 301, "d"), (4, 302, None)], key=str)
+    for limit in (10, 0):
+        got = skew.skew_join(left, right, "k", ["i"], 5, limit)
+        assert got.columns == ["k", "i", "v"] and sorted(map(tuple, got.collect()), key=str) == want
