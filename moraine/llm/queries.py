@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +69,18 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_items"), near=True)
 
 
+#: Vocabulary file of a public byte-level tokenizer.
+TOKENIZER = os.environ.get("MORAINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents chosen for each mix and their copies."""
-    return mixing.mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))[0]
+    return mixing.mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"), TOKENIZER)[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of each mix."""
-    return mixing.mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))[1]
+    return mixing.mix(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"), TOKENIZER)[1]
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

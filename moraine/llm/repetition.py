@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,15 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moraine.llm.words import host, pieces, spread, word_ids
-from moraine.operators.skew import salted_aggregate
+from moraine.operators.skew import salted_aggregate, skew_join
 from moraine.session import materialize
 
 #: Words in a sequence whose second occurrence is a repetition.
 SPAN = 8
 #: Share of repeated words from which on a document breaks the rule.
 LIMIT = 0.30
-#: Hosts up to this number are sent to every executor; more are joined by shuffle.
-BROADCAST_HOSTS = 200_000
 
 
 def repeated_words(ids: np.ndarray, counts: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -77,22 +76,23 @@ def host_rates(measured: DataFrame, limit: float = LIMIT) -> DataFrame:
 
     ``host, docs, failures, rate, prior_rate, prior_weight, shrunk``. The prior's mean is
     the rate over all documents; its weight comes from the variance of the hosts' rates by
-    the method of moments, so that hosts of few documents move to the mean. The counts per
+    the method of moments, so that hosts of few documents move to the mean; where the rates differ no more than
+    chance explains, it is infinite and every host has the mean. The counts per
     host are salted, as one host may hold a large share. Documents without a host form a
     host of their own (null). An empty table has no hosts.
     """
     fails = (F.col("share") >= F.lit(limit)).cast("long")
     hosts = salted_aggregate(measured, "host", {"docs": ("count", F.lit(1)), "failures": ("sum", fails)}, ["doc_id"])
-    hosts = hosts.withColumn("rate", F.col("failures") / F.col("docs"))
+    hosts = materialize(hosts.withColumn("rate", F.col("failures") / F.col("docs")), "hosts")
     sums = hosts.agg(F.sum("docs").alias("d"), F.sum("failures").alias("f"), F.sum(F.col("docs") * F.col("rate") * F.col("rate")).alias("sq"), F.sum(F.lit(1.0)).alias("k")).first()
     mean = (sums["f"] or 0) / sums["d"] if sums["d"] else 0.0
     spread_ = mean * (1 - mean)
     # Between-host variance: the weighted variance of the rates less what binomial counts give by themselves.
     seen = sums["sq"] / sums["d"] - mean * mean if sums["d"] else 0.0
     noise = spread_ * (sums["k"] or 0.0) / sums["d"] if sums["d"] else 0.0
-    between = max(seen - noise, 0.0)
-    weight = min(max(spread_ / between - 1, 1.0), 1e6) if between > 0 else 1e6
-    shrunk = (F.col("failures") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight))
+    between = seen - noise
+    weight = max(spread_ / between - 1, 0.0) if between > 0 else math.inf
+    shrunk = F.lit(float(mean)) if math.isinf(weight) else (F.col("failures") + F.lit(mean * weight)) / (F.col("docs") + F.lit(weight))
     return hosts.withColumns({"prior_rate": F.lit(float(mean)), "prior_weight": F.lit(float(weight)), "shrunk": shrunk})
 
 
@@ -107,8 +107,6 @@ def repetition(docs: DataFrame, span: int = SPAN, limit: float = LIMIT, host_fac
     measured = materialize(measure(docs, span), "repetition")
     hosts = host_rates(measured, limit)
     verdict = hosts.select(F.col("host").alias("__host"), F.col("shrunk").alias("host_rate"), ((F.col("shrunk") >= F.lit(host_factor) * F.col("prior_rate")) & (F.col("shrunk") > 0)).alias("host_fails"))
-    small = materialize(verdict, "hosts")
-    if small.count() <= BROADCAST_HOSTS:
-        small = F.broadcast(small)
-    joined = measured.join(small, F.col("host").eqNullSafe(F.col("__host")), "left").drop("__host")
+    rows = hosts.count()
+    joined = skew_join(measured, verdict.withColumnRenamed("__host", "host"), "host", ["doc_id"], rows)
     return joined.withColumn("fails", F.col("share") >= F.lit(limit))

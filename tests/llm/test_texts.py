@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moraine.llm import leakage, mixing, repetition
+from moraine.llm.queries import TOKENIZER
 from moraine.llm.words import host, pieces, words
 
 DOCS = "doc_id long, text string, source string, words long, share double, host string, tokens long, copies int"
@@ -68,6 +69,20 @@ def test_host_rates_shrink(spark):
     assert repetition.host_rates(m.limit(0)).count() == 0
 
 
+def test_a_bad_host_is_told_from_chance(spark):
+    """One host of many failures fails with all of its documents, good ones too; a small host of one failure doesn't."""
+    bad, good = "again and again we say the same eight words " * 3, " ".join(f"w{i}" for i in range(60))
+    rows = [(i, bad if i % 2 else good, "bad host") for i in range(60)] + [(100 + i, bad if i == 0 else good, f"h{i % 9}") for i in range(400)] + [(900, bad, "tiny")]
+    got = repetition.repetition(docs(spark, rows)).collect()
+    fails = {r.host for r in got if r.host_fails}
+    assert "bad_host" in fails and not {f"h{i}" for i in range(9)} & fails
+    assert all(r.host_fails for r in got if r.host == "bad_host") and {r.fails for r in got if r.host == "bad_host"} == {True, False}
+    rate = {r.host: r.host_rate for r in got}
+    assert rate["h0"] < rate["tiny"] < 1 and rate["bad_host"] == pytest.approx(0.5, abs=0.05)
+    flat = docs(spark, [(i, bad if i % 5 == 0 else good, f"h{i // 50}") for i in range(200)])
+    assert {round(r.host_rate, 12) for r in repetition.repetition(flat).collect()} == {0.2}
+
+
 def brute_leaks(texts, items, n=12):
     out = set()
     for i, t in texts:
@@ -222,7 +237,7 @@ def corpus(spark):
 def test_mix_reaches_the_shares(spark, weight):
     d = corpus(spark).withColumn("words", F.col("doc_id") % 7 + 1)
     t = spark.createDataFrame([("m", "big_one", 0.7, 1), ("m", "small", 0.3, 3), ("other", "small", 1.0, 4), ("m", "absent", 0.0, 2)], TARGETS)
-    chosen, report = mixing.mix(d, t, weight=weight)
+    chosen, report = mixing.mix(d, t, TOKENIZER, weight=weight)
     r = {(x.mix_name, x.source): x for x in report.collect()}
     assert r["m", "big_one"].actual_share == pytest.approx(0.7, abs=0.01)
     assert r["m", "small"].actual_share == pytest.approx(0.3, abs=0.01)
@@ -232,34 +247,61 @@ def test_mix_reaches_the_shares(spark, weight):
     assert not c.duplicated(["mix_name", "doc_id"]).any()
     assert c[(c.mix_name == "m") & (c.source == "small")].copies.max() <= 3 and c.copies.min() >= 1
     assert set(c.doc_id) & {5000, 5001, 5002} == set()
-    again, _ = mixing.mix(d.repartition(3), t, weight=weight)
+    again, _ = mixing.mix(d.repartition(3), t, TOKENIZER, weight=weight)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, chosen.collect()))
 
 
 def test_mix_with_a_total_and_caps(spark):
     t = spark.createDataFrame([("m", "big_one", 0.5, 1), ("m", "small", 0.5, 2)], TARGETS)
-    total = 40 * mixing.token_counts(corpus(spark)).where("source = 'small'").agg(F.sum("tokens")).first()[0]
-    _, report = mixing.mix(corpus(spark), t, total_tokens=int(total))
+    total = 40 * mixing.token_counts(corpus(spark), TOKENIZER).where("source = 'small'").agg(F.sum("tokens")).first()[0]
+    _, report = mixing.mix(corpus(spark), t, TOKENIZER, total_tokens=int(total))
     r = {x.source: x for x in report.collect()}
     assert r["small"].most_copies == 2 and r["small"].tokens == 2 * r["small"].available  # capped: short of its share
     assert r["big_one"].tokens <= r["big_one"].available
-    chosen, report = mixing.mix(corpus(spark).limit(0), t)
+    chosen, report = mixing.mix(corpus(spark).limit(0), t, TOKENIZER)
     assert chosen.count() == 0 and report.count() == 2
     dirty = spark.createDataFrame([(None, "small", 0.5, 1), ("m", None, 0.5, 1), ("m", "small", None, None), ("n", "SMALL", 0.5, 2), ("n", "small", 0.5, 3)], TARGETS)
-    _, report = mixing.mix(corpus(spark), dirty)
+    _, report = mixing.mix(corpus(spark), dirty, TOKENIZER)
     assert {(x.mix_name, x.source, x.target_share, x.max_repeats) for x in report.collect()} == {("m", "small", 0.0, 0), ("n", "small", 1.0, 2)}
 
 
+def test_inclusion_is_in_proportion_to_size(spark):
+    """Over 400 mixes of one source: each document's frequency is its p, the largest ones are certain, sizes are kept."""
+    random.seed(4)
+    d = docs(spark, [(i, " ".join(["word"] * (900 if i < 2 else random.choice([5, 20, 60]))), "s") for i in range(60)])
+    t = spark.createDataFrame([(f"m{k}", "s", 1.0, 1) for k in range(400)], TARGETS)
+    counts = {r.doc_id: r.tokens for r in mixing.token_counts(d, TOKENIZER).collect()}
+    wanted = 1800 + 0.4 * (sum(counts.values()) - 1800)
+    chosen, report = mixing.mix(d, t, TOKENIZER, total_tokens=int(wanted))
+    assert all(abs(r.tokens - int(wanted)) <= 35 for r in report.collect())
+    rest = {i: n for i, n in counts.items() if i > 1}
+    c = (int(wanted) - counts[0] - counts[1]) / sum(n * n for n in rest.values())
+    assert c * 900 > 1 > c * 60
+    times = dict(chosen.groupBy("doc_id").count().collect())
+    assert times[0] == times[1] == 400
+    for n in (5, 20, 60):
+        same = [i for i in rest if rest[i] == n]
+        assert sum(times.get(i, 0) for i in same) / len(same) / 400 == pytest.approx(c * n, abs=0.015)
+
+
+def test_shares_are_reached_within_a_document(spark):
+    d, t = corpus(spark), spark.createDataFrame([("m", "big_one", 0.55, 2), ("m", "small", 0.45, 3)], TARGETS)
+    _, report = mixing.mix(d, t, TOKENIZER)
+    for r in report.collect():
+        assert abs(r.tokens - r.wanted) <= 200 and abs(r.actual_share - r.target_share) < 0.01
+
+
 def test_mix_of_equal_records(spark):
     d = docs(spark, [(i, "same text", "s") for i in range(100)] + [(1000 + i, "same text", "t") for i in range(900)])
     t = spark.createDataFrame([("m", "s", 0.5, 1), ("m", "t", 0.5, 1)], TARGETS)
-    chosen, report = mixing.mix(d, t)
+    chosen, report = mixing.mix(d, t, TOKENIZER)
     assert {x.source: x.copies for x in report.collect()} == {"s": 100, "t": 100}
 
 
 def test_token_counts_are_those_of_the_tokenizer(spark):
-    got = {r.doc_id: r.tokens for r in mixing.token_counts(docs(spark, [(1, "Hello, wörld! <|endoftext|>", "s"), (2, None, "s")])).collect()}
-    encode = mixing._tokenizer(mixing.TOKENIZER, mixing.PATTERN)
+    got = {r.doc_id: r.tokens for r in mixing.token_counts(docs(spark, [(1, "Hello, wörld! <|endoftext|>", "s"), (2, None, "s")]), TOKENIZER).collect()}
+    with open(TOKENIZER, "rb") as f:
+        encode = mixing._tokenizer(f.read(), mixing.PATTERN)
     ids = encode.encode_ordinary("Hello, wörld! <|endoftext|>")
     assert got == {1: len(ids), 2: 0} and encode.decode(ids) == "Hello, wörld! <|endoftext|>"
 
