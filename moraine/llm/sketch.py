@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.session import materialize
@@ -14,7 +14,17 @@ ALPHA = 0.01
 #: Below this, doubles lose digits and a reported value has no bounded relative error.
 TINY = 1e-300
 #: Distance between the indices of the smallest positive and negative values.
-_SPAN = 1 << 20
+_SPAN = 1 << 40
+#: Errors that are kept to: finer buckets than these couldn't be told apart in a double's logarithm.
+LEAST, MOST = 1e-7, 0.5
+#: Cells that a bucket, or a cell of it, is cut into to find an exact value.
+CELLS = 4_096
+
+
+def _gamma(alpha: float) -> float:
+    if not LEAST <= alpha <= MOST:
+        raise ValueError(f"alpha must be from {LEAST} to {MOST}")
+    return (1 + alpha) / (1 - alpha)
 
 
 def bucket_of(value: Column, alpha: float = ALPHA) -> Column:
@@ -23,14 +33,14 @@ def bucket_of(value: Column, alpha: float = ALPHA) -> Column:
     With gamma = (1 + alpha) / (1 - alpha), bucket i of the positive side holds
     (gamma^(i-1), gamma^i]; indices are shifted so that all of them are positive.
     """
-    gamma = (1 + alpha) / (1 - alpha)
+    gamma = _gamma(alpha)
     index = F.ceil(F.log(F.abs(value)) / F.lit(math.log(gamma))) + F.lit(_SPAN)
     return F.when(value == 0, F.lit(0)).when(value > 0, index).otherwise(-index).cast("long")
 
 
 def bucket_value(bucket: Column, alpha: float = ALPHA) -> Column:
     """The value reported for a bucket: within ``alpha`` of every value in it."""
-    gamma = (1 + alpha) / (1 - alpha)
+    gamma = _gamma(alpha)
     size = F.pow(F.lit(gamma), F.abs(bucket) - F.lit(_SPAN)) * F.lit(2 / (1 + gamma))
     return F.when(bucket == 0, F.lit(0.0)).otherwise(F.signum(bucket.cast("double")) * size)
 
@@ -69,23 +79,40 @@ def percentiles(sketches: DataFrame, keys: list[str], shares: dict[str, float],
     return found.select(*keys, "n", *[bucket_value(F.col(f"{name}_bucket"), alpha).alias(name) for name in shares], *[f"{name}_bucket" for name in shares])
 
 
-def exact_at(df: DataFrame, keys: list[str], value: str, found: DataFrame, name: str, share: float, alpha: float = ALPHA) -> DataFrame:
+def exact_at(df: DataFrame, sketches: DataFrame, keys: list[str], value: str, found: DataFrame, name: str, share: float, alpha: float = ALPHA) -> DataFrame:
     """The exact value at the percentile ``name`` for the groups in ``found``: ``keys, exact``.
 
-    ``found`` comes from :func:`percentiles`. Only the rows of the one bucket that holds
-    the rank are ranked; what lies below is known from the counts.
+    ``found`` comes from :func:`percentiles` over ``sketches``, those of ``df``. How many values lie below the bucket of
+    the rank is known from the sketch; only the rows of that bucket are read. Its range is cut into
+    :data:`CELLS` cells, counted map-side, and so is the cell that holds the rank, until it is one value: a few rounds,
+    in which no group's values ever meet in one task.
     """
-    v = F.col(value).cast("double")
-    same = [F.col(f"__{k}").eqNullSafe(F.col(k)) for k in keys]
     target = found.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(f"{name}_bucket").alias("__b"), F.greatest(F.ceil(F.col("n") * F.lit(share)), F.lit(1)).alias("__rank"))
-    rows = df.select(*keys, v.alias("__v"), bucket_of(v, alpha).alias("__bucket"))
-    match = rows.join(target, [*same, F.col("__bucket") <= F.col("__b")])
-    below = match.groupBy(*keys).agg(F.sum((F.col("__bucket") < F.col("__b")).cast("long")).alias("__below"))
-    inside = match.where(F.col("__bucket") == F.col("__b")).groupBy(*keys, "__v", "__rank").agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.select(*keys, "__v", "__rank", F.sum("__n").over(upto).alias("__upto"))
-    ranked = ranked.join(below, [ranked[k].eqNullSafe(below[k]) for k in keys]).select(*[ranked[k] for k in keys], "__v", "__rank", "__upto", "__below")
-    return ranked.groupBy(*keys).agg(F.min(F.when(F.col("__upto") + F.col("__below") >= F.col("__rank"), F.col("__v"))).alias("exact"))
+    same = lambda: [F.col(f"__{k}").eqNullSafe(F.col(k)) for k in keys]
+    own = [F.col(f"__{k}").alias(k) for k in keys]
+    total = merge(sketches, keys)
+    below = target.join(total, [*same(), F.col("bucket") < F.col("__b")], "left").groupBy(*[f"__{k}" for k in keys], "__b", "__rank").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__below"))
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))).select(*keys, v.alias("__v"), bucket_of(v, alpha).alias("__bucket"))
+    rows = materialize(rows.join(below, [*same(), F.col("__bucket") == F.col("__b")]).select(*own, "__v", (F.col("__rank") - F.col("__below")).alias("__rank")), "bucket")
+    state = rows.groupBy(*keys).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.first("__rank").alias("rank"))
+    state = materialize(state, "cells")
+    done = None
+    while True:
+        final = state.where("lo = hi").select(*keys, F.col("lo").alias("exact"))
+        done = final if done is None else done.unionByName(final)
+        live = state.where("lo < hi")
+        if live.isEmpty():
+            return done
+        live = live.select(*[F.col(k).alias(f"__{k}") for k in keys], "lo", "hi", "rank")
+        inside = rows.join(live, [*same(), F.col("__v").between(F.col("lo"), F.col("hi"))])
+        # The ends are values that occur and fall into cells of their own, so every round gets closer.
+        cell = F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS)
+        cell = F.when(F.col("__v") == F.col("hi"), F.lit(CELLS)).when(F.col("__v") == F.col("lo"), F.lit(-1)).otherwise(F.least(cell, F.lit(CELLS - 1)))
+        counts = inside.groupBy(*keys, "rank", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        state = materialize(counts.select(*keys, "lo", "hi", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")), "cells")
 
 
 def runs(timings: DataFrame) -> DataFrame:
@@ -105,6 +132,24 @@ def timing_sketch(timings: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return sketch(runs(timings), ["c0", "c1", "day"], "c2", alpha)
 
 
+def write_sketch(timings: DataFrame, path: str, alpha: float = ALPHA) -> None:
+    """Store the daily sketches of ``timings`` at ``path``, a folder per day; days stored before are replaced.
+
+    A run belongs to the day it was measured on, however often it is sent, so a day is complete once all of its
+    rows are given together. Runs without a day have a folder of their own.
+    """
+    rows = timing_sketch(timings, alpha).withColumn("alpha", F.lit(float(alpha)))
+    rows.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def read_sketch(spark: SparkSession, path: str, alpha: float = ALPHA) -> DataFrame:
+    """The stored sketches ``c0, c1, day, bucket, n``; all must be of one ``alpha``."""
+    rows = spark.read.schema("c0 int, c1 long, bucket long, n long, alpha double, day date").parquet(path)
+    if not rows.where(F.col("alpha") != F.lit(float(alpha))).isEmpty():
+        raise ValueError("sketches of another alpha can't be merged")
+    return rows.select("c0", "c1", "day", "bucket", "n")
+
+
 def timing_percentiles(timings: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Median, 90th and 99th percentile of ``c2`` per (``c0``, ``c1``), from the daily sketches.
 
@@ -119,15 +164,19 @@ def long_tailed(timings: DataFrame, ratio: float = 3.0, alpha: float = ALPHA) ->
     Where the error bound leaves the answer open, the two percentiles are made exact
     from the one bucket each of them lies in.
     """
-    found = materialize(timing_percentiles(timings, alpha).withColumn("r", F.when(F.col("p50") > TINY, F.col("p90") / F.col("p50"))), "percentiles")
+    daily = materialize(timing_sketch(timings, alpha), "sketches")
+    found = percentiles(daily, ["c0", "c1"], {"p50": 0.5, "p90": 0.9}, alpha)
+    found = materialize(found.withColumn("r", F.when(F.col("p50") > TINY, F.col("p90") / F.col("p50"))), "percentiles")
     slack = ((1 + alpha) / (1 - alpha)) ** 1.05
     sure = found.where(F.col("r") >= ratio * slack).select("c0", "c1")
     open_ = found.where(F.col("r").isNull() | ((F.col("r") < ratio * slack) & (F.col("r") >= ratio / slack)))
     if open_.isEmpty():
         return sure
-    rows = runs(timings)
-    p50 = exact_at(rows, ["c0", "c1"], "c2", open_, "p50", 0.5, alpha).withColumnRenamed("exact", "p50")
-    p90 = exact_at(rows, ["c0", "c1"], "c2", open_, "p90", 0.9, alpha).withColumnRenamed("exact", "p90")
+    # Only rows of open groups are read again; a run's repeats are of the same group, so they are left out there.
+    named = open_.select(F.col("c0").alias("__c0"), F.col("c1").alias("__c1"))
+    rows = materialize(runs(timings).join(named, F.col("c0").eqNullSafe(F.col("__c0")) & F.col("c1").eqNullSafe(F.col("__c1")), "left_semi"), "open")
+    p50 = exact_at(rows, daily, ["c0", "c1"], "c2", open_, "p50", 0.5, alpha).withColumnRenamed("exact", "p50")
+    p90 = exact_at(rows, daily, ["c0", "c1"], "c2", open_, "p90", 0.9, alpha).withColumnRenamed("exact", "p90")
     q = p90.withColumnsRenamed({"c0": "d0", "c1": "d1"})
     both = p50.join(q, p50.c0.eqNullSafe(q.d0) & p50.c1.eqNullSafe(q.d1))
     return sure.unionByName(both.where(F.col("p90") >= F.lit(ratio) * F.col("p50")).select("c0", "c1"))

@@ -77,7 +77,7 @@ def test_sketch_error_and_merge(spark, alpha):
     whole = sketch.sketch(df, ["k"], "v", alpha)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, sketch.merge(daily, ["k"]).collect()))
     found = sketch.percentiles(daily, ["k"], {"p50": 0.5}, alpha)
-    exact = {r.k: r.exact for r in sketch.exact_at(df, ["k"], "v", found, "p50", 0.5, alpha).collect()}
+    exact = {r.k: r.exact for r in sketch.exact_at(df, daily, ["k"], "v", found, "p50", 0.5, alpha).collect()}
     assert exact == {k: float(np.sort(v[np.arange(len(v)) % 3 == k])[math.ceil(0.5 * (np.arange(len(v)) % 3 == k).sum()) - 1]) for k in range(3)}
 
 
@@ -117,3 +117,35 @@ def test_long_tails_of_tiny_values(spark):
     assert {r.c0 for r in sketch.long_tailed(df).collect()} == want and {1, 4} <= want
     p50 = {r.c0: r.p50 for r in sketch.timing_percentiles(df).collect()}
     assert abs(p50[1] / 1e-14 - 1) <= 0.0101 and abs(p50[3] / 1e-200 - 1) <= 0.0101
+
+
+def test_exact_value_within_one_bucket(spark, monkeypatch):
+    """Thousands of different values of one bucket, many of them close together: cut by cells until one is left."""
+    monkeypatch.setattr(sketch, "CELLS", 4)
+    rng = np.random.default_rng(3)
+    v = np.r_[1 + rng.random(2000) * 1e-3, 1.0004 + rng.random(1500) * 1e-14, np.full(700, 1.0005), [5e-324, 1e308]]
+    df = spark.createDataFrame([(i % 2 if i < 4000 else None, float(x)) for i, x in enumerate(v)], "k int, v double")
+    daily = sketch.sketch(df, ["k"], "v")
+    for share in (0.0, 0.3, 0.5, 0.93, 1.0):
+        found = sketch.percentiles(daily, ["k"], {"p": share})
+        got = {r.k: r.exact for r in sketch.exact_at(df, daily, ["k"], "v", found, "p", share).collect()}
+        at = np.where(np.arange(len(v)) < 4000, np.arange(len(v)) % 2, 9)
+        assert got == {k: float(np.sort(v[at == c])[max(math.ceil(share * (at == c).sum()), 1) - 1]) for k, c in ((0, 0), (1, 1), (None, 9))}
+
+
+def test_stored_sketches_of_days_add_up(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, 1, int(i % 3), float(rng.lognormal(0, 2)), T0 + dt.timedelta(days=int(i % 4)), T0, 0) for i in range(800)]
+    df = spark.createDataFrame(rows, "run_id long, c0 int, c1 long, c2 double, measured_at timestamp, loaded_at timestamp, n int")
+    path = f"{tmp_path}/sketch"
+    for day in range(4):
+        sketch.write_sketch(df.where(F.to_date("measured_at") == F.lit((T0 + dt.timedelta(days=day)).date())), path)
+    sketch.write_sketch(df.where(F.to_date("measured_at") == F.lit(T0.date())), path)  # a day given again replaces itself
+    shares = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    got = sketch.percentiles(sketch.read_sketch(spark, path), ["c0", "c1"], shares)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sketch.timing_percentiles(df).collect()))
+    with pytest.raises(ValueError):
+        sketch.read_sketch(spark, path, 0.02)
+    for alpha in (0.0, 1e-9, 0.9):
+        with pytest.raises(ValueError):
+            sketch.sketch(df, ["c0"], "c2", alpha)
