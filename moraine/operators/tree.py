@@ -25,6 +25,7 @@ class Condensed:
     child: list = field(default_factory=list)
     lam: list = field(default_factory=list)
     size: list = field(default_factory=list)
+    least: float | None = None  # least lambda, where only the clusters' rows are held
 
     def add(self, parent: int, child: int, lam: float, size: int) -> None:
         self.parent.append(parent)
@@ -296,7 +297,7 @@ def select(tree: Condensed, weight: dict, method: str = "eom", single: bool = Fa
         nodes = [c for c in nodes if c != root]
     else:
         size[root] = sum(s for p, _, _, s in clusters if p == root)
-        low = min(tree.lam, default=0.0)
+        low = min(tree.lam, default=0.0) if tree.least is None else tree.least
         born[root] = 1 / low if 0 < low < INF else (0.0 if low else INF)
     limit, kept = max_size or tree.n + 1, dict.fromkeys(nodes, True)
     for c in nodes:

@@ -71,8 +71,7 @@ def _segment(params: dict, overridden: bool):
             order = np.lexsort((np.maximum(i, j), np.minimum(i, j), w))
             i, j, w = i[order], j[order], w[order]
             keep = T.spanning_forest(len(nodes), i, j, w)
-            edges = list(zip(i[keep].tolist(), j[keep].tolist(), w[keep].tolist()))
-            if len(edges) < len(nodes) - 1:
+            if len(keep) < len(nodes) - 1:
                 part = T.components(len(nodes), i[keep], j[keep])
                 roots = np.unique(part)
                 n = len(nodes)
@@ -82,18 +81,16 @@ def _segment(params: dict, overridden: bool):
                 k = len(roots)  # parent -2 marks components in place of a tree
                 yield batch(schema, [np.full(k, c), np.full(k, CLUSTER), np.arange(k), np.arange(k), np.full(k, -2), np.zeros(k, int), np.zeros(k), np.zeros(k), np.zeros(k), np.zeros(k)])
                 continue
-            cols = rows_of(len(nodes), edges, params)
-            kinds = np.array(cols[0])
-            first = np.array(cols[1])
-            second = np.array(cols[2])
+            cols = rows_of(len(nodes), i[keep], j[keep], w[keep], params)
+            kinds, first, second = cols[:3]
             single = params["allow_single_cluster"] and len({x for k, x in zip(cols[0], cols[2]) if k == CLUSTER and x >= 0}) == 1
             if single:  # the one branch holds all points, or all up to epsilon
                 eps = params["cluster_selection_epsilon"]
-                lam = np.array(cols[7])
+                lam = cols[7]
                 inside = ~((lam < 1 / eps) if eps > 0 else np.zeros(len(lam), bool))
                 at = kinds == POINT
                 second[at] = np.where(inside[at], 0, -1)
-                cols[5] = np.where(at, np.where(inside, 1.0, 0.0), np.array(cols[5]))
+                cols[5] = np.where(at, np.where(inside, 1.0, 0.0), cols[5])
             is_point = (kinds == POINT) | (kinds == MST)
             first = np.where(is_point, nodes[np.where(is_point, first, 0)], first)
             second = np.where(kinds == MST, nodes[np.where(kinds == MST, second, 0)], second)

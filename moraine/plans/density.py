@@ -20,6 +20,7 @@ from moraine.operators import tree as T
 from moraine.operators.arrow import batch
 from moraine.operators.blocks import Layout
 from moraine.operators.forest import boruvka
+from moraine.operators.tree_arrays import artefacts
 from moraine.operators.within_labels import reduce_pairs
 from moraine.session import materialize
 from moraine.sources.points import finite_points
@@ -44,46 +45,15 @@ def _number(name: str, value, least: float = 0.0, above: bool = False) -> None:
         raise ValueError(f"{name} must be a number {'above' if above else 'of at least'} {least}")
 
 
-def rows_of(n: int, edges: list, p: dict) -> list[list]:
-    """All artefacts of one tree as columns of the artefact table.
-
-    ``edges``: (a, b, w) of a spanning tree over 0..n-1. Merge order is by weight, then by the
-    place in Prim's order, which makes the result independent of how the tree was found.
-    """
-    cols: list[list] = [[] for _ in _ARTEFACT]
-
-    def add(kind, a, b=0, c=0, size=0, x=0.0, y=0.0, z=0.0, u=0.0):
-        for col, v in zip(cols, (kind, a, b, c, size, x, y, z, u)):
-            col.append(v)
-
-    order = T.prim_order(n, edges)
-    for step, (a, b, w) in enumerate(order):
-        add(MST, a, b, 0, step, w)
-    merges = T.agglomerate(n, sorted(order, key=lambda e: e[2]))
-    for r, (left, right, w, size) in enumerate(merges):
-        add(LINKAGE, n + r, left, right, size, w)
-    if "min_cluster_size" not in p:
-        return cols
-    tree = T.condense(n, merges, p["min_cluster_size"])
-    if p.get("cluster_selection_persistence", 0.0) > 0:
-        tree = T.simplify(tree, p["cluster_selection_persistence"])
-    for parent, child, lam, size in tree.rows():
-        add(CONDENSED, parent, child, 0, size, lam)
-    weight = T.stability(tree)
-    own = dict(weight)
-    chosen = T.select(tree, weight, p["cluster_selection_method"], p["allow_single_cluster"], p["cluster_selection_epsilon"], p["max_cluster_size"], p["cluster_selection_epsilon_max"])
-    got = T.labels(tree, chosen, weight, p["allow_single_cluster"], p["cluster_selection_epsilon"], p["match_reference_implementation"])
-    score, up, lam_of = T.outlier_scores(tree), {}, {}
-    for parent, child, lam, size in tree.rows():
-        if size == 1:
-            up[child], lam_of[child] = parent, lam
-    for i in range(n):
-        add(POINT, i, got.label[i], up.get(i, n), 0, got.probability[i], score[i], lam_of.get(i, 0.0))
-    number, near, far = {c: i for i, c in enumerate(chosen)}, T.deaths(tree), T.subtree_deaths(tree)
-    above = {c: (q, lam, s) for q, c, lam, s in tree.clusters()}
-    for c in sorted(own):
-        q, lam, s = above.get(c, (-1, 0.0, n))
-        add(CLUSTER, c, number.get(c, -1), q, s, lam, near.get(c, 0.0), own[c], far.get(c, 0.0))
+def rows_of(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, p: dict) -> list[np.ndarray]:
+    """All artefacts of the spanning tree ``a, b, w`` over 0..n-1 as columns of the artefact table."""
+    kinds = {"mst": MST, "linkage": LINKAGE, "condensed": CONDENSED, "points": POINT, "clusters": CLUSTER}
+    found = artefacts(n, a, b, w, p)
+    size = {name: len(t["a"]) for name, t in found.items()}
+    cols = [np.concatenate([np.full(size[name], kinds[name], np.int32) for name in found])]
+    for name, kind in _ARTEFACT[1:]:
+        dtype = np.float64 if kind == pa.float64() else np.int64
+        cols.append(np.concatenate([np.asarray(t[name], dtype) if name in t else np.zeros(size[k], dtype) for k, t in found.items()]))
     return cols
 
 
@@ -91,12 +61,11 @@ def tree_task(n: int, params: dict):
     """The whole hierarchy in one task: sequential over the n - 1 edges of the tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: list = []
-        for b in batches:
-            edges += zip(*(b.column(c).to_pylist() for c in ("a", "b", "w")))
-        if not edges and n != 1:
+        t = [b for b in batches if b.num_rows]
+        if not t and n != 1:
             return
-        cols = rows_of(n, edges, params)
+        a, b, w = (np.concatenate([x.column(c).to_numpy() for x in t]) if t else np.empty(0) for c in ("a", "b", "w"))
+        cols = rows_of(n, a, b, w, params)
         for s in range(0, len(cols[0]), 65_536):
             yield batch(_ARTEFACT, [c[s : s + 65_536] for c in cols])
 
