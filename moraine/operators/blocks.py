@@ -16,7 +16,7 @@ from moraine.operators.arrow import groups, lists, matrix
 
 #: Points a block should hold.
 BLOCK = 4_096
-#: Points that the cuts between blocks are fitted on; all points are then assigned.
+#: Points that the cuts between blocks are fitted on, or 32 for each block where that is more; all points are then assigned.
 SAMPLE = 65_536
 
 
@@ -92,6 +92,7 @@ def plan(points: DataFrame, total: int, block: int = BLOCK, sample: int = SAMPLE
     """Cuts for points ``pos, x``; for few points there is one block."""
     if total <= block:
         return Splitter([], [], [], [], 1)
+    sample = max(sample, 32 * math.ceil(total / block))
     few = points if total <= sample else points.where(F.pmod(F.xxhash64("pos"), F.lit(1 << 40)) < F.lit(int((1 << 40) * sample / total)))
     return Splitter.fit(matrix(few.select("x").toArrow().column("x")), total, block)
 
@@ -139,7 +140,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def boxes(blocked: DataFrame, blocks: int) -> Boxes:
     """The boxes of ``block, x``: combined per partition first, one row per block at the driver.
 
-    Their number is that of the splitter's leaves, at most SAMPLE / 8.
+    Their number is that of the splitter's leaves.
     """
     schema = "block long, n long, low array<double>, high array<double>"
     part = blocked.select("block", "x").mapInArrow(_partial, schema)

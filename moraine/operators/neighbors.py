@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.functions.metrics import Metric
+from moraine.functions.metrics import BOXED, Metric
 from moraine.operators import blocks as B
 from moraine.operators.arrow import batch, groups, lists, matrix
 from moraine.session import materialize
@@ -64,6 +64,25 @@ def top_k(metric: Metric, q: np.ndarray, q_pos: np.ndarray, e: np.ndarray, e_pos
     return ids, dist
 
 
+def core_in_task(metric: Metric, x: np.ndarray, pos: np.ndarray, k: int, block: int = 256) -> np.ndarray:
+    """The distance of each point's ``k``-th neighbour, within one task: small boxes keep most of the pairs out."""
+    if len(x) <= 4 * block or metric.name not in BOXED:
+        return top_k(metric, x, pos, x, pos, k, False)[1][:, k - 1]
+    splitter = B.Splitter.fit(x, len(x), block)
+    own = splitter.assign(x)
+    order = np.argsort(own, kind="stable")
+    edges = np.flatnonzero(np.diff(own[order])) + 1
+    parts = np.split(order, edges)
+    low, high = np.stack([x[p].min(0) for p in parts]), np.stack([x[p].max(0) for p in parts])
+    core = np.empty(len(x))
+    for b, rows in enumerate(parts):
+        here = top_k(metric, x[rows], pos[rows], x[rows], pos[rows], k, False)[1][:, k - 1]
+        near = np.flatnonzero(metric.box_gap(low[b][None], high[b][None], low, high) <= here.max() * (1 + 1e-9))
+        e = np.concatenate([parts[i] for i in near])
+        core[rows] = here if len(near) == 1 else top_k(metric, x[rows], pos[rows], x[e], pos[e], k, False)[1][:, k - 1]
+    return core
+
+
 def _search(metric: Metric, k: int | None, itself: bool | None, radius: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups(batches, "task"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -129,49 +130,118 @@ def _reach(pos: np.ndarray, core: np.ndarray, a: np.ndarray, b: np.ndarray, w: n
     return [out[p] for p in pos.tolist()]
 
 
-def _pair_tasks(points: DataFrame, pairs: list[tuple[int, int]], run, schema: str, keep=None) -> DataFrame:
-    """``run`` over each pair of blocks, with the points (``pos, x, core, reach, block``) that ``keep`` lets through.
+_SENT = [("pos", None), ("x", None), ("core", None), ("reach", None), ("block", None), ("task", pa.int64()), ("bound", pa.float64())]
+_SENT_SCHEMA = "pos long, x array<double>, core double, reach double, block long, task long, bound double"
+
+
+@dataclass
+class BlockTree:
+    """The occupied blocks and a tree that joins them: memory and size of what tasks get grow with the blocks, not with their pairs."""
+
+    number: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    far: np.ndarray  # of each block the heaviest edge on a point's way to its densest point
+    least: np.ndarray  # least core distance
+    links: list = field(default_factory=list)  # (p, q) by place in ``number``
+    weight: list = field(default_factory=list)  # of each link
+
+    def row(self, p: int) -> np.ndarray:
+        """The heaviest link on the way from block ``p`` to each block."""
+        near: list = [[] for _ in self.number]
+        for (u, v), w in zip(self.links, self.weight):
+            near[u].append((v, w))
+            near[v].append((u, w))
+        out, stack = np.full(len(self.number), -1.0), [p]
+        out[p] = 0.0
+        while stack:
+            u = stack.pop()
+            for v, w in near[u]:
+                if out[v] < 0:
+                    out[v] = max(out[u], w)
+                    stack.append(v)
+        return out
+
+    def join(self, metric: Metric) -> None:
+        """Links by Prim's method over the gaps between the boxes, made row by row."""
+        n = len(self.number)
+        best, near, left, at = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool), 0
+        for _ in range(n - 1):
+            left[at] = False
+            gap = metric.box_gap(self.low[at][None], self.high[at][None], self.low, self.high)
+            better = left & ((gap < best) | np.isinf(best))
+            best[better], near[better] = gap[better], at
+            at = int(np.where(left, best, np.inf).argmin()) if np.isfinite(best[left]).any() else int(np.flatnonzero(left)[0])
+            self.links.append((min(at, int(near[at])), max(at, int(near[at]))))
+
+
+def _by_pair(sent: DataFrame, tasks: int, run, schema: str) -> DataFrame:
+    return sent.repartition(B.spread(sent, tasks), "task").sortWithinPartitions("task").mapInArrow(run, schema)
+
+
+def _send_links(tree: BlockTree):
+    """Every point of a block to each link of it."""
 
-    ``keep(number of the pair, block, points' x, core, reach)`` gives a mask; without it, all go.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict = {}
+        for t, (p, q) in enumerate(tree.links):
+            of.setdefault(p, []).append(t)
+            of.setdefault(q, []).append(t)
+        for b in batches:
+            block = b.column("block").to_numpy()
+            for k in np.unique(block).tolist():
+                got = b.take(pa.array(np.flatnonzero(block == k)))
+                for t in of.get(int(np.searchsorted(tree.number, k)), []):
+                    yield batch(_SENT, [*got.columns, np.full(got.num_rows, t), np.zeros(got.num_rows)])
+
+    return run
+
+
+def _send_crossings(tree: BlockTree, metric: Metric, alpha: float):
+    """The points of a block to each other block that an edge lighter than the way there is may lead to.
+
+    Task p * blocks + q, p < q, is a pair of blocks; ``bound`` the heaviest link between them.
     """
-    of: dict = {}
-    for number, (p, q) in enumerate(pairs):
-        of.setdefault(p, []).append(number)
-        of.setdefault(q, []).append(number)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, known = len(tree.number), {}
         for b in batches:
-            block, x = b.column("block").to_numpy(), matrix(b.column("x"))
-            core, reach = b.column("core").to_numpy(), b.column("reach").to_numpy()
-            rows, tasks = [], []
+            block = b.column("block").to_numpy()
             for k in np.unique(block).tolist():
-                own = np.flatnonzero(block == k)
-                for number in of.get(k, []):
-                    go = own if keep is None else own[keep(number, k, x[own], core[own], reach[own])]
-                    rows.append(go)
-                    tasks.append(np.full(len(go), number))
-            if rows:
-                at = np.concatenate(rows)
+                p = int(np.searchsorted(tree.number, k))
+                if p not in known:
+                    known = {p: None} if len(known) > 8 else known
+                    between = tree.row(p)
+                    gap = metric.box_gap(tree.low[p][None], tree.high[p][None], tree.low, tree.high) / alpha * (1 - 1e-9)
+                    need = np.maximum(gap, np.maximum(tree.least[p], tree.least)) <= np.maximum(between, np.maximum(tree.far[p], tree.far))
+                    need[p] = False
+                    known[p] = np.flatnonzero(need), between
+                at = np.flatnonzero(block == k)
                 got = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*(got.column(c) for c in ("pos", "x", "core", "reach", "block")), pa.array(np.concatenate(tasks))], names=["pos", "x", "core", "reach", "block", "task"])
+                x, core, reach = matrix(got.column("x")), got.column("core").to_numpy(), got.column("reach").to_numpy()
+                others, between = known[p]
+                for q in others.tolist():
+                    d = metric.box_gap(x, x, tree.low[q][None], tree.high[q][None]) / alpha * (1 - 1e-9)
+                    go = np.flatnonzero(np.maximum(d, core) <= np.maximum(np.maximum(reach, tree.far[q]), between[q]))
+                    if len(go):
+                        yield batch(_SENT, [*got.take(pa.array(go)).columns, np.full(len(go), min(p, q) * n + max(p, q)), np.full(len(go), between[q])])
 
-    sent = points.select("pos", "x", "core", "reach", "block").mapInArrow(send, "pos long, x array<double>, core double, reach double, block long, task long")
-    return sent.repartition(B.spread(points, len(pairs)), "task").sortWithinPartitions("task").mapInArrow(run, schema)
+    return run
 
 
-def _sides(t: pa.Table, pair: tuple[int, int]):
+def _sides(t: pa.Table, first: int):
     block = t.column("block").to_numpy()
     cols = matrix(t.column("x")), t.column("core").to_numpy(), t.column("reach").to_numpy(), t.column("pos").to_numpy()
-    p, q = np.flatnonzero(block == pair[0]), np.flatnonzero(block == pair[1])
+    p, q = np.flatnonzero(block == first), np.flatnonzero(block != first)
     return [c[p] for c in cols], [c[q] for c in cols]
 
 
-def _links(metric: Metric, alpha: float, pairs: list):
-    """Per pair of blocks the least bottleneck between their densest points over any one edge."""
+def _links(metric: Metric, alpha: float, tree: BlockTree):
+    """Per link of blocks the least bottleneck between their densest points over any one edge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, t in groups(batches, "task"):
-            (x, cx, jx, _), (y, cy, jy, _) = _sides(t, pairs[number])
+            (x, cx, jx, _), (y, cy, jy, _) = _sides(t, int(tree.number[tree.links[number][0]]))
             best = np.inf
             for s in range(0, len(x), 128):
                 d, error = metric.rough(x[s : s + 128], y)
@@ -182,15 +252,16 @@ def _links(metric: Metric, alpha: float, pairs: list):
     return run
 
 
-def _crossings(metric: Metric, alpha: float, pairs: list, bound: list):
+def _crossings(metric: Metric, alpha: float, number: np.ndarray):
     """Per pair of blocks the spanning forest of the edges between them that no path so far makes needless."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, t in groups(batches, "task"):
-            (x, cx, jx, px), (y, cy, jy, py) = _sides(t, pairs[number])
+        for task, t in groups(batches, "task"):
+            (x, cx, jx, px), (y, cy, jy, py) = _sides(t, int(number[task // len(number)]))
+            bound = float(t.column("bound")[0].as_py())
             a, b, w = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
             for s in range(0, len(x) if len(y) else 0, 128):
-                most = np.maximum(np.maximum(jx[s : s + 128][:, None], jy[None]), bound[number])
+                most = np.maximum(np.maximum(jx[s : s + 128][:, None], jy[None]), bound)
                 i, j, d = metric.near_pairs(x[s : s + 128], y, most * alpha * (1 + 1e-12))
                 v = np.maximum(d / alpha, np.maximum(cx[s + i], cy[j]))
                 ok = v <= most[i, j]
@@ -224,22 +295,6 @@ def forest_of(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(_reduce, schema).repartition(1).mapInArrow(_reduce, schema)
 
 
-def _bottlenecks(n: int, links: list[tuple[int, int, float]]) -> np.ndarray:
-    """The heaviest edge between any two nodes of a tree."""
-    out, groups_ = np.zeros((n, n)), [[i] for i in range(n)]
-    of = list(range(n))
-    for p, q, w in sorted(links, key=lambda e: e[2]):
-        p, q = of[p], of[q]
-        out[np.ix_(groups_[p], groups_[q])] = out[np.ix_(groups_[q], groups_[p])] = w
-        if len(groups_[p]) < len(groups_[q]):
-            p, q = q, p
-        for k in groups_[q]:
-            of[k] = p
-        groups_[p] += groups_[q]
-        groups_[q] = []
-    return out
-
-
 def spanning_tree(points: DataFrame, core: DataFrame, metric: Metric, alpha: float = 1.0, block: int = B.BLOCK, layout: B.Layout | None = None) -> DataFrame:
     """The exact minimum spanning tree of mutual reachability: ``a, b, w``, n - 1 rows.
 
@@ -248,8 +303,8 @@ def spanning_tree(points: DataFrame, core: DataFrame, metric: Metric, alpha: flo
     of a tree of blocks does so between those. An edge between two blocks heavier than the
     way that its ends already have is in no minimum tree, so only lighter ones are looked
     for, among the points near enough to the other block's box. For metrics without box
-    bounds all pairs of blocks are compared. The driver holds a number per pair of blocks (at most
-    8,192 blocks; more points make larger ones).
+    bounds all pairs of blocks are compared. The driver holds some numbers per block, and the tasks find
+    out for their own blocks which others they must meet, so nothing of the size of all pairs is anywhere.
     """
     total = points.count()
     spark = points.sparkSession
@@ -265,30 +320,15 @@ def spanning_tree(points: DataFrame, core: DataFrame, metric: Metric, alpha: flo
     placed = own.where("kind = 1").select(F.col("a").alias("pos"), "x", "core", F.col("w").alias("reach"), "block")
     full = np.flatnonzero(box.count > 0)
     n = len(full)
-    far, least = np.zeros(n), np.zeros(n)
+    tree = BlockTree(full, box.low[full], box.high[full], np.zeros(n), np.zeros(n))
     for r in placed.groupBy("block").agg(F.max("reach").alias("far"), F.min("core").alias("least")).collect():  # one row per block
         at = int(np.searchsorted(full, r["block"]))
-        far[at], least[at] = r["far"], r["least"]
-    gap = np.stack([box.gaps(metric, box.low[k], box.high[k])[full] for k in full]) / alpha
-    i, j = np.triu_indices(n, 1)
-    link = kruskal(i, j, gap[i, j])
-    first = [(int(full[p]), int(full[q])) for p, q in zip(i[link], j[link])]
-    found = _pair_tasks(placed, first, _links(metric, alpha, first), "task long, w double").collect()  # one row per link
-    between = _bottlenecks(n, [(int(i[link[r["task"]]]), int(j[link[r["task"]]]), r["w"]) for r in found])
-    low = np.maximum(gap * (1 - 1e-9), np.maximum(least[:, None], least[None]))
-    need = np.triu(low <= np.maximum(between, np.maximum(far[:, None], far[None])), 1)
-    p, q = np.nonzero(need)
-    pairs = list(zip(full[p].tolist(), full[q].tolist()))
-    bound = between[p, q]
-    other = {number: (box.low[b], box.high[b], box.low[a], box.high[a], float(far[v]), float(far[u])) for number, (a, b, u, v) in enumerate(zip(full[p].tolist(), full[q].tolist(), p.tolist(), q.tolist()))}
-
-    def keep(number: int, block_: int, x: np.ndarray, core_: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        lo1, hi1, lo0, hi0, far1, far0 = other[number]
-        lo, hi, f = (lo1, hi1, far1) if block_ == pairs[number][0] else (lo0, hi0, far0)
-        d = metric.box_gap(x, x, lo[None], hi[None]) / alpha * (1 - 1e-9)
-        return np.maximum(d, core_) <= np.maximum(np.maximum(reach, f), bound[number])
-
+        tree.far[at], tree.least[at] = r["far"], r["least"]
     edges = own.where("kind = 0").select("a", "b", "w")
-    if pairs:
-        edges = edges.unionByName(_pair_tasks(placed, pairs, _crossings(metric, alpha, pairs, bound.tolist()), "a long, b long, w double", keep))
+    if n > 1:
+        tree.join(metric)
+        found = _by_pair(placed.mapInArrow(_send_links(tree), _SENT_SCHEMA), n, _links(metric, alpha, tree), "task long, w double").collect()  # one row per link
+        tree.weight = [r["w"] for r in sorted(found, key=lambda r: r["task"])]
+        sent = placed.mapInArrow(_send_crossings(tree, metric, alpha), _SENT_SCHEMA)
+        edges = edges.unionByName(_by_pair(sent, 4 * n, _crossings(metric, alpha, full), "a long, b long, w double"))
     return forest_of(edges)

@@ -414,19 +414,25 @@ class DensityClusterer:
         return self.fit(points).model.result
 
 
+#: How many blocks of points of up to four dimensions one task takes.
+LOW_BLOCKS = 6
+
+
 def fit_tree(finite: DataFrame, n: int, k: int, metric: Metric, alpha: float, block: int, dim: int = 2) -> tuple[DataFrame, DataFrame]:
     """(core distances ``pos, core``, spanning tree ``a, b, w``) of points ``pos, x``.
 
-    Up to ``block`` points fit one task, which makes both; more are done block by block.
+    Up to ``block`` points fit one task, which makes both; more are done block by block. In few dimensions, where
+    a step of Prim's method costs little more than its call, a task takes ``LOW_BLOCKS`` times as many.
     """
     spark = finite.sparkSession
     if n == 0:
         return spark.createDataFrame([], "pos long, core double"), spark.createDataFrame([], "a long, b long, w double")
-    if n <= block:
+    low = dim <= 4 and metric.name in BOXED
+    if n <= (block * LOW_BLOCKS if low and block >= 1_024 else block):
         both = materialize(finite.repartition(1).mapInArrow(_small(k, metric, alpha), "kind int, a long, b long, w double"), "tree")
         core = both.where("kind = 0").select(F.col("a").alias("pos"), F.col("w").alias("core"))
         return core, both.where("kind = 1").select("a", "b", "w")
-    if dim <= 4 and metric.name in BOXED:  # boxes tell much in few dimensions: small blocks, few pairs of them
+    if low:  # boxes tell much in few dimensions: small blocks, few pairs of them
         block = min(block, N.BLOCK)
     layout = Layout.of(finite, n, block)
     core = materialize(N.nearest_core(finite, k, metric, layout=layout), "core")
@@ -445,7 +451,7 @@ def _small(k: int, metric: Metric, alpha: float):
         pos, x = t.column("pos").to_numpy(), matrix(t.column("x"))
         order = np.argsort(pos)
         pos, x = pos[order], x[order]
-        core = N.top_k(metric, x, pos, x, pos, k, False)[1][:, k - 1] if len(pos) > 1 else np.zeros(1)
+        core = N.core_in_task(metric, x, pos, k) if len(pos) > 1 else np.zeros(1)
         a, b, w = S.prim(x, core, pos, metric, alpha)
         yield batch(schema, [np.r_[np.zeros(len(pos), np.int32), np.ones(len(a), np.int32)], np.r_[pos, a], np.r_[pos, b], np.r_[core, w]])
 
