@@ -42,10 +42,13 @@ NAMES = {
     "haversine": "haversine",
     "cosine": "cosine",
     "arccos": "arccos",
+    "sqeuclidean": "sqeuclidean",
+    "correlation": "correlation",
+    "yule": "yule",
     "pyfunc": "pyfunc",
 }
 #: Metrics on truth values: any element that isn't zero is true.
-BOOLEAN = {"matching", "jaccard", "dice", "kulsinski", "rogerstanimoto", "russellrao", "sokalmichener", "sokalsneath"}
+BOOLEAN = {"matching", "jaccard", "dice", "kulsinski", "rogerstanimoto", "russellrao", "sokalmichener", "sokalsneath", "yule"}
 #: Metrics for which a box around points bounds the distances to them.
 BOXED = {"euclidean", "manhattan", "chebyshev", "minkowski", "seuclidean"}
 #: Up to so many terms expressions are unrolled, so that they compile; beyond, they are lambdas:
@@ -58,6 +61,16 @@ def valid_metric_ids(names: list) -> list[str]:
     return [n for n in NAMES if n in names or NAMES[n] in names]
 
 
+def distance_metric(name: str | Callable, **kwargs) -> Metric:
+    """The metric that computes distances by themselves: there "cosine" is the angle over pi, as "arccos" is."""
+    return Metric("arccos" if name == "cosine" else name, **kwargs)
+
+
+def fit_metric(name: str | Callable, **kwargs) -> Metric:
+    """The metric of a fit: there "arccos" is 1 - cos, as "cosine" is."""
+    return Metric("cosine" if name == "arccos" else name, **kwargs)
+
+
 class Metric:
     """A distance metric. ``dim`` is needed for the unrolled expressions only.
 
@@ -101,7 +114,7 @@ class Metric:
 
     def _terms(self, a: Column, b: Column, dim: int | None, f: Callable[..., Column], consts: list[np.ndarray] = ()) -> Column:
         """Sum over the dimensions of ``f(x, y, *constants)``."""
-        if dim is not None and dim <= (UNROLL // 4 if self.name in BOOLEAN or self.name in ("canberra", "braycurtis", "cosine", "arccos") else UNROLL):
+        if dim is not None and dim <= (UNROLL // 4 if self.name in BOOLEAN or self.name in ("canberra", "braycurtis", "cosine", "arccos", "correlation") else UNROLL):
             parts = [f(a[i], b[i], *[F.lit(float(c[i])) for c in consts]) for i in range(dim)]
             return reduce(lambda s, t: s + t, parts, F.lit(0.0))
         if not consts:
@@ -154,6 +167,13 @@ class Metric:
         zero = F.lit(0.0)
         if n in ("euclidean", "seuclidean", "minkowski", "wminkowski", "mahalanobis"):
             return self.to_distance(self.reduced(a, b, dim))
+        if n == "sqeuclidean":
+            return self._terms(a, b, dim, lambda x, y: (x - y) * (x - y))
+        if n == "correlation":
+            one = lambda f: self._terms(a, b, dim, f)
+            sa, sb = one(lambda x, y: x), one(lambda x, y: y)
+            p, q, pq = one(lambda x, y: x * x) - sa * sa / size, one(lambda x, y: y * y) - sb * sb / size, one(lambda x, y: x * y) - sa * sb / size
+            return F.when(p * q > 0, 1 - pq / F.sqrt(p * q)).otherwise(zero)
         if n == "manhattan":
             return self._terms(a, b, dim, lambda x, y: F.abs(x - y))
         if n == "chebyshev":
@@ -185,6 +205,10 @@ class Metric:
                 nnz = self._count(a, b, dim, lambda x, y: (x != 0) | (y != 0))
                 return F.when(nnz > 0, neq / nnz).otherwise(zero)
             ntt = self._count(a, b, dim, lambda x, y: (x != 0) & (y != 0))
+            if n == "yule":
+                odd = self._count(a, b, dim, lambda x, y: (x != 0) & (y == 0))
+                cross = odd * (neq - odd)
+                return F.when(cross > 0, 2 * cross / (ntt * (size - ntt - neq) + cross)).otherwise(zero)
             if n == "russellrao":
                 return (size - ntt) / size
             if n == "kulsinski":
@@ -241,6 +265,12 @@ class Metric:
                 np.multiply(buf, buf, out=buf)
                 total += buf
             return np.sqrt(total, out=total)
+        if n == "sqeuclidean":
+            return add(lambda a, b, j: (a - b) * (a - b))
+        if n == "correlation":
+            x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+            dot, norm = add(lambda a, b, j: a * b), (x * x).sum(1)[:, None] * (y * y).sum(1)[None]
+            return np.where(norm > 0, 1 - dot / np.sqrt(np.where(norm > 0, norm, 1)), 0.0)
         if n == "seuclidean":
             return np.sqrt(add(lambda a, b, j: (a - b) * (a - b) / self.v[j]))
         if n == "manhattan":
@@ -271,6 +301,10 @@ class Metric:
         p, q, d = x != 0, y != 0, x.shape[1]
         ntt = p.astype(float) @ q.T.astype(float)
         neq = p.sum(1)[:, None] + q.sum(1)[None] - 2 * ntt
+        if n == "yule":
+            odd = p.sum(1)[:, None] - ntt
+            cross = odd * (neq - odd)
+            return np.where(cross > 0, 2 * cross / np.where(cross > 0, ntt * (d - ntt - neq) + cross, 1), 0.0)
         if n == "matching":
             return neq / d
         if n in ("rogerstanimoto", "sokalmichener"):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.functions.metrics import BOXED, NAMES, Metric
+from moraine.functions.metrics import BOXED, NAMES, Metric, fit_metric
 from moraine.functions.scalar import weighted_average
 from moraine.operators import neighbors as N
 from moraine.operators import spanning as S
@@ -369,7 +369,7 @@ class DensityClusterer:
         if p["metric"] == "precomputed":
             self.model = self._fit_edges(points, p)
             return self
-        metric = Metric(p["metric"], p=p["p"], **self.metric_kwargs)
+        metric = fit_metric(p["metric"], p=p["p"], **self.metric_kwargs)
         rows, n, total = finite_points(points)
         finite = rows.where("pos IS NOT NULL").select("pos", "x")
         dim = len(finite.first()["x"]) if n else 0
@@ -413,6 +413,15 @@ class DensityClusterer:
     def fit_predict(self, points: DataFrame) -> DataFrame:
         return self.fit(points).model.result
 
+    def get_params(self) -> dict:
+        return self.params | self.metric_kwargs
+
+    def set_params(self, **params) -> DensityClusterer:
+        """Other parameters for the next fit; a model that is there stays."""
+        for k, v in params.items():
+            (self.params if k in self.params else self.metric_kwargs)[k] = v
+        return self
+
 
 #: How many blocks of points of up to four dimensions one task takes.
 LOW_BLOCKS = 6

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.functions import scalar
-from moraine.functions.metrics import Metric
+from moraine.functions.metrics import Metric, distance_metric
 from moraine.operators import neighbors as N
 from moraine.operators import spanning as S
 from moraine.operators import stored_tree as ST
@@ -88,6 +88,9 @@ _METRICS = {
     "sokalsneath": ({}, "bools", f"{_NEQ} / (0.5 * {_NTT} + {_NEQ})"),
     "haversine": ({}, "geo", "2 * asin(sqrt(sin((a.x[1] - b.x[1]) / 2) ** 2 + cos(a.x[1]) * cos(b.x[1]) * sin((a.x[2] - b.x[2]) / 2) ** 2))"),
     "cosine": ({}, "emb64", f"1 - {_DOT} / sqrt({_NN})"),
+    "sqeuclidean": ({}, "emb64", _SUM.format("(a.x[k] - b.x[k]) ** 2")),
+    "correlation": ({}, "emb64", "1 - (list_dot_product(a.x, b.x) - list_sum(a.x) * list_sum(b.x) / 64) / sqrt((list_dot_product(a.x, a.x) - list_sum(a.x) ** 2 / 64) * (list_dot_product(b.x, b.x) - list_sum(b.x) ** 2 / 64))"),
+    "yule": ({}, "bools", f"2 * (list_sum(a.x) - {_NTT}) * (list_sum(b.x) - {_NTT}) / ({_NTT} * (64 - {_NTT} - {_NEQ}) + (list_sum(a.x) - {_NTT}) * (list_sum(b.x) - {_NTT}))"),
     "arccos": ({}, "emb64", f"acos(least(1, greatest(-1, {_DOT} / sqrt({_NN})))) / pi()"),
 }
 _INPUTS = {
@@ -220,6 +223,13 @@ def robust_single_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _first_ids(RobustLinkage(cut=0.05, k=5, gamma=5).fit(inputs.blobs2d(spark, sf_dir, 1.0)).labels)
 
 
+@query(_REACH.format(cte=_B1, core=_CORE5.format(t="noisy"), alpha="sqrt(2)", cut="0.05", t="noisy"))
+def robust_precomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of all distances."""
+    p = inputs.blobs2d(spark, sf_dir, 1.0).select(F.col("id").alias("pos"), F.col("features").alias("x"))
+    return _first_ids(RobustLinkage(cut=0.05, k=5, gamma=5, metric="precomputed").fit(N.pairwise(p, Metric(), 2)).labels)
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT least(parent, child) AS a, greatest(parent, child) AS b FROM condensed_tree WHERE child_size > 1 AND parent IS NOT NULL AND child IS NOT NULL AND parent <> child),
 n AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
 c(node, part) AS (SELECT DISTINCT x, x FROM n UNION SELECT n.y, c.part FROM c JOIN n ON n.x = c.node WHERE c.part <= n.y)
@@ -474,12 +484,14 @@ def all_points_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return core.join(rows.select("pos", "id"), "pos").select("id", r6("core").alias("core"))
 
 
-@query(f"WITH {_V1} SELECT a.label::INT AS a, b.label::INT AS b, round(min(greatest(list_distance(a.x, b.x), u.core, w.core)), 6) AS gap FROM blobs a JOIN blobs b ON a.label < b.label JOIN v u ON u.id = a.id JOIN v w ON w.id = b.id GROUP BY ALL")
+@query(E.validity("blobs", 4.0) + "SELECT la::INT AS a, lb::INT AS b, round(gap, 6) AS gap FROM gap WHERE la < lb")
 def density_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least mutual reachability between the points of every two labels."""
+    """Least mutual reachability between the inner nodes of every two labels' trees."""
     rows = _labelled(spark, sf_dir)
     core = validity.all_points_core_distances(rows.select("pos", "x", "label"), Metric(), 2).select("pos", "core")
-    return label_gaps(rows.select("pos", "x", "label").join(core, "pos"), Metric()).select("a", "b", r6("gap").alias("gap"))
+    cored = materialize(rows.select("pos", "x", "label").join(core, "pos"), "cored")
+    inner = validity.internal_trees(cored, Metric())[1]
+    return label_gaps(cored.join(inner.select("pos"), "pos", "left_semi"), Metric()).select("a", "b", r6("gap").alias("gap"))
 
 
 @query(E.validity("blobs", 4.0) + "SELECT label::INT AS label, size, round(sparseness, 6) AS sparseness, round(separation, 6) AS separation, round((separation - sparseness) / greatest(separation, sparseness), 6) AS validity FROM per")
@@ -487,6 +499,23 @@ def validity_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validity.validity(_labelled(spark, sf_dir).select("pos", "x", "label"))[1])
 
 
+@query(E.validity("blobs", 4.0) + "SELECT label::INT AS label, size, round(sparseness, 6) AS sparseness, round(separation, 6) AS separation, round((separation - sparseness) / greatest(separation, sparseness), 6) AS validity FROM per")
+def validity_precomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of all distances."""
+    rows = _labelled(spark, sf_dir)
+    edges = N.pairwise(rows.select(F.col("id").alias("pos"), "x"), Metric(), 2)
+    return rounded(validity.validity_of_distances(edges, rows.select("id", "label"), 2)[1])
+
+
+@query(f"WITH {_B4}, {_EMB} SELECT a.id, b.id AS nbr, round(acos(least(1, greatest(-1, list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x))))) / pi(), 6) AS d FROM emb64 a JOIN emb64 b ON b.id > a.id AND b.id - a.id <= 20")
+def angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a distance by itself "cosine" is the angle over pi; only a fit takes it for 1 - cos."""
+    p = inputs.emb64(spark, sf_dir)
+    a, b = p.select("id", F.col("features").alias("u")), p.select(F.col("id").alias("nbr"), F.col("features").alias("v"))
+    near = a.join(b, (F.col("nbr") > F.col("id")) & (F.col("nbr") - F.col("id") <= 20))
+    return near.select("id", "nbr", r6(distance_metric("cosine").column(F.col("u"), F.col("v"), 64)).alias("d"))
+
+
 @query(E.validity("blobs", 4.0) + "SELECT g::INT AS label, id FROM inner_")
 def inner_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points with more than one edge in the tree of their label."""

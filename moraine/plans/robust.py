@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.functions.metrics import NAMES, Metric
-from moraine.plans.density import _ALGORITHMS, LINKAGE, NotFitted, _number, _whole, cut_labels, fit_tree, hierarchy
+from moraine.functions.metrics import NAMES, fit_metric
+from moraine.plans.density import _ALGORITHMS, LINKAGE, DensityClusterer, NotFitted, _number, _whole, cut_labels, fit_tree, hierarchy
 from moraine.sources.points import finite_points
 
 
@@ -24,21 +24,27 @@ class RobustLinkage:
         self._points: DataFrame | None = None
 
     def fit(self, points: DataFrame) -> RobustLinkage:
-        """``points``: ``id, features``; rows that aren't finite are noise."""
+        """``points``: ``id, features``, where rows that aren't finite are noise; with the metric "precomputed" an edge table ``i, j, d``."""
         _whole("k", self.k, 1)
         _whole("gamma", self.gamma, 1)
         _whole("leaf_size", self.leaf_size, 1)
         _number("alpha", self.alpha, above=True)
         _number("cut", self.cut)
-        if not callable(self.metric) and self.metric not in NAMES:
+        if self.metric != "precomputed" and not callable(self.metric) and self.metric not in NAMES:
             raise ValueError(f"unknown metric: {self.metric!r}")
         if self.algorithm not in _ALGORITHMS:
             raise ValueError(f"unknown algorithm: {self.algorithm!r}")
         if self.p is not None and self.p < 0:
             raise ValueError("p must not be negative")
-        metric = Metric(self.metric, p=self.p, **self.kwargs)
+        if self.metric == "precomputed":
+            model = DensityClusterer(min_samples=self.k, alpha=self.alpha, metric="precomputed", **self.kwargs).fit(points).model
+            self._points, self._n, self.core, self._mst = model.points, model.n, model.core, model._mst
+            return self
+        metric = fit_metric(self.metric, p=self.p, **self.kwargs)
         self._points, self._n, _ = finite_points(points)
-        self.core, self._mst = fit_tree(self._points.where("pos IS NOT NULL").select("pos", "x"), self._n, max(1, min(self._n - 1, self.k)), metric, self.alpha, self.block)
+        first = self._points.where("pos IS NOT NULL").first()
+        self._dim = len(first["x"]) if first else 0
+        self.core, self._mst = fit_tree(self._points.where("pos IS NOT NULL").select("pos", "x"), self._n, max(1, min(self._n - 1, self.k)), metric, self.alpha, self.block, self._dim)
         return self
 
     def _ready(self) -> None:
