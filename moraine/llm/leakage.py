@@ -335,11 +335,12 @@ def search(index: DataFrame, items: DataFrame, phrase: int = PHRASE, near: bool
     rare = materialize(rare, "rare-terms")
     shards = index.select("term", "shard").join(small(rare) if rare.count() <= BROADCAST_TERMS else rare, "term").select("shard", "item").distinct()
     shards = materialize(shards, "candidates")
-    wanted = shards.join(terms.select("item", "term").distinct(), "item").select("shard", "term").distinct()
-    lists = index.join(small(vocabulary), "term", "left_semi").join(wanted, ["shard", "term"], "left_semi")
+    near_by = materialize(shards.select("shard").distinct(), "shards")
+    some = F.broadcast(near_by) if near_by.count() <= BROADCAST_TERMS else near_by
+    lists = index.join(small(vocabulary), "term", "left_semi").join(some, "shard", "left_semi")
     none = {c: F.lit(None).cast(t) for c, t in (("term", "string"), ("positions", "array<int>"), ("docs", "array<long>"), ("item_id", "long"), ("terms", "array<string>"))}
     cols = lambda df, *keep: df.select("shard", *[F.col(c) if c in keep else none[c].alias(c) for c in none])
-    heads = index.where("term IS NULL").join(shards.select("shard").distinct(), "shard", "left_semi")
+    heads = index.where("term IS NULL").join(some, "shard", "left_semi")
     asked = shards.join(rows, "item")
     both = cols(lists, "term", "positions").unionByName(cols(heads, "positions", "docs")).unionByName(cols(asked, "item_id", "terms"))
     return both.repartition("shard").sortWithinPartitions("shard").mapInArrow(_match(phrase, near, share), _SCHEMA)
