@@ -87,3 +87,14 @@ def test_skew_join(spark):
     for limit in (10, 0):
         got = skew.skew_join(left, right, "k", ["i"], 5, limit)
         assert got.columns == ["k", "i", "v"] and sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    import os
+
+    from moraine.session import materialize, scratch_tables
+
+    with scratch_tables(spark):
+        inside = materialize(spark.range(3).toDF("id"), "inside").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(inside)
+    assert not os.path.exists(inside)

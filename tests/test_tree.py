@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from moraine.functions.metrics import Metric
+from moraine.operators import neighbors, tree_arrays
 from moraine.operators import tree as T
 
 
@@ -98,3 +100,52 @@ def test_min_size_respected_for_every_size():
         got = T.labels(tree, T.select(tree, weight), weight).label
         counts = np.bincount([x for x in got if x >= 0]) if max(got) >= 0 else []
         assert all(c >= size for c in counts)
+
+
+PLANS = [
+    {},
+    {"cluster_selection_method": "leaf"},
+    {"allow_single_cluster": True},
+    {"cluster_selection_epsilon": 0.7},
+    {"cluster_selection_method": "leaf", "cluster_selection_epsilon": 0.7, "allow_single_cluster": True},
+    {"max_cluster_size": 9, "cluster_selection_epsilon_max": 1.5},
+    {"cluster_selection_persistence": 0.4},
+    {"match_reference_implementation": True},
+]
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_arrays_equal_kernels(plan):
+    """The arrays' artefacts of random trees, with ties and distances of zero, are those of the kernels."""
+    base = {"cluster_selection_persistence": 0.0, "cluster_selection_method": "eom", "allow_single_cluster": False, "cluster_selection_epsilon": 0.0, "max_cluster_size": 0, "cluster_selection_epsilon_max": math.inf, "match_reference_implementation": False}
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        n = int(rng.choice([1, 2, 3, 8, 30, 150]))
+        place = rng.permutation(n)
+        a, b = place[np.arange(1, n)], place[(rng.random(n - 1) * np.arange(1, n)).astype(int)]
+        w = rng.integers(0 if seed % 3 else 1, 6, n - 1) / 2.0 if seed % 2 else rng.random(n - 1)
+        p = base | plan | {"min_cluster_size": int(rng.choice([2, 3, 5]))}
+        order = T.prim_order(n, list(zip(a.tolist(), b.tolist(), w.tolist())))
+        merges = T.agglomerate(n, sorted(order, key=lambda e: e[2]))
+        tree = T.condense(n, merges, p["min_cluster_size"])
+        if p["cluster_selection_persistence"]:
+            tree = T.simplify(tree, p["cluster_selection_persistence"])
+        weight = T.stability(tree)
+        own = dict(weight)
+        chosen = T.select(tree, weight, p["cluster_selection_method"], p["allow_single_cluster"], p["cluster_selection_epsilon"], p["max_cluster_size"], p["cluster_selection_epsilon_max"])
+        want = T.labels(tree, chosen, weight, p["allow_single_cluster"], p["cluster_selection_epsilon"], p["match_reference_implementation"])
+        got = tree_arrays.artefacts(n, a, b, w, p)
+        rows = lambda t, *c: list(zip(*(got[t][k].tolist() for k in c)))
+        assert rows("mst", "a", "b", "x") == order and rows("linkage", "b", "c", "x", "n") == merges
+        assert rows("condensed", "a", "b", "x", "n") == list(tree.rows())
+        assert got["points"]["b"].tolist() == want.label and got["clusters"]["a"].tolist() == sorted(own)
+        for column, values in (("x", want.probability), ("y", T.outlier_scores(tree))):
+            np.testing.assert_allclose(got["points"][column], values)
+        np.testing.assert_allclose(got["clusters"]["z"], [own[c] for c in sorted(own)])
+
+
+def test_core_distances_in_one_task():
+    x = np.round(np.random.default_rng(0).normal(size=(2500, 2)), 1)
+    for metric in (Metric(), Metric("manhattan")):
+        want = neighbors.top_k(metric, x, np.arange(2500), x, np.arange(2500), 7, False)[1][:, 6]
+        assert (neighbors.core_in_task(metric, x, np.arange(2500), 7, 100) == want).all()
