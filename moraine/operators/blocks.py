@@ -56,17 +56,16 @@ class Splitter:
         return out
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        block = np.zeros(len(x), np.int64)
-        todo = [(0, np.arange(len(x)))] if self.dim else []
-        while todo:
-            i, rows = todo.pop()
-            low = x[rows, self.dim[i]] < self.at[i]
-            for child, part in ((self.left[i], rows[low]), (self.right[i], rows[~low])):
-                if child < 0:
-                    block[part] = -1 - child
-                elif len(part):
-                    todo.append((child, part))
-        return block
+        """The block of each row: all rows go down the cuts together, so the work grows with the depth, not with the blocks."""
+        if not self.dim:
+            return np.zeros(len(x), np.int64)
+        dim, at, child = np.array(self.dim), np.array(self.at), np.array([self.right, self.left])
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(rows):
+            i = node[rows]
+            node[rows] = child[(x[rows, dim[i]] < at[i]).astype(int), i]
+            rows = rows[node[rows] >= 0]
+        return -1 - node
 
 
 @dataclass

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.functions.metrics import Metric
+from moraine.functions.metrics import BOXED, Metric
 from moraine.functions.scalar import mutual_reachability
 from moraine.operators import blocks as B
 from moraine.operators.arrow import batch, groups, lists, matrix
@@ -88,9 +88,12 @@ def kruskal(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
 
     low, high = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((high, low, w))
-    node, ends = np.unique(np.concatenate([low, high]), return_inverse=True)
-    ends = ends.reshape(2, -1)
-    return order[spanning_forest(len(node), ends[0][order], ends[1][order], w[order])]
+    low, high = low[order], high[order]
+    n = int(high.max()) + 1 if len(w) else 0
+    if n > 4 * len(w) or (len(w) and low.min() < 0):  # few of the points: numbered anew
+        node, ends = np.unique(np.concatenate([low, high]), return_inverse=True)
+        n, (low, high) = len(node), ends.reshape(2, -1)
+    return order[spanning_forest(n, low, high)]
 
 
 _OWN = [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("w", pa.float64()), ("x", None), ("core", pa.float64()), ("block", pa.int64())]
@@ -179,20 +182,29 @@ def _by_pair(sent: DataFrame, tasks: int, run, schema: str) -> DataFrame:
     return sent.repartition(B.spread(sent, tasks), "task").sortWithinPartitions("task").mapInArrow(run, schema)
 
 
-def _send_links(tree: BlockTree):
-    """Every point of a block to each link of it."""
+#: Points of a block, of up to four dimensions, that stand for it when a link's weight is bounded.
+LINK_POINTS = 64
+
+
+def _send_links(tree: BlockTree, metric: Metric, alpha: float):
+    """Of every block to each link of it the points that may have the lightest way over; where boxes tell little, all points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict = {}
         for t, (p, q) in enumerate(tree.links):
-            of.setdefault(p, []).append(t)
-            of.setdefault(q, []).append(t)
+            of.setdefault(p, []).append((t, q))
+            of.setdefault(q, []).append((t, p))
         for b in batches:
             block = b.column("block").to_numpy()
             for k in np.unique(block).tolist():
                 got = b.take(pa.array(np.flatnonzero(block == k)))
-                for t in of.get(int(np.searchsorted(tree.number, k)), []):
-                    yield batch(_SENT, [*got.columns, np.full(got.num_rows, t), np.zeros(got.num_rows)])
+                x, least = matrix(got.column("x")), np.maximum(got.column("core").to_numpy(), got.column("reach").to_numpy())
+                for t, q in of.get(int(np.searchsorted(tree.number, k)), []):
+                    some = got
+                    if metric.name in BOXED and x.shape[1] <= 4 and len(x) > LINK_POINTS:
+                        way = np.maximum(least, metric.box_gap(x, x, tree.low[q][None], tree.high[q][None]) / alpha)
+                        some = got.take(pa.array(np.argpartition(way, LINK_POINTS)[:LINK_POINTS]))
+                    yield batch(_SENT, [*some.columns, np.full(some.num_rows, t), np.zeros(some.num_rows)])
 
     return run
 
@@ -276,21 +288,37 @@ def _crossings(metric: Metric, alpha: float, number: np.ndarray):
     return run
 
 
+#: Edges that are gathered before they are reduced to their forest; twice the forest where that is more, so that a large one isn't made again with every batch.
+GATHER = 16_000_000
+
+
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a, b, w = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    for t in batches:  # never more than the forest and one batch at a time
-        a, b, w = (np.concatenate([u, t.column(c).to_numpy()]) for u, c in ((a, "a"), (b, "b"), (w, "w")))
-        if len(w) > 4_000_000:
-            keep = kruskal(a, b, w)
-            a, b, w = a[keep], b[keep], w[keep]
-    if len(w):
+    held, many, limit = [], 0, GATHER
+
+    def forest() -> tuple:
+        a, b, w = (np.concatenate(c) for c in zip(*held))
+        held.clear()
         keep = kruskal(a, b, w)
-        yield batch(_EDGE, [a[keep], b[keep], w[keep]])
+        return a[keep], b[keep], w[keep]
+
+    for t in batches:
+        ends = [t.column(c).to_numpy() for c in ("a", "b")]
+        small = not t.num_rows or max(ends[0].max(), ends[1].max()) < 1 << 31
+        held.append((*(e.astype(np.int32 if small else np.int64) for e in ends), t.column("w").to_numpy().copy()))
+        many += t.num_rows
+        if many > limit:
+            held.append(forest())
+            many = len(held[0][2])
+            limit = max(GATHER, 2 * many)
+    if many:
+        a, b, w = forest()
+        for s in range(0, len(w), 65_536):
+            yield batch(_EDGE, [a[s : s + 65_536], b[s : s + 65_536], w[s : s + 65_536]])
 
 
 def forest_of(edges: DataFrame) -> DataFrame:
     """The spanning forest of edges ``a, b, w`` that stem from few trees: reduced within the
-    partitions, then in one task, which at no time holds more than about n edges."""
+    partitions, then in one task, which at no time holds more than about 2 n edges or ``GATHER``."""
     schema = "a long, b long, w double"
     return edges.mapInArrow(_reduce, schema).repartition(1).mapInArrow(_reduce, schema)
 
@@ -327,7 +355,7 @@ def spanning_tree(points: DataFrame, core: DataFrame, metric: Metric, alpha: flo
     edges = own.where("kind = 0").select("a", "b", "w")
     if n > 1:
         tree.join(metric)
-        found = _by_pair(placed.mapInArrow(_send_links(tree), _SENT_SCHEMA), n, _links(metric, alpha, tree), "task long, w double").collect()  # one row per link
+        found = _by_pair(placed.mapInArrow(_send_links(tree, metric, alpha), _SENT_SCHEMA), n, _links(metric, alpha, tree), "task long, w double").collect()  # one row per link
         tree.weight = [r["w"] for r in sorted(found, key=lambda r: r["task"])]
         sent = placed.mapInArrow(_send_crossings(tree, metric, alpha), _SENT_SCHEMA)
         edges = edges.unionByName(_by_pair(sent, 4 * n, _crossings(metric, alpha, full), "a long, b long, w double"))

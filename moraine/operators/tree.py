@@ -305,10 +305,12 @@ def select(tree: Condensed, weight: dict, method: str = "eom", single: bool = Fa
         if below > weight[c] or size.get(c, 0) > limit or born.get(c, 0.0) > epsilon_max:
             kept[c] = False
             weight[c] = below
-        else:
-            for k in descendants(kids, c):
-                kept[k] = False
-    chosen = sorted(c for c in nodes if kept[c])
+    chosen, under = [], set()
+    for c in reversed(nodes):  # ancestors have smaller ids
+        if kept[c] and c not in under:
+            chosen.append(c)
+        if kept[c] or c in under:
+            under.update(kids.get(c, []))
     if epsilon and clusters:
         if chosen == [root]:
             return chosen if single else []
@@ -418,26 +420,27 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
     """Borůvka on arrays: the indices of the minimum spanning forest's edges.
 
-    Ties go to the edge given first, so give the edges in their tie order.
+    Ties go to the edge given first, so give the edges in their tie order; without ``w`` that is their order altogether.
     """
-    rank = np.empty(len(w), np.int64)
-    rank[np.argsort(w, kind="stable")] = np.arange(len(w))
-    at = np.argsort(rank)
-    comp, live, picked = np.arange(n), np.arange(len(w)), []
+    if w is not None:
+        order = np.argsort(w, kind="stable")
+        return np.sort(order[spanning_forest(n, np.asarray(a)[order], np.asarray(b)[order])])
+    m = len(a)
+    comp, live, picked = np.arange(n, dtype=a.dtype), np.arange(m), []
     while len(live):
         ca, cb = comp[a[live]], comp[b[live]]
-        live = live[ca != cb]
+        apart = ca != cb
+        live, ca, cb = live[apart], ca[apart], cb[apart]
         if not len(live):
             break
-        ca, cb = comp[a[live]], comp[b[live]]
-        best = np.full(n, len(w), np.int64)
-        np.minimum.at(best, ca, rank[live])
-        np.minimum.at(best, cb, rank[live])
-        new = np.unique(best[best < len(w)])
-        picked.append(at[new])
-        e = at[new]
-        comp = components(n, comp[a[e]], comp[b[e]])[comp]
+        best = np.full(n, m, np.int64)
+        np.minimum.at(best, ca, live)
+        np.minimum.at(best, cb, live)
+        new = np.unique(best[best < m])
+        picked.append(new)
+        del best, ca, cb, apart
+        comp = components(n, comp[a[new]], comp[b[new]]).astype(a.dtype)[comp]
     return np.sort(np.concatenate(picked)) if picked else np.empty(0, np.int64)

@@ -20,7 +20,7 @@ from moraine.operators import tree as T
 from moraine.operators.arrow import batch
 from moraine.operators.blocks import Layout
 from moraine.operators.forest import boruvka
-from moraine.operators.tree_arrays import artefacts
+from moraine.operators.tree_arrays import artefacts, tables
 from moraine.operators.within_labels import reduce_pairs
 from moraine.session import materialize
 from moraine.sources.points import finite_points
@@ -29,6 +29,7 @@ _ALGORITHMS = ("best", "generic", "prims_kdtree", "prims_balltree", "boruvka_kdt
 _ARTEFACT = [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64()), ("u", pa.float64())]
 ARTEFACT = "kind int, a long, b long, c long, n long, x double, y double, z double, u double"
 MST, LINKAGE, CONDENSED, POINT, CLUSTER = range(5)
+_KINDS = {"mst": MST, "linkage": LINKAGE, "condensed": CONDENSED, "points": POINT, "clusters": CLUSTER}
 
 
 class NotFitted(AttributeError):
@@ -47,27 +48,32 @@ def _number(name: str, value, least: float = 0.0, above: bool = False) -> None:
 
 def rows_of(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, p: dict) -> list[np.ndarray]:
     """All artefacts of the spanning tree ``a, b, w`` over 0..n-1 as columns of the artefact table."""
-    kinds = {"mst": MST, "linkage": LINKAGE, "condensed": CONDENSED, "points": POINT, "clusters": CLUSTER}
     found = artefacts(n, a, b, w, p)
     size = {name: len(t["a"]) for name, t in found.items()}
-    cols = [np.concatenate([np.full(size[name], kinds[name], np.int32) for name in found])]
+    cols = [np.concatenate([np.full(size[name], _KINDS[name], np.int32) for name in found])]
     for name, kind in _ARTEFACT[1:]:
         dtype = np.float64 if kind == pa.float64() else np.int64
         cols.append(np.concatenate([np.asarray(t[name], dtype) if name in t else np.zeros(size[k], dtype) for k, t in found.items()]))
     return cols
 
 
-def tree_task(n: int, params: dict):
-    """The whole hierarchy in one task: sequential over the n - 1 edges of the tree."""
+def tree_task(n: int, params: dict, kinds: tuple = tuple(range(5))):
+    """The whole hierarchy in one task: sequential over the n - 1 edges of the tree. Only rows of ``kinds`` are returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = [b for b in batches if b.num_rows]
         if not t and n != 1:
             return
-        a, b, w = (np.concatenate([x.column(c).to_numpy() for x in t]) if t else np.empty(0) for c in ("a", "b", "w"))
-        cols = rows_of(n, a, b, w, params)
-        for s in range(0, len(cols[0]), 65_536):
-            yield batch(_ARTEFACT, [c[s : s + 65_536] for c in cols])
+        whole = np.int32 if 2 * n < 1 << 31 else np.int64
+        a, b, w = (np.concatenate([x.column(c).to_numpy().astype(dtype) for x in t]) if t else np.empty(0, dtype) for c, dtype in (("a", whole), ("b", whole), ("w", float)))
+        del t
+        for name, columns in tables(n, a, b, w, params):
+            a = b = w = None
+            size = len(columns["a"]) if _KINDS[name] in kinds else 0
+            for s in range(0, size, 65_536):
+                many = min(65_536, size - s)
+                yield batch(_ARTEFACT, [np.full(many, _KINDS[name], np.int32), *(pa.array(columns[c][s : s + many]).cast(dtype) if c in columns else pa.array(np.zeros(many), dtype) for c, dtype in _ARTEFACT[1:])])
+            del columns
 
     return run
 
@@ -75,9 +81,13 @@ def tree_task(n: int, params: dict):
 _TREE_PARAMS = ("min_cluster_size", "cluster_selection_persistence", "cluster_selection_method", "allow_single_cluster", "cluster_selection_epsilon", "max_cluster_size", "cluster_selection_epsilon_max", "match_reference_implementation")
 
 
-def hierarchy(mst: DataFrame, n: int, params: dict) -> DataFrame:
+#: Trees of more points are written in two parts, each when it is first asked for.
+APART = 1_000_000
+
+
+def hierarchy(mst: DataFrame, n: int, params: dict, kinds: tuple = tuple(range(5))) -> DataFrame:
     params = {k: params[k] for k in _TREE_PARAMS if k in params}
-    return materialize(mst.select("a", "b", "w").repartition(1).mapInArrow(tree_task(n, params), ARTEFACT), "hierarchy")
+    return materialize(mst.select("a", "b", "w").repartition(1).mapInArrow(tree_task(n, params, kinds), ARTEFACT), "hierarchy")
 
 
 class DensityModel:
@@ -90,19 +100,20 @@ class DensityModel:
     def __init__(self, points: DataFrame | None, n: int, total: int, core: DataFrame, mst: DataFrame, params: dict, metric: Metric | None, dim: int):
         self.points, self.n, self.total, self.core, self._mst, self.params, self.metric, self.dim = points, n, total, core, mst, params, metric, dim
         self.spark = mst.sparkSession
+        self._parts: dict = {}
 
     def refit(self, **params) -> DensityModel:
         """Another selection from the same spanning tree: nothing but the hierarchy task runs again."""
         return DensityModel(self.points, self.n, self.total, self.core, self._mst, self.params | params, self.metric, self.dim)
 
-    @cached_property
-    def _rows(self) -> DataFrame:
+    def _kind(self, kind: int) -> DataFrame:
         if self.n == 0:
             return self.spark.createDataFrame([], ARTEFACT)
-        return hierarchy(self._mst, self.n, self.params)
-
-    def _kind(self, kind: int) -> DataFrame:
-        return self._rows.where(F.col("kind") == kind)
+        both = (MST, LINKAGE, CONDENSED), (POINT, CLUSTER)
+        part = tuple(range(5)) if self.n <= APART else both[kind in both[1]]
+        if part not in self._parts:
+            self._parts[part] = hierarchy(self._mst, self.n, self.params, part)
+        return self._parts[part].where(F.col("kind") == kind)
 
     @property
     def _outside(self) -> int:
@@ -443,9 +454,37 @@ def fit_tree(finite: DataFrame, n: int, k: int, metric: Metric, alpha: float, bl
         return core, both.where("kind = 1").select("a", "b", "w")
     if low:  # boxes tell much in few dimensions: small blocks, few pairs of them
         block = min(block, N.BLOCK)
-    layout = Layout.of(finite, n, block)
-    core = materialize(N.nearest_core(finite, k, metric, layout=layout), "core")
-    return core, materialize(S.spanning_tree(finite, core, metric, alpha, layout=layout), "mst")
+    copies = repeated(finite, n, k, block) if metric.name in BOXED else None
+    if copies is None:
+        layout = Layout.of(finite, n, block)
+        core = materialize(N.nearest_core(finite, k, metric, layout=layout), "core")
+        return core, materialize(S.spanning_tree(finite, core, metric, alpha, layout=layout), "mst")
+    marked = materialize(finite.join(copies, "x", "left").select("pos", "first", F.when(F.col("first").isNull() | (F.col("pos") == F.col("first")), F.col("x")).alias("x")), "marked")
+    rest = marked.where("first != pos").select(F.col("first").alias("a"), F.col("pos").alias("b"), F.lit(0.0).alias("w"))
+    one = marked.where("x IS NOT NULL")
+    heavy, light, few = one.where("first IS NOT NULL").select("pos", "x"), one.where("first IS NULL").select("pos", "x"), one.select("pos", "x")
+    layout = Layout.of(few, few.count(), block)
+    core = heavy.select("pos", F.lit(0.0).alias("core"))
+    if not light.isEmpty():  # the k-th neighbour, or the nearest repeated point, of which there are more than k
+        near = N.nearest_core(few, k, metric, layout=layout).join(N.knn(heavy, 1, metric, None, queries=light).select("pos", "dist"), "pos")
+        core = core.unionByName(near.select("pos", F.least("core", "dist").alias("core")))
+    core = materialize(core, "core")
+    tree = materialize(S.spanning_tree(few, core, metric, alpha, layout=layout), "mst")
+    return core.unionByName(rest.select(F.col("b").alias("pos"), F.lit(0.0).alias("core"))), tree.unionByName(rest)
+
+
+def repeated(finite: DataFrame, n: int, k: int, block: int) -> DataFrame | None:
+    """``x, first`` of the points that more than ``k`` rows share, with the least of their positions; None if they matter little.
+
+    Their core distance is zero, as is their distance to one another; so in the unique tree the other rows hang on the first one,
+    and each edge to another point starts there, as (w, low, high) is least there.
+    """
+    many = finite.groupBy("x").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > k)
+    many = materialize(many, "repeated")
+    look = many.agg(F.sum(F.col("rows") - 1).alias("saved"), F.max("rows").alias("most")).first()
+    if look["most"] is None or (look["saved"] < n / 8 and look["most"] <= block):
+        return None
+    return many.select("x", "first")
 
 
 def _small(k: int, metric: Metric, alpha: float):

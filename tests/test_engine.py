@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,9 +13,9 @@ from moraine.operators import neighbors as N
 from moraine.operators import spanning as S
 from moraine.operators.forest import boruvka, connected_components
 from moraine.operators.within_labels import label_gaps, reduce_pairs
-from moraine.plans import exports, flat, predict, validity
+from moraine.plans import density, exports, flat, predict, validity
 from moraine.plans.branches import BranchDetector
-from moraine.plans.density import DensityClusterer, NotFitted, density_cluster
+from moraine.plans.density import DensityClusterer, NotFitted, density_cluster, fit_tree
 from moraine.plans.robust import RobustLinkage, robust_single_linkage
 from moraine.sources import points as P
 from moraine.sources.store import fit_cached, load_model, save_model
@@ -134,6 +135,47 @@ def test_knn_and_tree_exact(spark, name, block):
     assert key(e.a.to_numpy(), e.b.to_numpy(), e.w.to_numpy()) == key(a, b, w)
 
 
+@pytest.mark.parametrize("light", [0, 150])
+def test_repeated_points_count_once(spark, monkeypatch, light):
+    """Points that many rows share go into the search and the tree once; core distances and tree stay those of all rows."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([np.repeat(rng.normal(size=(90, 2)).round(1), 9, axis=0), np.repeat(rng.normal(size=(light, 2)).round(1), 2, axis=0)])
+    x = x[rng.permutation(len(x))]
+    m, n, seen = Metric(), len(x), []
+    real = S.spanning_tree
+    monkeypatch.setattr(S, "spanning_tree", lambda points, *a, **k: seen.append(points.count()) or real(points, *a, **k))
+    core, tree = fit_tree(rows(spark, x), n, 4, m, 1.0, 64)
+    c = N.top_k(m, x, np.arange(n), x, np.arange(n), 4, False)[1][:, 3]
+    np.testing.assert_array_equal(core.toPandas().sort_values("pos").core.to_numpy(), c)
+    e, (a, b, w) = tree.toPandas(), S.prim(x, c, np.arange(n), m)
+    key = lambda a, b, w: sorted(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), w.tolist()))
+    assert key(e.a.to_numpy(), e.b.to_numpy(), e.w.to_numpy()) == key(a, b, w)
+    assert seen[0] <= 90 + 2 * light
+
+
+def test_large_forest_isnt_made_with_every_batch(monkeypatch):
+    """A forest of more edges than are gathered is reduced a few times, not once a batch."""
+    monkeypatch.setattr(S, "GATHER", 100)
+    calls, real = [], S.kruskal
+    monkeypatch.setattr(S, "kruskal", lambda *e: calls.append(1) or real(*e))
+    path = np.arange(2_001)
+    edges = [pa.RecordBatch.from_pydict({"a": path[i : i + 10], "b": path[i + 1 : i + 11], "w": np.ones(10)}) for i in range(0, 2_000, 10)]
+    edges.append(pa.RecordBatch.from_pydict({"a": [0, 5], "b": [2_000, 9], "w": [2.0, 0.5]}))
+    got = pa.Table.from_batches(S._reduce(iter(edges))).to_pydict()
+    assert sorted(zip(got["a"], got["b"])) == sorted([(i, i + 1) for i in range(2_000) if i != 8] + [(5, 9)])
+    assert len(calls) <= 8
+
+
+def test_hierarchy_in_parts(three, fitted, monkeypatch):
+    """A large tree's tables are made in two parts, which are those of one run."""
+    monkeypatch.setattr(density, "APART", 10)
+    model = DensityClusterer(min_cluster_size=10).fit(three[0]).model
+    for name in ("minimum_spanning_tree", "single_linkage_tree", "condensed_tree", "clusters", "result"):
+        key = lambda m: sorted(map(tuple, getattr(m, name).collect()))  # noqa: E731, B023
+        assert key(model) == key(fitted)
+    assert len(model._parts) == 2
+
+
 def test_prim_is_unique_minimum(spark):
     x = np.random.default_rng(5).integers(0, 4, size=(40, 2)).astype(float)  # ties and equal points
     m, c = Metric(), np.zeros(40)

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -144,6 +145,21 @@ def test_arrays_equal_kernels(plan):
         np.testing.assert_allclose(got["clusters"]["z"], [own[c] for c in sorted(own)])
 
 
+def test_hierarchy_memory():
+    """One task holds the hierarchy of millions of points: under 200 bytes a point, table by table."""
+    n = 60_000
+    rng = np.random.default_rng(0)
+    b = np.arange(1, n)
+    a, w = (rng.random(n - 1) * b).astype(int), rng.random(n - 1).round(3)
+    p = {"min_cluster_size": 5, "cluster_selection_method": "eom", "allow_single_cluster": False, "cluster_selection_epsilon": 0.0, "max_cluster_size": 0, "cluster_selection_epsilon_max": math.inf, "match_reference_implementation": False}
+    tracemalloc.start()
+    for _, columns in tree_arrays.tables(n, a, b, w, p):
+        del columns
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * n
+
+
 def test_core_distances_in_one_task():
     x = np.round(np.random.default_rng(0).normal(size=(2500, 2)), 1)
     for metric in (Metric(), Metric("manhattan")):
